@@ -1,4 +1,272 @@
 """The registered queries on the given tables, and the same queries as SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import alphabet as A
+from ..functions import heuristics as H
+from ..operators import motif_index as M
+from ..operators import profiles as P
+from ..operators import scan as O
+from ..operators.windows import header_fields, windows
+from . import tables as T
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+_HIT = ("record_ord", "header", "start", "win", "score")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("record_ord", "header", "start", F.col("window").alias("win"), F.round("score", 6).alias("score"))
+
+
+def _sql_hits(source: str, k: int, score: str = "score") -> str:
+    return f"SELECT record_ord, header, start, win, round({score}, 6) AS score FROM ({source}) ORDER BY {score}, record_ord, start LIMIT {k}"
+
+
+@query(f"WITH {T.sql_windows(9)} SELECT record_ord, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, min(win) AS least FROM w GROUP BY record_ord")
+def fasta_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = windows(T.records(spark, sf_dir), 9)
+    return w.groupBy("record_ord").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.min("window").alias("least"))
+
+
+@query(f"WITH {T.sql_windows(3)} SELECT win AS kmer, count(*) AS n, count(DISTINCT record_ord) AS records FROM w GROUP BY win")
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_record = windows(T.records(spark, sf_dir), 3).groupBy(F.col("window").alias("kmer"), "record_ord").agg(F.count("*").alias("n"))
+    return per_record.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("records"))
+
+
+@query(f"WITH {T.sql_windows(9)}, s AS (SELECT *, {T.sql_rigid(T.NINE)} AS score FROM w) " + _sql_hits("SELECT * FROM s", 25))
+def rigid_scan_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(O.scan(T.records(spark, sf_dir), T.profile(T.NINE), 25, rescue="none"))
+
+
+@query(f"WITH {T.sql_windows(9)}, s AS (SELECT *, {T.sql_rigid(T.NINE)} AS score FROM w) SELECT record_ord, header, start, win, round(score, 6) AS score FROM s WHERE score <= -5")
+def rigid_scan_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(O.scan(T.records(spark, sf_dir), T.profile(T.NINE), None, -5.0, rescue="none"))
+
+
+def _mode(mode: str):
+    @query(f"WITH {T.sql_windows(9)}, s AS (SELECT *, round({T.sql_rigid(T.NINE, mode)}, 9) AS score FROM w) " + _sql_hits("SELECT * FROM s", 25), f"score_{mode.split('_')[0]}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scored = O.score_windows(T.records(spark, sf_dir), T.profile(T.NINE), mode, rescue="none").withColumn("score", F.round("score", 9))
+        return _hits(O.top(scored, 25, *O.ORDER))
+
+
+_mode("centered")
+_mode("confidence_adjusted")
+
+
+@query(
+    f"WITH {T.sql_windows(9)}, s AS (SELECT *, round({T.sql_rigid(T.NINE, 'confidence_adjusted')}, 9) AS score FROM w WHERE {T.sql_rigid(T.NINE)} <= -3) "
+    + _sql_hits("SELECT * FROM s", 25)
+)
+def prefilter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = O.score_windows(T.records(spark, sf_dir), T.profile(T.NINE), "confidence_adjusted", rescue="none", prefilter=-3.0).withColumn("score", F.round("score", 9))
+    return _hits(O.top(scored, 25, *O.ORDER))
+
+
+_STATS = "count(*) AS windows_scanned, count_if(pre <= -3) AS prefilter_passed, count_if(pre <= -3 AND score IS NOT NULL) AS scored_windows, count_if(pre <= -3 AND score <= -2.5) AS threshold_passed"
+_SCORED = f"SELECT *, {T.sql_rigid(T.NINE)} AS pre, round({T.sql_rigid(T.NINE, 'centered')}, 9) AS score FROM w"
+
+
+@query(f"WITH {T.sql_windows(9)} SELECT {_STATS} FROM ({_SCORED})")
+def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.scan_stats(T.records(spark, sf_dir), T.profile(T.NINE), -3.0, -2.5, mode="centered")
+
+
+@query(f"WITH {T.sql_windows(9)} SELECT lang, {_STATS} FROM ({_SCORED}) GROUP BY ROLLUP (lang)")
+def chunk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = O.scan_stats(T.records(spark, sf_dir, keep=("lang",)), T.profile(T.NINE), -3.0, -2.5, by=("lang",), mode="centered")
+    names = ["windows_scanned", "prefilter_passed", "scored_windows", "threshold_passed"]
+    return per.rollup("lang").agg(*[F.sum(n).alias(n) for n in names])
+
+
+_MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in H.METRICS)
+
+
+@query(f"WITH {T.sql_windows(9)}, m AS ({T.sql_with_metrics(9, 'record_ord')}) SELECT record_ord, {_MEANS} FROM m GROUP BY record_ord")
+def heuristic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = O.add_metrics(windows(T.records(spark, sf_dir), 9).select("record_ord", "window"), 9)
+    return w.groupBy("record_ord").agg(*[F.round(F.avg(m), 6).alias(m) for m in H.METRICS])
+
+
+_BONUS9 = f"{T.sql_windows(9)}, m AS ({T.sql_with_metrics(9, 'record_ord, header, start, win')}), s AS (SELECT record_ord, header, start, win, round({T.sql_bonus()}, 9) AS bonus FROM m)"
+
+
+@query(f"WITH {_BONUS9} SELECT record_ord, round(min(bonus), 6) AS low, round(avg(bonus), 6) AS mean, round(max(bonus), 6) AS high FROM s GROUP BY record_ord")
+def heuristic_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = O.add_bonus(windows(T.records(spark, sf_dir), 9).select("record_ord", "window"), 9).withColumnRenamed("bonus", "b")
+    return w.groupBy("record_ord").agg(F.round(F.min("b"), 6).alias("low"), F.round(F.avg("b"), 6).alias("mean"), F.round(F.max("b"), 6).alias("high"))
+
+
+_LEVELS = [0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+
+
+@query(
+    f"WITH {_BONUS9}, t AS (SELECT unnest([{', '.join(map(str, _LEVELS))}]) AS threshold), a AS (SELECT count(*) AS n, {', '.join(f'count_if(bonus >= {t}) AS t{i}' for i, t in enumerate(_LEVELS))} FROM s) "
+    + " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, t{i} AS passed, round(100.0 * t{i} / n, 6) AS percent FROM a" for i, t in enumerate(_LEVELS))
+)
+def heuristic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.heuristic_report(T.records(spark, sf_dir), 9, _LEVELS).withColumn("percent", F.round("percent", 6))
+
+
+@query(
+    f"WITH {_BONUS9}, n AS (SELECT * FROM s ORDER BY bonus DESC, record_ord, start LIMIT 2000), c AS (SELECT *, {T.sql_rigid(T.NINE)} AS score FROM n) "
+    "SELECT record_ord, start, win, round(score, 6) AS score, round(bonus, 6) AS bonus, round(score - bonus, 6) AS rank_score FROM c ORDER BY score - bonus, record_ord, start LIMIT 50"
+)
+def heuristic_topn_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = O.rerank(T.records(spark, sf_dir), T.profile(T.NINE), 50, top_n=2000, rescue="none")
+    return got.select("record_ord", "start", F.col("window").alias("win"), *[F.round(c, 6).alias(c) for c in ("score", "bonus", "rank_score")])
+
+
+_TARGETS = [("near", "REKFD"), ("other", "LLKVT"), ("third", "ADENR")]
+_GIVEN = ", ".join(f"('{a}', '{b}')" for a, b in _TARGETS)
+_WITH_TARGETS = f"(SELECT record_ord, header, win FROM w UNION ALL SELECT NULL, label, win FROM (VALUES {_GIVEN}) t(label, win))"
+_FINAL = f"""{T.sql_windows(5)}, m0 AS ({T.sql_with_metrics(5, "record_ord, header, win", _WITH_TARGETS)}),
+    f0 AS (SELECT record_ord, header, win, round({T.sql_bonus()}, 9) AS bonus FROM m0),
+    f1 AS (SELECT record_ord, header, win, round(score - bonus0, 9) AS f FROM (SELECT record_ord, header, win, score, bonus AS bonus0 FROM ({T.sql_rescue(T.FIVE, 'f0', 'record_ord, header, win, bonus')}))),
+    t AS (SELECT header AS label, win AS sequence, f AS final FROM f1 WHERE record_ord IS NULL), a AS (SELECT * FROM f1 WHERE record_ord IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {_FINAL} SELECT label, sequence, round(final, 6) AS final, count(*) AS total, count_if(f < final) AS better, count_if(f = final) AS equal_score,
+    count_if(win = sequence) AS same_sequence, count_if(f < final) + 1 AS rank, round(100.0 * (count_if(f < final) + 1) / count(*), 6) AS percent FROM a, t GROUP BY label, sequence, final"""
+)
+def window_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = O.window_ranks(T.records(spark, sf_dir), T.profile(T.FIVE), _TARGETS)
+    return r.select("label", "sequence", F.round("final", 6).alias("final"), "total", "better", "equal_score", "same_sequence", "rank", F.round("percent", 6).alias("percent"))
+
+
+@query(
+    f"""WITH {_FINAL}, e AS (SELECT header, arg_max(f, record_ord) AS f FROM (SELECT header, record_ord, min(f) AS f FROM a GROUP BY header, record_ord) GROUP BY header)
+    SELECT label, count(*) AS entries, count_if(f < final) + 1 AS entry_rank, round(100.0 * (count_if(f < final) + 1) / count(*), 6) AS entry_percent FROM e, t GROUP BY label"""
+)
+def entry_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = O.window_ranks(T.records(spark, sf_dir), T.profile(T.FIVE), _TARGETS)
+    return r.select("label", "entries", "entry_rank", F.round("entry_percent", 6).alias("entry_percent"))
+
+
+@query(f"WITH {T.sql_windows(5)}, s AS ({T.sql_rescue(T.FIVE, 'w', 'record_ord, header, start, win')}) " + _sql_hits("SELECT record_ord, header, start, win, round(score, 9) AS score FROM s", 25))
+def rescue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = O.score_windows(T.records(spark, sf_dir), T.profile(T.FIVE)).withColumn("score", F.round("score", 9))
+    return _hits(O.top(scored, 25, *O.ORDER))
+
+
+@query()
+def semiglobal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = O.score_windows(T.records(spark, sf_dir), T.profile(T.FIVE), alignment="trim_query_one_target_gap").withColumn("score", F.round("score", 9))
+    return O.top(w, 25, *O.ORDER).select("record_ord", "start", F.col("window").alias("win"), F.round("score", 6).alias("score"), *O.L._ADDED[1:])
+
+
+def _index(size: int):
+    @query(f"WITH {T.sql_index(size, 'i')} SELECT seq, idx, n, buckets, round(mean, 10) AS mean, round(std, 10) AS std FROM i", f"motif_index_{size}x{size}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = M.index_long(T.motif_rows(spark, sf_dir, size))
+        return x.select("seq", F.col("idx").cast("long").alias("idx"), F.col("count").alias("n"), "buckets", F.round("mean", 10).alias("mean"), F.round("std", 10).alias("std"))
+
+
+for _size in (1, 3, 5):
+    _index(_size)
+
+_PAIRS = f"""{T.sql_index(1, 'i')}, x AS (SELECT seq AS source, substr('{A.ALPHABET}', idx + 1, 1) AS target, mean, std FROM i),
+    y AS (SELECT a.source, a.target, a.mean AS forward, b.mean AS reverse, a.mean + b.mean AS value, sqrt(a.std * a.std + b.std * b.std) AS std FROM x a JOIN x b ON a.source = b.target AND a.target = b.source)"""
+
+
+@query(f"WITH {_PAIRS} SELECT source, target, round(forward, 10) AS forward, round(reverse, 10) AS reverse, round(value, 10) AS value, round(std, 10) AS std FROM y")
+def reciprocal_1x1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = M.reciprocal_pairs(M.index_long(T.motif_rows(spark, sf_dir, 1)))
+    return p.select("source", "target", *[F.round(c, 10).alias(c) for c in ("forward", "reverse", "value", "std")])
+
+
+@query(f"WITH {_PAIRS} SELECT source, {', '.join(f'''round(max(CASE WHEN target = '{a}' THEN value END), 10) AS {a}''' for a in A.STANDARD)} FROM y GROUP BY source")
+def reciprocal_1x1_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.reciprocal_matrix(M.reciprocal_pairs(M.index_long(T.motif_rows(spark, sf_dir, 1))), A.STANDARD)
+    return m.select("source", *[F.round(a, 10).alias(a) for a in A.STANDARD])
+
+
+def _indexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(M.build_index(T.motif_rows(spark, sf_dir, s)) for s in (1, 3, 5))
+
+
+def _profile_rows(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    return P.build(P.queries_of(spark, [T.QUERY]), *_indexes(spark, sf_dir), strategy=strategy)
+
+
+def _profile(name: str, strategy: str):
+    @query(f"WITH {T.sql_profile(strategy)} SELECT position, idx, round(energy, 10) AS energy, round(std, 10) AS std, mode FROM p", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _profile_rows(spark, sf_dir, strategy).select("position", "mode", F.posexplode(F.arrays_zip("energies", "stds")).alias("idx", "e"))
+        return rows.select("position", F.col("idx").cast("long").alias("idx"), F.round("e.energies", 10).alias("energy"), F.round("e.stds", 10).alias("std"), "mode")
+
+
+for _name, _strategy in zip(("profile_hier", "profile_degen", "profile_shrink", "profile_blend"), P.STRATEGIES):
+    _profile(_name, _strategy)
+
+
+@query(
+    f"""WITH {T.sql_profile(P.STRATEGIES[2])}, c AS (SELECT position, row_number() OVER (PARTITION BY position ORDER BY energy, idx) AS rank, substr('{A.ALPHABET}', idx + 1, 1) AS residue, energy FROM p)
+    SELECT position, rank, residue, round(energy, 10) AS energy FROM c WHERE rank <= 4"""
+)
+def position_top_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.top_choices(_profile_rows(spark, sf_dir, P.STRATEGIES[2]), 4)
+    return c.select("position", F.col("rank").cast("long").alias("rank"), "residue", F.round("energy", 10).alias("energy"))
+
+
+def _sql_eased(source: str, target: str, row: str) -> str:
+    at = lambda x: f"list_extract({row}, instr('{A.ALPHABET}', substr({target}, {x}, 1)))"
+    suits = "CASE " + " ".join(f"WHEN substr({source}, 2, 1) = '{r}' THEN '{s}'" for r, s in A.RESCUERS.items()) + " ELSE '' END"
+    return f"least({at(2)}, " + ", ".join(f"CASE WHEN instr({suits}, substr({target}, {x}, 1)) > 0 THEN {at(x)} ELSE {at(2)} END" for x in (1, 3)) + ")"
+
+
+@query(
+    f"""WITH {T.sql_windows(9)}, {T.sql_index(3, 'i')}, ix AS (SELECT seq, list(mean ORDER BY idx) AS mean FROM i GROUP BY seq),
+    h AS (SELECT record_ord, start, win, {T.sql_rigid(T.NINE)} AS score FROM w ORDER BY score, record_ord, start LIMIT 500),
+    pl AS (SELECT *, substr('{T.QUERY[:9]}', CAST(place - 1 AS BIGINT), 3) AS q3, substr(win, CAST(place - 1 AS BIGINT), 3) AS t3 FROM (SELECT *, unnest(range(2, 9)) AS place FROM h)),
+    sc AS (SELECT pl.record_ord, pl.start, {_sql_eased('q3', 't3', 'a.mean')} AS fwd, {_sql_eased('t3', 'q3', 'b.mean')} AS rev FROM pl JOIN ix a ON a.seq = q3 JOIN ix b ON b.seq = t3),
+    sm AS (SELECT record_ord, start, sum(fwd + rev) AS total, count(*) AS used FROM sc GROUP BY record_ord, start),
+    f AS (SELECT h.record_ord, h.start, h.win, round(coalesce(sm.total, 0), 9) AS total, coalesce(sm.used, 0) AS used, row_number() OVER (ORDER BY h.score, h.record_ord, h.start) AS first_rank
+        FROM h LEFT JOIN sm ON sm.record_ord = h.record_ord AND sm.start = h.start)
+    SELECT record_ord, start, win, first_rank, total AS reciprocal_total, used, row_number() OVER (ORDER BY total, first_rank) AS reciprocal_rank FROM f"""
+)
+def reciprocal_3x3_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = O.scan(T.records(spark, sf_dir), T.profile(T.NINE), 500, rescue="none")
+    r = O.rescore(hits, T.QUERY[:9], M.build_index(T.motif_rows(spark, sf_dir, 3)))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return r.select("record_ord", "start", F.col("window").alias("win"), long("first_rank"), F.round("reciprocal_total", 9).alias("reciprocal_total"), "used", long("reciprocal_rank"))
+
+
+@query("SELECT doc_id AS record_ord, source AS accession, CAST(doc_id AS VARCHAR) AS entry FROM documents")
+def header_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accession, entry = header_fields(F.col("header"))
+    return T.records(spark, sf_dir).select("record_ord", accession.alias("accession"), entry.alias("entry"))
+
+
+@query(
+    f"WITH {T.sql_profile(P.STRATEGIES[1])} SELECT k5, CAST(max(n) AS BIGINT) AS n, round(sum(mean), 9) AS means, round(sum(std), 9) AS stds FROM pool GROUP BY k5",
+)
+def grantham_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = P.positions(P.queries_of(spark, [T.QUERY])).filter("k5 is not null")
+    pool = P.degenerate_pool(k, M.build_index(T.motif_rows(spark, sf_dir, 5)))
+    add = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 9)
+    return pool.select("k5", F.col("count").alias("n"), add("mean").alias("means"), add("std").alias("stds"))
+
+
+@query()
+def beam_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexes = _indexes(spark, sf_dir)
+    rows = P.build(P.queries_of(spark, [T.QUERY]), *indexes, strategy=P.STRATEGIES[2])
+    made = O.reciprocal_design(O.beam_design(P.top_choices(rows, 4), 200), T.QUERY, indexes, 25, P.STRATEGIES[2])
+    return made.select("sequence", *[F.round(c, 6).alias(c) for c in ("forward", "reciprocal", "total")])
