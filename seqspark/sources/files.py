@@ -23,7 +23,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = No
         raise FileNotFoundError(f"no FASTA files at {path}")
     parts = F.split(F.concat(F.lit("\n"), "value"), r"[\n\r]+[ \t]*>")
     records = files.select("file", F.posexplode(parts).alias("n", "part")).filter("n > 0")
-    lines = F.transform(F.split("part", r"[\r\n]+"), F.trim)
+    lines = F.transform(F.split("part", r"[\r\n]+"), lambda x: F.trim(x))
     body = F.upper(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), ""))
     split = records.select("file", "n", F.rtrim(F.get(F.split("part", r"[\r\n]+"), 0)).alias("header"), body.alias("sequence"))
     counts = split.groupBy("file").agg(F.max("n").alias("m"))

@@ -16,7 +16,7 @@ def stream_records(spark: SparkSession, folder: str, glob: str = "*.fasta") -> D
     files = spark.readStream.schema(schema).option("pathGlobFilter", glob).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     part = files.select("file", F.explode(F.split(F.concat(F.lit("\n"), "value"), r"[\n\r]+[ \t]*>")).alias("part"))
     lines = F.split("part", r"[\r\n]+")
-    body = F.upper(F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), F.trim), ""))
+    body = F.upper(F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), ""))
     rows = part.filter(F.trim("part") != "").select(F.rtrim(F.get(lines, 0)).alias("header"), body.alias("sequence"), "file")
     return rows.select(F.xxhash64("file", "header").alias("record_ord"), "header", "sequence")
 
