@@ -1,8 +1,8 @@
 """Operator 9: similarity join of shingle sets with size-banded tiles and bitmap signatures.
 
 1. Documents with equal shingle sets become one class, known by a 128-bit sum of their hashes.
-2. Stars: classes that share one of eight minima of their sets are compared with the least class of the
-   group. That links most near copies at a cost in proportion to their number, not to its square.
+2. Stars: classes that share one of eight minima of their sets are compared with one class of the
+   group, another for each minimum. That links most near copies at a cost in proportion to their number, not to its square.
 3. Tiles: a set names its first ``n - ceil(0.85 n) + 1`` shingles in a global order, rare ones first (by a
    fixed-size sketch of counts); sets that link share one of them. A tile holds the sets of one size band
    that name one shingle, and meets its own and the next band. Tiles whose classes are all in one
@@ -207,7 +207,10 @@ def jaccard_components(df: DataFrame, size: int = 4, percent: int = 85, key: str
 
     # Stars.
     minima = reps.select("node", F.posexplode("minima").alias("k", "m"))
-    leaders = minima.groupBy("k", "m").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("k", "m", "b")
+    # Each minimum has a leader by an order of its own: where copies link with some of the others only, a
+    # class then meets up to eight leaders, not the same one again.
+    order = F.struct(F.xxhash64("node", "k"), "node")
+    leaders = minima.groupBy("k", "m").agg(F.max_by("node", order).alias("b"), F.count("*").alias("n")).filter("n > 1").select("k", "m", "b")
     stars = minima.join(leaders, ["k", "m"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     links = written(linked(may_link(stars)).select(F.col("a").alias("u"), F.col("b").alias("v")), "star-links")
     found = components(links)
