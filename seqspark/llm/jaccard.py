@@ -1,12 +1,15 @@
 """Operator 9: similarity join of shingle sets with size-banded tiles and bitmap signatures.
 
 1. Documents with equal shingle sets become one class, known by a 128-bit sum of their hashes.
-2. Stars: classes that share one of eight minima of their sets are compared with one class of the
-   group, another for each minimum. That links most near copies at a cost in proportion to their number, not to its square.
+2. Stars: classes that share one of eight minima of their sets are compared with two classes of the
+   group: the one whose shingles are the most common on average (the text that edited copies come from has
+   no rare shingles of its own), and one at random, another for each minimum. That links most near copies
+   at a cost in proportion to their number, not to its square.
 3. Tiles: a set names its first ``n - ceil(0.85 n) + 1`` shingles in a global order, rare ones first (by a
    fixed-size sketch of counts); sets that link share one of them. A tile holds the sets of one size band
    that name one shingle, and meets its own and the next band. Tiles whose classes are all in one
-   component already are left out. So no link between components is lost.
+   component already are left out. At the first shingle that two sets share, what either has from there
+   on bounds their overlap, so places too small for a link give no pair. No link between components is lost.
 4. Each pair that a tile gives is held against the bound of its bitmap signatures: the parity bitmaps
    differ in at most as many bits as the sets differ in members, so their XOR bounds the overlap from above.
    Pairs that may link are decided by exact intersection of their sorted shingle arrays.
@@ -113,7 +116,7 @@ def overlap_bound(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
     return (n_a + n_b - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
-_SETS = "doc_id bigint, h bigint, n bigint, node binary, minima array<bigint>, prefix array<bigint>, signature binary"
+_SETS = "doc_id bigint, h bigint, n bigint, node binary, central int, minima array<bigint>, prefix array<bigint>, signature binary"
 
 
 def _set_rows(size: int, percent: int, levels):
@@ -122,12 +125,12 @@ def _set_rows(size: int, percent: int, levels):
         odd = mix(np.arange(1, _MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
         for whole in batches:
             for batch in text_slices(whole, 2):
-                out: dict[str, list] = {k: [] for k in ("n", "node", "minima", "prefix", "signature")}
+                out: dict[str, list] = {k: [] for k in ("n", "node", "central", "minima", "prefix", "signature")}
                 for s in _sets(batch.column(2), size):
                     n = len(s)
                     out["n"].append(n)
                     if not n:
-                        for k in ("node", "minima", "prefix", "signature"):
+                        for k in ("node", "central", "minima", "prefix", "signature"):
                             out[k].append(None)
                         continue
                     sums = np.array([mix(s ^ np.uint64(17)).sum(dtype=np.uint64), mix(s ^ np.uint64(1 << 40)).sum(dtype=np.uint64)])
@@ -135,9 +138,10 @@ def _set_rows(size: int, percent: int, levels):
                     out["minima"].append([int((s * m).min().view(np.int64)) for m in odd])
                     k = prefix_size(n, percent)
                     lv = level[(s >> np.uint64(44)).astype(np.int64)]
+                    out["central"].append(int(1000 * lv.mean()))
                     out["prefix"].append(s[np.lexsort((s, lv))[:k]].view(np.int64))
                     out["signature"].append(signature(s))
-                kinds = {"n": pa.int64(), "node": pa.binary(), "minima": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64()), "signature": pa.binary()}
+                kinds = {"n": pa.int64(), "node": pa.binary(), "central": pa.int32(), "minima": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64()), "signature": pa.binary()}
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(out[k], t) for k, t in kinds.items())], names=["doc_id", "h", *kinds])
 
     return run
@@ -206,11 +210,13 @@ def jaccard_components(df: DataFrame, size: int = 4, percent: int = 85, key: str
         return close.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(_bounded(percent), "a binary, b binary")
 
     # Stars.
-    minima = reps.select("node", F.posexplode("minima").alias("k", "m"))
-    # Each minimum has a leader by an order of its own: where copies link with some of the others only, a
-    # class then meets up to eight leaders, not the same one again.
+    minima = reps.select("node", "central", F.posexplode("minima").alias("k", "m"))
+    # The random leader's order is another for each minimum: where copies link with some of the others
+    # only, a class then meets up to eight of them, not the same one again.
     order = F.struct(F.xxhash64("node", "k"), "node")
-    leaders = minima.groupBy("k", "m").agg(F.max_by("node", order).alias("b"), F.count("*").alias("n")).filter("n > 1").select("k", "m", "b")
+    best = [F.max_by("node", F.struct("central", "node")), F.max_by("node", order)]
+    leaders = minima.groupBy("k", "m").agg(F.array_distinct(F.array(*best)).alias("b"), F.count("*").alias("n")).filter("n > 1")
+    leaders = leaders.select("k", "m", F.explode("b").alias("b"))
     stars = minima.join(leaders, ["k", "m"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
     links = written(linked(may_link(stars)).select(F.col("a").alias("u"), F.col("b").alias("v")), "star-links")
     found = components(links)
@@ -218,14 +224,16 @@ def jaccard_components(df: DataFrame, size: int = 4, percent: int = 85, key: str
     # Tiles.
     placed = reps.select("node", "n", "prefix").join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"), "prefix")
     band = F.floor(F.log("n") / F.log(F.lit(101 / percent))).cast("int")  # a little wider than the threshold
-    named = placed.select(F.explode("prefix").alias("shingle"), "node", "n", F.xxhash64("c").alias("c"), band.alias("band"))
+    named = placed.select("node", "n", F.posexplode("prefix").alias("at", "shingle"), F.xxhash64("c").alias("c"), band.alias("band"))
+    named = named.withColumn("rest", F.col("n") - F.col("at")).drop("at")  # members from this one on
     shared = named.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
     tiles = written(named.join(shared, "shingle"), "tiles")
-    small = tiles.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    large = tiles.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    small = tiles.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("c").alias("c_a"))
+    large = tiles.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("c").alias("c_b"))
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (F.col("c_a") != F.col("c_b"))
-    pairs = small.join(large, ["shingle", "band"]).filter(ordered & close).select("a", "b").distinct()
+    enough = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    pairs = small.join(large, ["shingle", "band"]).filter(ordered & close & enough).select("a", "b").distinct()
     more = linked(may_link(pairs)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     joined = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
