@@ -5,7 +5,9 @@ more than once merge into maximal intervals of words, which are removed. Shuffli
 of the corpus would move several times its size, so windows that can't repeat are left out first, which
 loses none: each window names an anchor, the 12 words in it of least hash. Equal windows have equal
 anchors, so a window whose anchor stands at one place only occurs once. About one place in twelve is an
-anchor; only windows with a repeated anchor go on to be counted exactly.
+anchor; only windows with a repeated anchor go on to be counted exactly. Of texts that stand in several
+rows, all windows repeat, which needs no counting: one of the rows sends its windows for other texts to
+meet, and none gets places back.
 
 Scale: texts are shuffled once, by row key; all other shuffles hold fixed-size rows. Counts combine
 before their shuffles; hot anchors and windows meet in equi-joins that Spark splits when skewed. The
@@ -69,9 +71,19 @@ def _anchor_rows(size: int):
                 hashes, where = w.anchors()
                 if not len(where):
                     continue
-                new = np.append(True, where[1:] != where[:-1])
-                rows = pa.array(w.doc[w.at[new]])
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[new].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["anchor", "doc_id", "h"])
+                doc = w.doc[w.at]
+                new = np.append(True, (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]))
+                hashes, doc = hashes[new], doc[new]
+                # One row for each anchor of a document, and whether it stands there more than once.
+                order = np.lexsort((hashes, doc))
+                hashes, doc = hashes[order], doc[order]
+                first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])))
+                twice = np.diff(np.append(first, len(hashes))) > 1
+                rows = pa.array(doc[first])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[first].view(np.int64)), pa.array(twice), batch.column(0).take(rows), batch.column(1).take(rows)],
+                    names=["anchor", "twice", "doc_id", "h"],
+                )
 
     return run
 
@@ -94,9 +106,11 @@ def _window_rows(size: int):
                     wanted[a:b] = np.isin(hashes[a:b], flat[offsets[i] : offsets[i + 1]])
                 at = w.at[wanted]
                 rows = pa.array(w.doc[at])
+                copied = np.array(batch.column(4).to_pylist(), bool)[w.doc[at]]
+                place = np.where(copied, -1, at - w.first[w.doc[at]])
                 one, two = window_hashes(w.h, size)[at], window_hashes(w.h, size, _SECOND_BASE)[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - w.first[w.doc[at]]).astype(np.int32))],
+                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32))],
                     names=["w1", "w2", "doc_id", "h", "place"],
                 )
 
@@ -110,12 +124,16 @@ def _cleaner(size: int):
                 data, ends = text_buffer(batch.column(2))
                 starts, stops, doc, _ = words(data, ends)
                 first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                copied = batch.column(4).fill_null(False)
                 raw, out = data.tobytes(), {k: [] for k in ("n_words", "removed", "spans", "kept")}
                 for i, places in enumerate(batch.column(3)):
                     n = int(first[i + 1] - first[i])
                     s, e = starts[first[i] : first[i + 1]], stops[first[i] : first[i + 1]]
                     keep, spans = np.ones(n, bool), []
-                    if places.is_valid:
+                    if copied[i].as_py():
+                        spans = [(0, n)] if n >= size else []
+                        keep[:] = n < size
+                    elif places.is_valid:
                         at = np.sort(np.array(places.values.to_numpy()))
                         breaks = np.flatnonzero(np.diff(at) > size)  # windows that overlap or touch are one interval
                         spans = list(zip(at[np.append(0, breaks + 1)].tolist(), (at[np.append(breaks, len(at) - 1)] + size).tolist()))
@@ -143,14 +161,20 @@ def remove_repeats(df: DataFrame, size: int = 35, key: str = "doc_id", text: str
     # Keys may be null or repeat, so rows are told apart by key and hash of the text.
     no_key = F.lit(-(2**62))
     docs = df.select(F.coalesce(F.col(key).cast("long"), no_key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    slim = docs.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"))
+    # A row for each text: the first row that has it, and whether others do.
+    texts = slim.groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("copied"))
+    copies = slim.join(texts.filter("copied").select("h", "h2"), ["h", "h2"]).select("doc_id", "h").distinct()
     docs = docs.repartition("doc_id", "h")
-    anchors = docs.select("doc_id", "h", "text").mapInArrow(_anchor_rows(size), "anchor bigint, doc_id bigint, h bigint")
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    anchors = docs.select("doc_id", "h", "text").mapInArrow(_anchor_rows(size), "anchor bigint, twice boolean, doc_id bigint, h bigint")
+    again = anchors.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("twice").alias("twice")).filter("lo < hi or twice").select("anchor")
     lists = anchors.join(again, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("anchors"))
-    windows = docs.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "anchors").mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, h bigint, place int")
+    lists = lists.join(texts.select("doc_id", "h", "copied"), ["doc_id", "h"])
+    windows = docs.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "anchors", "copied").mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, h bigint, place int")
     repeated = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    places = windows.join(repeated, ["w1", "w2"]).groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
-    out = docs.join(places, ["doc_id", "h"], "left").select("doc_id", "h", "text", "places")
+    places = windows.filter("place >= 0").join(repeated, ["w1", "w2"]).groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
+    found = places.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
+    out = docs.join(found, ["doc_id", "h"], "left").select("doc_id", "h", "text", "places", "copied")
     done = out.mapInArrow(_cleaner(size), "doc_id bigint, h bigint, n_words bigint, n_removed bigint, spans array<struct<first:int,end:int>>, kept string")
     return done.withColumn("doc_id", F.nullif("doc_id", no_key)).withColumnRenamed("doc_id", key)
 
