@@ -9,8 +9,8 @@ anchor; only windows with a repeated anchor go on to be counted exactly. Of text
 rows, all windows repeat, which needs no counting: one of the rows sends its windows for other texts to
 meet, and none gets places back.
 
-Scale: texts are shuffled once, by row key; all other shuffles hold fixed-size rows. Counts combine
-before their shuffles; hot anchors and windows meet in equi-joins that Spark splits when skewed. The
+Scale: texts are shuffled once, by row key; all other shuffles hold fixed-size rows, but for the places
+of a window that repeats within its document, which share a row. Counts combine before their shuffles; hot anchors and windows meet in equi-joins that Spark splits when skewed. The
 only gathered groups are a document's own anchors and windows.
 """
 
@@ -105,13 +105,24 @@ def _window_rows(size: int):
                     a, b = bounds[i], bounds[i + 1]
                     wanted[a:b] = np.isin(hashes[a:b], flat[offsets[i] : offsets[i + 1]])
                 at = w.at[wanted]
-                rows = pa.array(w.doc[at])
-                copied = np.array(batch.column(4).to_pylist(), bool)[w.doc[at]]
-                place = np.where(copied, -1, at - w.first[w.doc[at]])
                 one, two = window_hashes(w.h, size)[at], window_hashes(w.h, size, _SECOND_BASE)[at]
+                # One row for each window of a document: its first place, and the others if it has any.
+                order = np.lexsort((at, two, one, w.doc[at]))
+                at, one, two = at[order], one[order], two[order]
+                doc = w.doc[at]
+                new = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(np.append(True, new)[: len(at)])
+                copied = np.array(batch.column(4).to_pylist(), bool)[doc]
+                place = np.where(copied, -1, at - w.first[doc]).astype(np.int32)
+                count = np.diff(np.append(first, len(at)))
+                others = np.ones(len(at), bool)
+                others[first] = False
+                cuts = pa.array(np.append(0, np.cumsum(count - 1)).astype(np.int32), mask=np.append(count == 1, False))  # a null cut: a null list
+                more = pa.ListArray.from_arrays(cuts, pa.array(place[others]))
+                rows = pa.array(doc[first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place.astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "h", "place"],
+                    [pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[first]), more],
+                    names=["w1", "w2", "doc_id", "h", "place", "more"],
                 )
 
     return run
@@ -170,9 +181,12 @@ def remove_repeats(df: DataFrame, size: int = 35, key: str = "doc_id", text: str
     again = anchors.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("twice").alias("twice")).filter("lo < hi or twice").select("anchor")
     lists = anchors.join(again, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("anchors"))
     lists = lists.join(texts.select("doc_id", "h", "copied"), ["doc_id", "h"])
-    windows = docs.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "anchors", "copied").mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, h bigint, place int")
-    repeated = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    places = windows.filter("place >= 0").join(repeated, ["w1", "w2"]).groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
+    windows = docs.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "anchors", "copied").mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, h bigint, place int, more array<int>")
+    times = F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1))
+    repeated = windows.groupBy("w1", "w2").agg(times.alias("n")).filter("n > 1").select("w1", "w2")
+    places = windows.filter("place >= 0").join(repeated, ["w1", "w2"]).groupBy("doc_id", "h").agg(
+        F.concat(F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places")
+    )
     found = places.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
     out = docs.join(found, ["doc_id", "h"], "left").select("doc_id", "h", "text", "places", "copied")
     done = out.mapInArrow(_cleaner(size), "doc_id bigint, h bigint, n_words bigint, n_removed bigint, spans array<struct<first:int,end:int>>, kept string")
