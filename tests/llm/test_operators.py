@@ -234,3 +234,19 @@ def test_toxicity_held_out(spark):
     got = toxicity.score(df.filter("doc_id >= 400"), chain).select(((F.col("p_toxic") >= 0.5) == (F.col("toxic") == 1)).alias("right")).collect()
     assert sum(r.right for r in got) >= 0.97 * len(got)
     assert toxicity.score(table(spark, [None, ""]), chain).count() == 2
+
+
+def test_repeats_of_equal_rows_and_within_a_document(spark):
+    """Equal texts in several rows, windows that repeat inside one text, null keys, nulls, short copies."""
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"r{rng.randrange(10**9)}" for _ in range(n))
+    line, short, alone = " ".join(f"w{i}" for i in range(50)), fresh(20), fresh(80)
+    rows = [(1, None), (2, ""), (3, line), (3, line), (4, line + " " + fresh(10)), (5, "a b c " * 60), (6, "x y " * 100 + fresh(40)), (None, alone), (9, short), (10, short), (None, line)]
+    words = [(text or "").split() for _, text in rows]
+    seen = collections.Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    want = []
+    for (key, _), w in zip(rows, words):
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want.append((key, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out), key=str) == sorted(want, key=str)
