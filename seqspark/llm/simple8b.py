@@ -31,43 +31,49 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
 
-def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escaped values) of one document's ids."""
-    ids = np.asarray(ids, np.uint64)
-    n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    high = ids >> np.uint64(60) > 0
-    width = np.zeros(n + 60, np.int64)  # the end is padded with zeros
-    width[:n] = np.where(high, 61, np.frexp(ids.astype(np.float64))[1])  # a float may round up to the next power: one bit wider, still right
+def pack_block(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words of each document, escaped values, escaped values of each document) of the ids of
+    some documents, which all go through each step together."""
+    sizes = np.array([len(x) for x in docs], np.int64)
+    # Zeros behind each document, as many as a word may hold, keep what one word sees within it.
+    gap = np.zeros(60, np.uint64)
+    ids = np.concatenate([np.asarray(y, np.uint64) for x in docs for y in (x, gap)] or [gap])
+    stops = np.cumsum(sizes + 60) - 60
+    width = np.where(ids >> np.uint64(60) > 0, 61, np.frexp(ids.astype(np.float64))[1]).astype(np.int8)  # a float may round up to the next power: one bit wider, still right
     # The widest id within the next c, for the counts in ascending order: each from the one before.
-    best = np.zeros(n, np.int64)
-    reach, widest = 1, width.copy()
+    best = np.zeros(len(ids), np.int64)
+    reach, widest = 1, width
     for s in range(14, 0, -1):
         while reach < COUNTS[s]:
             step = min(reach, COUNTS[s] - reach)
-            shifted = np.append(widest[step:], np.zeros(step, np.int64))
-            widest, reach = np.maximum(widest, shifted), reach + step
-        best = np.where(widest[:n] <= BITS[s], s, best)
-    jump = (np.arange(n) + np.where(best == 0, 1, COUNTS[best])).tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i = jump[i]
-    at = np.array(starts)
-    sel = best[at]
+            widest, reach = np.maximum(widest, np.append(widest[step:], np.zeros(step, np.int8))), reach + step
+        best[widest <= BITS[s]] = s
+    jump = (np.arange(len(ids)) + np.where(best == 0, 1, COUNTS[best])).tolist()
+    starts = []
+    for i, stop in zip((stops - sizes).tolist(), stops.tolist()):
+        while i < stop:
+            starts.append(i)
+            i = jump[i]
+    at = np.array(starts, np.int64)
+    sel, doc = best[at], np.searchsorted(stops, at, side="right")
     words = sel.astype(np.uint64) << np.uint64(60)
-    padded = np.append(ids, np.zeros(60, np.uint64))
+    escaped = np.bincount(doc[sel == 0], minlength=len(docs))
     for s in np.unique(sel):
         rows = np.flatnonzero(sel == s)
         if s == 0:
-            words[rows] |= np.arange(len(rows), dtype=np.uint64)
+            words[rows] |= (np.arange(len(rows)) - (np.cumsum(escaped) - escaped)[doc[rows]]).astype(np.uint64)
             continue
         part = np.zeros(len(rows), np.uint64)
         for k in range(COUNTS[s]):
-            part |= padded[at[rows] + k] << np.uint64(k * BITS[s])
+            part |= ids[at[rows] + k] << np.uint64(k * BITS[s])
         words[rows] |= part
-    return words, ids[at[sel == 0]]
+    return words, np.bincount(doc, minlength=len(docs)), ids[at[sel == 0]], escaped
+
+
+def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, escaped values) of one document's ids."""
+    words, _, escapes, _ = pack_block([ids])
+    return words, escapes
 
 
 def unpack_words(words: np.ndarray, first_words: np.ndarray, sizes: np.ndarray, escapes: np.ndarray, first_escapes: np.ndarray) -> np.ndarray:
@@ -105,27 +111,30 @@ def _blocks(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = word_encoder(path), TaskContext.get().partitionId()
         block, start = 0, 0
-        docs: list[tuple] = []
+        keys: list = []
+        docs: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            sizes = [n for _, n, _, _ in docs]
-            nw, ne = [len(w) for _, _, w, _ in docs], [len(e) for _, _, _, e in docs]
+            sizes = [len(x) for x in docs]
+            words, nw, escapes, ne = pack_block(docs)
             row = {
-                "part": part, "block": block, "start": start, "n_ids": sum(sizes), "doc_ids": [d[0] for d in docs], "sizes": sizes,
+                "part": part, "block": block, "start": start, "n_ids": sum(sizes), "doc_ids": keys, "sizes": sizes,
                 "first_words": (np.cumsum(nw) - nw).tolist(), "first_escapes": (np.cumsum(ne) - ne).tolist(),
-                "words": b"".join(d[2].astype("<u8").tobytes() for d in docs), "escapes": b"".join(d[3].astype("<u8").tobytes() for d in docs),
+                "words": words.astype("<u8").tobytes(), "escapes": escapes.astype("<u8").tobytes(),
             }
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
         n = 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), end_id)
-                docs.append((key, len(ids), *pack_words(ids)))
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
+                keys.append(key)
+                docs.append(ids)
                 n += len(ids)
                 if n >= block_ids:
                     yield out()
                     block, start, n = block + 1, start + n, 0
+                    keys.clear()
                     docs.clear()
         if docs:
             yield out()

@@ -9,6 +9,7 @@ the marker byte, go through ``tokenizers`` itself."""
 from __future__ import annotations
 
 import json
+import re
 import sys
 import types
 import unicodedata
@@ -19,6 +20,9 @@ import numpy as np
 KEPT_WORDS = 400_000
 _PATTERN_50K = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PATTERN_49K = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for ASCII texts (the second in lower case), where Python's own engine is twice as fast.
+_ASCII_50K = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+_ASCII_49K = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+"
 
 
 def _byte_chars() -> dict[str, int]:
@@ -75,12 +79,12 @@ def _byte_encoder(path: str):
     byte = _byte_chars()
     ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
     known = _Remembered(tiktoken.Encoding("own", pat_str=_PATTERN_50K, mergeable_ranks=ranks, special_tokens={}), b"")
-    find = regex.compile(_PATTERN_50K).findall
+    find, find_ascii = regex.compile(_PATTERN_50K).findall, re.compile(_ASCII_50K).findall
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
             return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return known.of(find(text))
+        return known.of(find_ascii(text) if text.isascii() else find(text))
 
     return encode
 
@@ -101,13 +105,14 @@ def _word_encoder(path: str):
             key = bytes(byte[c] for c in stem) + b"\0" * (stem != piece)
             ranks.setdefault(key, i)
     known = _Remembered(tiktoken.Encoding("own", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={}), b"\0")
-    find = regex.compile(_PATTERN_49K).findall
+    find, find_ascii = regex.compile(_PATTERN_49K).findall, re.compile(_ASCII_49K).findall
 
     def encode(text: str) -> np.ndarray:
         if "\0" in text or any(s in text for s in special):
             return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form: letters lose case one by one
+        if text.isascii():
+            return known.of(find_ascii(text.lower()))
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form: letters lose case one by one
         return known.of(find(text.lower()))
 
     return encode
