@@ -1,7 +1,7 @@
 """Token ids of whole texts by two public vocabularies, for the packing and output operators.
 
 Both give the ids that the ``tokenizers`` library gives (special tokens not added), yet through
-``tiktoken``'s merges of distinct words, in a third of the time. That is exact: a trained vocabulary reaches
+``tiktoken``'s merges of the words of distinct runs of text, in less time. That is exact: a trained vocabulary reaches
 each of its pieces by one pair only, so ranks of joined pieces and listed merges choose alike (tests
 compare both on all test texts and on every piece). Texts that hold the string of a special token, or
 the marker byte, go through ``tokenizers`` itself."""

@@ -52,7 +52,7 @@ def test_byte_bpe(spark, texts):
 def test_encoders(texts):
     for make, name in ((tokens.byte_encoder, "byte_bpe_50k.json"), (tokens.word_encoder, "word_bpe_49k.json")):
         encode, whole = make(P.path(name)), Tokenizer.from_file(P.path(name))
-        for t in [*filter(None, texts), "ΑΣ İ ﬁ ½ x", "a\0b"]:
+        for t in [*filter(None, texts), "ΑΣ İ ﬁ ½ x", "a\0b", "a   b \n \n c  d\n e ", "x\x1cy \x1f z\u00a0 w's"]:
             assert encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
