@@ -21,16 +21,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near copies (five words, similarity of 0.8 or more): the
-    first by id, and of rows with that id the one of least hash; of equal rows one stays. Documents
-    without words have no copies and all stay."""
+    first by id (null ids last), and of rows with that id the one of least hash; of rows equal in id and
+    text one stays. Documents without words have no copies and all stay."""
     docs = docs.select(*COLUMNS)
     groups = jaccard.jaccard_components(docs, size=5, percent=80)
-    groups = groups.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62)))).withColumn("component_id", F.coalesce("component_id", F.lit(-(2**62))))
     wordless = groups.filter("n_shingles = 0").select("doc_id", "h").distinct()
-    first = groups.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").agg(F.min("h").alias("h"))
-    keyed = docs.withColumn("k_", F.coalesce("doc_id", F.lit(-(2**62)))).withColumn("h_", F.xxhash64("text"))
-    pick = lambda keys: keyed.join(keys.select(F.col("doc_id").alias("k_"), F.col("h").alias("h_")), ["k_", "h_"], "left_semi").select(*COLUMNS)
-    return pick(first).dropDuplicates(["doc_id"]).unionByName(pick(wordless))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = groups.filter("n_shingles > 0").groupBy("component").agg(F.min(order).alias("r")).select("r.doc_id", "r.h")
+    keyed = docs.withColumn("h_", F.xxhash64("text"))
+
+    def pick(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("k_"), "h")
+        return keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("k_")) & (F.col("h_") == F.col("h")), "left_semi")
+
+    return pick(first).dropDuplicates(["doc_id", "h_"]).unionByName(pick(wordless)).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,7 +173,8 @@ def _exact(size: int, percent: int):
 
 
 def jaccard_components(df: DataFrame, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, h, n_shingles, component_id): h is a hash of the text; the component's id is its least key.
+    """(key, h, n_shingles, component_id, component): h is a hash of the text; the component's id is its
+    least key, which components can have in common; component is its own (null without shingles).
 
     Null and empty texts, or texts without words, have no shingles and are components of their own; so
     has a row with a null key unless it links (its own id is then null). Rows with equal sets link,
@@ -240,9 +241,9 @@ def jaccard_components(df: DataFrame, size: int = 4, percent: int = 85, key: str
     member = rows.select("doc_id", "h", "n", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return member.join(least, "component", "left").select(
-        F.col("doc_id").alias(key), "h", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+        F.col("doc_id").alias(key), "h", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "component"
     )
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir)).drop("h")
+    return jaccard_components(documents(spark, sf_dir)).drop("h", "component")
