@@ -146,25 +146,40 @@ def footrule_gains(query: np.ndarray, files: list[tuple[np.ndarray, np.ndarray]]
     return gain
 
 
-def _permutation_cell(pivots: np.ndarray, k: int, length: int, share: float):
+def apart(drawn: np.ndarray, n: int) -> list[int]:
+    """Numbers of the first n rows that lie apart: none near an earlier one (a quarter of a wide distance)."""
+    d = squared(drawn, drawn)
+    near, out = np.quantile(d, 0.9) / 16 if len(d) else 0.0, []
+    for i in range(len(drawn)):
+        if len(out) < n and (not out or d[i, out].min() > near):
+            out.append(i)
+    return out
+
+
+def _permutation_cell(pivots: list[np.ndarray], k: int, length: int, share: float):
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(rows) and len(queries):
-            width = max(widest(rows["v"], queries["v"]), pivots.shape[1])
+            width = max(widest(rows["v"], queries["v"]), pivots[0].shape[1])
             c, q = matrix(rows["v"], width), matrix(queries["v"], width)
-            p = np.pad(pivots, ((0, 0), (0, width - pivots.shape[1])))
-            m = min(length, len(p))
-            perm = nearest_pivots(c, p, m)
-            # The inverted file of each pivot: rows, and the pivot's place among the row's nearest.
-            flat = np.argsort(perm.ravel(), kind="stable")
-            cuts = np.searchsorted(perm.ravel()[flat], np.arange(len(p) + 1))
-            files = [((flat[a:b] // m), (flat[a:b] % m).astype(np.int32)) for a, b in zip(cuts, cuts[1:])]
             ids, take = rows["vec_id"].to_numpy(), min(len(c), max(20 * k, math.ceil(share * len(c))))
-            for own, x, places in zip(queries["vec_id"].to_pylist(), q, nearest_pivots(q, p, m)):
-                gain = footrule_gains(places, files, len(c), m)
-                some = np.argpartition(-gain, take - 1)[:take] if take < len(c) else np.arange(len(c))
-                some = some[ids[some] != own]
-                d = np.sqrt(((c[some] - x) ** 2).sum(axis=1))
+            indexes = []
+            for p in pivots:
+                p = np.pad(p, ((0, 0), (0, width - p.shape[1])))
+                m = min(length, len(p))
+                perm = nearest_pivots(c, p, m)
+                # The inverted file of each pivot: rows, and the pivot's place among the row's nearest.
+                flat = np.argsort(perm.ravel(), kind="stable")
+                cuts = np.searchsorted(perm.ravel()[flat], np.arange(len(p) + 1))
+                files = [((flat[a:b] // m), (flat[a:b] % m).astype(np.int32)) for a, b in zip(cuts, cuts[1:])]
+                indexes.append((files, m, nearest_pivots(q, p, m)))
+            for at, (own, x) in enumerate(zip(queries["vec_id"].to_pylist(), q)):
+                near = np.zeros(len(c), bool)
+                for files, m, places in indexes:
+                    gain = footrule_gains(places[at], files, len(c), m)
+                    near |= gain >= np.partition(gain, len(c) - take)[len(c) - take]  # all that tie with the row at the cut
+                some = np.flatnonzero(near & (ids != own))
+                d = np.sqrt(np.concatenate([((c[part] - x) ** 2).sum(axis=1) for part in np.split(some, range(BLOCK, len(some), BLOCK))]))
                 best = np.lexsort((ids[some], d))[:k]
                 out["query_id"] += [own] * len(best)
                 out["vec_id"] += ids[some][best].tolist()
@@ -178,16 +193,20 @@ def _permutation_cell(pivots: np.ndarray, k: int, length: int, share: float):
 def nearest(df: DataFrame, k: int = 10, every: int = 100, pivots: int = 256, length: int = 96, share: float = 0.1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by Euclidean distance, as the index
     finds them. ``pivots`` rows, those of least hash, are the pivots; every row is posted under its
-    ``length`` nearest pivots; the ``share`` of a shard that is nearest by footrule is ranked by distance.
+    ``length`` nearest pivots; the ``share`` of a shard that is nearest by footrule, with all rows that tie
+    with its last, is ranked by distance. Where pivots lie close together (a large cluster, copies), as many
+    that lie apart form a second index, and what either finds is ranked.
 
     A missing trailing component is zero. Zero vectors take no part. Rows with the query's id are its
     own. Ties go to the smaller id. Empty tables and tables without a query give no rows."""
     rows = sound(df, key, vector).filter(F.exists("v", lambda x: x != 0))
-    drawn = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
+    drawn = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()]
     p = np.zeros((len(drawn), max(map(len, drawn), default=0)))
     for i, v in enumerate(drawn):
         p[i, : len(v)] = v
-    found = in_cells(rows, every, _permutation_cell(p, k, length, share), "query_id bigint, vec_id bigint, score double")
+    spread = apart(p, pivots)
+    sets = [p[:pivots]] + ([p[spread]] if spread != list(range(min(pivots, len(p)))) else [])
+    found = in_cells(rows, every, _permutation_cell(sets, k, length, share), "query_id bigint, vec_id bigint, score double")
     return merged(found, k, F.col("score"))
 
 
