@@ -4,11 +4,14 @@ Hashes are 64-bit polynomials modulo 2**64 of bytes (words) and of mixed word ha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 _BYTE, _BYTE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 WINDOW_BASE = 0xD6E8FEB86659FD93
+_SOME = 1 << 21  # bytes of text taken at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,6 +43,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of rows with some MB of text."""
+    sizes = np.cumsum(np.diff(text_buffer(batch.column(column))[1]))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + _SOME)) + 1
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, last byte + 1, text number, hash) of each word. ends: as text_buffer gives it."""
     none = np.zeros(0, np.int64)
@@ -53,7 +66,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     after = np.append(inside[1:], False) & ~edge[1:]
     stops = np.flatnonzero(inside & ~after) + 1
     h = np.empty(len(starts), np.uint64)
-    block = 1 << 20  # of words: powers of positions within a block only
+    block = 1 << 16  # of words: powers of positions within a block only
     for lo in range(0, len(starts), block):
         a, b = starts[lo : lo + block], stops[lo : lo + block]
         base = a[0]

@@ -10,8 +10,9 @@ rows, all windows repeat, which needs no counting: one of the rows sends its win
 meet, and none gets places back.
 
 Scale: texts are shuffled once, by row key; all other shuffles hold fixed-size rows, but for the places
-of a window that repeats within its document, which share a row. Counts combine before their shuffles; hot anchors and windows meet in equi-joins that Spark splits when skewed. The
-only gathered groups are a document's own anchors and windows.
+of a window that repeats within its document, which share a row. Anchors and windows are each shuffled once,
+and counted and kept in the same pass; the rows of a hot one stream through a task, on disk where they are
+many. The only gathered groups are a document's own anchors and windows.
 """
 
 from __future__ import annotations
@@ -20,25 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
-from .hashing import sliding_min, text_buffer, window_hashes, words
+from .hashing import sliding_min, text_buffer, text_slices, window_hashes, words
 
 _ANCHOR = 12
 _SECOND_BASE = 0x9FB21C651E98DF25
-_SOME = 1 << 22  # bytes of text taken at once
-
-
-def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with some MB of text."""
-    sizes = np.cumsum(np.diff(text_buffer(batch.column(column))[1]))
-    lo = 0
-    while lo < batch.num_rows:
-        hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + _SOME)) + 1
-        yield batch.slice(lo, hi - lo)
-        lo = hi
 
 
 class _Windows:
@@ -57,9 +47,9 @@ class _Windows:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         g = window_hashes(self.h, _ANCHOR)
         place = np.arange(len(g), dtype=np.uint64)
-        bits = np.uint64(24)  # a slice has fewer words: the leftmost of equals is the least
+        bits = np.uint64(32)  # a column has fewer words, for it has fewer bytes; the leftmost of equals is the least
         low = sliding_min((g >> bits << bits) | place, self.size - _ANCHOR + 1)[self.at]
-        where = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
+        where = (low & np.uint64((1 << 32) - 1)).astype(np.int64)
         return g[where], where
 
 
@@ -178,15 +168,15 @@ def remove_repeats(df: DataFrame, size: int = 35, key: str = "doc_id", text: str
     copies = slim.join(texts.filter("copied").select("h", "h2"), ["h", "h2"]).select("doc_id", "h").distinct()
     docs = docs.repartition("doc_id", "h")
     anchors = docs.select("doc_id", "h", "text").mapInArrow(_anchor_rows(size), "anchor bigint, twice boolean, doc_id bigint, h bigint")
-    again = anchors.groupBy("anchor").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("twice").alias("twice")).filter("lo < hi or twice").select("anchor")
-    lists = anchors.join(again, "anchor").groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("anchors"))
+    # Windows (of rows, in Spark's sense): one shuffle, where a count and a join would take two.
+    same = Window.partitionBy("anchor")
+    again = anchors.select("doc_id", "h", "anchor", F.min("h").over(same).alias("lo"), F.max("h").over(same).alias("hi"), F.max("twice").over(same).alias("twice")).filter("lo < hi or twice")
+    lists = again.groupBy("doc_id", "h").agg(F.collect_set("anchor").alias("anchors"))
     lists = lists.join(texts.select("doc_id", "h", "copied"), ["doc_id", "h"])
     windows = docs.join(lists, ["doc_id", "h"]).select("doc_id", "h", "text", "anchors", "copied").mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, h bigint, place int, more array<int>")
-    times = F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1))
-    repeated = windows.groupBy("w1", "w2").agg(times.alias("n")).filter("n > 1").select("w1", "w2")
-    places = windows.filter("place >= 0").join(repeated, ["w1", "w2"]).groupBy("doc_id", "h").agg(
-        F.concat(F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places")
-    )
+    times = F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)
+    counted = windows.withColumn("n", F.sum(times).over(Window.partitionBy("w1", "w2"))).filter("n > 1 and place >= 0")
+    places = counted.groupBy("doc_id", "h").agg(F.concat(F.collect_list("place"), F.flatten(F.collect_list("more"))).alias("places"))
     found = places.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
     out = docs.join(found, ["doc_id", "h"], "left").select("doc_id", "h", "text", "places", "copied")
     done = out.mapInArrow(_cleaner(size), "doc_id bigint, h bigint, n_words bigint, n_removed bigint, spans array<struct<first:int,end:int>>, kept string")
