@@ -27,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
 from .components import components
-from .hashing import mix, text_buffer, window_hashes, words
-from .substrings import text_slices
+from .hashing import mix, text_buffer, text_slices, window_hashes, words
 
 _BUCKETS, _SEGMENTS, _MINIMA = 1 << 20, 64, 8
+#: Keys of documents (8 bytes each) that may be broadcast.
+FEW = 2_000_000
 
 
 def _shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +153,7 @@ def _bounded(percent: int):
         for batch in batches:
             a, b, na, nb = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
             keep = [(100 + percent) * overlap_bound(*x) >= percent * (x[2] + x[3]) for x in zip(a, b, na, nb)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1, *range(6, batch.num_columns)]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -187,28 +188,34 @@ def jaccard_components(df: DataFrame, size: int = 4, percent: int = 85, key: str
     # One row for each class: its least document's.
     same = (F.col("c.node") == F.col("s.node")) & F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.h") == F.col("s.h"))
     reps = written(rows.alias("s").join(classes.alias("c"), same).select("s.*").dropDuplicates(["node"]), "shingle-classes")
-    of = reps.select("node", "doc_id", "h")
     texts = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62))))
+    have = reps.select("node", F.coalesce("doc_id", F.lit(-(2**62))).alias("doc_id"), "h")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets link."""
-        have = of.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62))))
-        named = pairs.join(have.select(F.col("node").alias("a"), F.col("doc_id").alias("id_a"), F.col("h").alias("h_a")), "a").join(
-            have.select(F.col("node").alias("b"), F.col("doc_id").alias("id_b"), F.col("h").alias("h_b")), "b"
-        )
-        left = named.join(texts.select(F.col("doc_id").alias("id_a"), F.col("h").alias("h_a"), F.col("text").alias("text_a")), ["id_a", "h_a"])
-        full = left.join(texts.select(F.col("doc_id").alias("id_b"), F.col("h").alias("h_b"), F.col("text").alias("text_b")), ["id_b", "h_b"])
+        """The pairs (a, b) whose sets link. Of the texts, those of the pairs go on, each once: where the pairs
+        name few documents, their keys are sent to all tasks; otherwise the joins leave the others out."""
+        side = lambda c: have.select(F.col("node").alias(c), F.col("doc_id").alias(f"id_{c}"), F.col("h").alias(f"h_{c}"))
+        named = written(pairs.join(side("a"), "a").join(side("b"), "b"), "jaccard-pairs")
+        ids = named.select(F.explode(F.array(F.xxhash64("id_a", "h_a"), F.xxhash64("id_b", "h_b"))).alias("k")).distinct()
+        some = texts
+        if ids.count() <= FEW:
+            some = texts.withColumn("k", F.xxhash64("doc_id", "h")).join(F.broadcast(ids), "k", "left_semi")
+        some = some.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+        full = named
+        for c in "ab":
+            full = full.join(some.select(F.col("doc_id").alias(f"id_{c}"), F.col("h").alias(f"h_{c}"), F.col("text").alias(f"text_{c}")), [f"id_{c}", f"h_{c}"])
         return full.select("a", "b", "text_a", "text_b").mapInArrow(_exact(size, percent), "a binary, b binary")
 
     signed = reps.select("node", "n", "signature")
 
-    def may_link(pairs: DataFrame) -> DataFrame:
+    def may_link(pairs: DataFrame, *more: str) -> DataFrame:
         """Without the pairs that their signatures rule out."""
         both = pairs.join(signed.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a")), "a").join(
             signed.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b")), "b"
         )
         close = both.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return close.select("a", "b", "s_a", "s_b", "n_a", "n_b").mapInArrow(_bounded(percent), "a binary, b binary")
+        ddl = ", ".join(["a binary", "b binary", *(f"{c} bigint" for c in more)])
+        return close.select("a", "b", "s_a", "s_b", "n_a", "n_b", *more).mapInArrow(_bounded(percent), ddl)
 
     # Stars.
     minima = reps.select("node", "central", F.posexplode("minima").alias("k", "m"))
@@ -218,23 +225,34 @@ def jaccard_components(df: DataFrame, size: int = 4, percent: int = 85, key: str
     best = [F.max_by("node", F.struct("central", "node")), F.max_by("node", order)]
     leaders = minima.groupBy("k", "m").agg(F.array_distinct(F.array(*best)).alias("b"), F.count("*").alias("n")).filter("n > 1")
     leaders = leaders.select("k", "m", F.explode("b").alias("b"))
-    stars = minima.join(leaders, ["k", "m"]).filter("node != b").select(F.col("node").alias("a"), "b").distinct()
-    links = written(linked(may_link(stars)).select(F.col("a").alias("u"), F.col("b").alias("v")), "star-links")
+    # First each class meets one leader, that with which it shares the most minima; what that links needn't be
+    # compared again, so few texts move.
+    stars = minima.join(leaders, ["k", "m"]).filter("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
+    stars = written(may_link(stars, "n"), "stars")
+    nearest = stars.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    links = written(linked(nearest).select(F.col("a").alias("u"), F.col("b").alias("v")), "star-links")
     found = components(links)
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    more = linked(apart).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     # Tiles.
     placed = reps.select("node", "n", "prefix").join(found, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"), "prefix")
-    band = F.floor(F.log("n") / F.log(F.lit(101 / percent))).cast("int")  # a little wider than the threshold
-    named = placed.select("node", "n", F.posexplode("prefix").alias("at", "shingle"), F.xxhash64("c").alias("c"), band.alias("band"))
-    named = named.withColumn("rest", F.col("n") - F.col("at")).drop("at")  # members from this one on
-    shared = named.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("shingle")
-    tiles = written(named.join(shared, "shingle"), "tiles")
-    small = tiles.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("c").alias("c_a"))
-    large = tiles.select("shingle", "band", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("c").alias("c_b"))
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (F.col("c_a") != F.col("c_b"))
-    enough = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    pairs = small.join(large, ["shingle", "band"]).filter(ordered & close & enough).select("a", "b").distinct()
+    # A row for each named shingle; as for shingles, 64-bit hashes stand for the set and its component.
+    named = placed.select(F.xxhash64("node").alias("s"), F.xxhash64("c").alias("c"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
+    named = named.select("shingle", "s", "c", "n", (F.col("n") - F.col("at")).alias("rest"))  # members from this one on
+    same = Window.partitionBy("shingle")
+    tiles = named.select("*", F.min("c").over(same).alias("lo"), F.max("c").over(same).alias("hi")).filter("lo < hi").drop("lo", "hi")
+    tiles = written(tiles.withColumn("band", F.floor(F.log("n") / F.log(F.lit(101 / percent))).cast("int")), "tiles")  # a little wider than the threshold
+    small = tiles.select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("s", "n", "rest", "c")])
+    large = tiles.select("shingle", "band", *[F.col(c).alias(f"{c}_b") for c in ("s", "n", "rest", "c")])
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("s_a") < F.col("s_b")))
+    close = (100 * F.col("n_a").cast("long") >= percent * F.col("n_b").cast("long")) & (F.col("c_a") != F.col("c_b"))
+    enough = (100 + percent) * F.least("rest_a", "rest_b").cast("long") >= percent * (F.col("n_a").cast("long") + F.col("n_b"))
+    pairs = small.join(large, ["shingle", "band"]).filter(ordered & close & enough).select("s_a", "s_b").distinct()
+    hashed = lambda c: reps.select(F.xxhash64("node").alias(f"s_{c}"), F.col("node").alias(c))
+    pairs = pairs.join(hashed("a"), "s_a").join(hashed("b"), "s_b").select("a", "b")
     more = linked(may_link(pairs)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     joined = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
