@@ -11,7 +11,7 @@ name, or all queues of one size would send in the same rounds.
 The state of that loop has a closed form, so a token's round follows from its place in its queue, and
 windows need no sequential pass: deficits carry over windows and partitions by arithmetic.
 
-Scale: texts are encoded once, into a written table of 16-bit ids; a task numbers the tokens of each
+Scale: texts are encoded once, into a written table of narrow ids; a task numbers the tokens of each
 source within its partition, and a small table of (partition, source) totals gives the partitions'
 offsets. Documents are cut where blocks of 256 rounds end and dealt by block; a block (about 262,144
 tokens) sorts its runs by round and queue, and sums of the blocks before it give its place in the stream.
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .tokens import byte_encoder
+from .hashing import text_slices
+from .tokens import ByteEncoder, encoder, id_type
 
 WINDOW = 1024
 _FRACTION = 18  # bits of a quantum's fraction
@@ -40,21 +41,20 @@ _SUPER = 4096  # blocks whose sums one row holds
 
 def _tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, sent = byte_encoder(path), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            keys, queues = batch.column(0), batch.column(2).to_pylist()
-            starts, sizes, ids = [], [], []
-            for text, queue in zip(batch.column(1), queues):
-                x = encode(text.as_py() or "")
-                n = len(x) + 1
-                starts.append(sent.get(queue, 0))
-                sent[queue] = starts[-1] + n
-                sizes.append(n)
-                ids.append(np.append(x, end_id).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [keys, batch.column(2), pa.array([part] * len(sizes), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                names=["doc_id", "queue", "part", "start", "n", "ids"],
-            )
+        encode, part, sent = encoder(ByteEncoder, path), TaskContext.get().partitionId(), {}
+        end, width = np.array([end_id], encode.kind).tobytes(), encode.kind.itemsize
+        for whole in batches:
+            for batch in text_slices(whole, 1):
+                ids = [x + end for x in encode.ids(batch.column(1))]
+                sizes = [len(x) // width for x in ids]
+                starts = []
+                for n, queue in zip(sizes, batch.column(2).to_pylist()):
+                    starts.append(sent.get(queue, 0))
+                    sent[queue] = starts[-1] + n
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), pa.array([part] * len(sizes), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "queue", "part", "start", "n", "ids"],
+                )
 
     return run
 
@@ -102,7 +102,7 @@ def _block_sizes(whole: float, some: int = 1 << 20):
 _CHUNKS = "block bigint, doc_id bigint, doc_tokens bigint, queue string, total bigint, weight {}, phase double, place bigint, within bigint, ids binary"
 
 
-def _chunks(whole: float):
+def _chunks(whole: float, width: int):
     """Documents, cut where blocks end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def _chunks(whole: float):
                 row += [i] * len(edges)
                 block += blocks
                 within += edges
-                cut += [data[2 * x : 2 * y] for x, y in zip(edges, [*edges[1:], int(size[i])])]
+                cut += [data[width * x : width * y] for x, y in zip(edges, [*edges[1:], int(size[i])])]
             row, within = np.array(row, np.int64), np.array(within, np.int64)
             of = lambda k: batch.column(k).take(pa.array(row))
             columns = [pa.array(block, pa.int64()), of(0), of(6), of(1), of(2), of(3), of(4), pa.array(place[row] + within), pa.array(within), pa.array(cut, pa.binary())]
@@ -129,13 +129,13 @@ def _chunks(whole: float):
     return run
 
 
-def _pieces(whole: float):
+def _pieces(whole: float, kind: np.dtype):
     """The pieces of a block."""
 
     def cut(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         ids = t["ids"].to_pylist()
-        size = np.array([len(x) // 2 for x in ids], np.int64)
+        size = np.array([len(x) // kind.itemsize for x in ids], np.int64)
         ends = np.cumsum(size)
         chunk = np.repeat(np.arange(len(size)), size)
         nth = np.arange(ends[-1]) - np.repeat(ends - size, size)
@@ -159,7 +159,7 @@ def _pieces(whole: float):
         new[1:] = (chunk[1:] != chunk[:-1]) | (at[1:] != at[:-1] + 1) | (at[1:] % WINDOW == 0)
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(at))
-        flat = memoryview(np.frombuffer(b"".join(ids), "<u2").astype("<u4").tobytes())
+        flat = memoryview(np.frombuffer(b"".join(ids), kind).astype("<u4").tobytes())
         crc = np.fromiter((zlib.crc32(flat[a:b]) for a, b in zip((lo * 4).tolist(), (hi * 4).tolist())), np.int64, len(lo))
         c = chunk[lo]
         columns = [t["doc_id"].take(pa.array(c)), within[c] + nth[lo], hi - lo, crc, t["doc_tokens"].to_numpy()[c], at[lo] // WINDOW, at[lo] % WINDOW]
@@ -188,6 +188,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str = "doc_id
     the table holds, None for null ones); without it the shares are the table's own and all queues end together."""
     queue = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), queue.alias("queue"))
+    kind = id_type(tokenizer_path)
     ids = written(docs.mapInArrow(_tokenised(tokenizer_path, end_id), "doc_id bigint, queue string, part int, start bigint, n bigint, ids binary"), "packing-ids")
     by_part = ids.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     sums = by_part.groupBy("queue").agg(F.sum("n").alias("total"))
@@ -211,9 +212,9 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str = "doc_id
     blocks = sizes.withColumn("inner", ahead(Window.partitionBy("super").orderBy("block"))).join(supers, "super")
     blocks = written(blocks.select("block", (F.col("inner") + F.col("base")).alias("base")), "packing-bases")
     placed = ids.join(base.drop("n"), ["part", "queue"]).select("doc_id", "queue", "total", "weight", "phase", (F.col("base") + F.col("start")).alias("start"), "n", "ids")
-    chunks = placed.mapInArrow(_chunks(whole), _CHUNKS.format("double" if targets else "bigint"))
+    chunks = placed.mapInArrow(_chunks(whole, kind.itemsize), _CHUNKS.format("double" if targets else "bigint"))
     return chunks.join(blocks, "block").groupBy("block").applyInArrow(
-        _pieces(whole),
+        _pieces(whole, kind),
         "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     )
 

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .tokens import word_encoder
+from .hashing import text_slices
+from .tokens import WordEncoder, encoder
 
 #: Ids in a word of each selector from 1, most first, and the bits of each.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -109,7 +110,8 @@ _BLOCK_DDL = "part int, block int, start bigint, n_ids bigint, doc_ids array<big
 
 def _blocks(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = word_encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(WordEncoder, path), TaskContext.get().partitionId()
+        end = np.array([end_id], encode.kind).tobytes()
         block, start = 0, 0
         keys: list = []
         docs: list[np.ndarray] = []
@@ -125,17 +127,17 @@ def _blocks(path: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
         n = 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
-                keys.append(key)
-                docs.append(ids)
-                n += len(ids)
-                if n >= block_ids:
-                    yield out()
-                    block, start, n = block + 1, start + n, 0
-                    keys.clear()
-                    docs.clear()
+        for whole in batches:
+            for batch in text_slices(whole, 1):
+                for key, data in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1))):
+                    keys.append(key)
+                    docs.append(np.frombuffer(data + end, encode.kind))
+                    n += len(docs[-1])
+                    if n >= block_ids:
+                        yield out()
+                        block, start, n = block + 1, start + n, 0
+                        keys.clear()
+                        docs.clear()
         if docs:
             yield out()
 

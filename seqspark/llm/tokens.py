@@ -1,26 +1,27 @@
 """Token ids of whole texts by two public vocabularies, for the packing and output operators.
 
-Both give the ids that the ``tokenizers`` library gives (special tokens not added), yet through
-``tiktoken``'s merges of the words of distinct runs of text, in less time. That is exact: a trained vocabulary reaches
-each of its pieces by one pair only, so ranks of joined pieces and listed merges choose alike (tests
-compare both on all test texts and on every piece). Texts that hold the string of a special token, or
-the marker byte, go through ``tokenizers`` itself."""
+Both give the ids that the ``tokenizers`` library gives (special tokens not added), yet through ``tiktoken``'s
+merges of distinct runs of text (a word with its punctuation, say), which are learned together and remembered.
+That is exact: a trained vocabulary reaches each of its pieces by one pair only, so ranks of joined pieces and
+listed merges choose alike (tests compare both on all test texts, odd white space and pieces of the
+vocabularies). Texts that hold the string of a special token, or the marker byte, go through ``tokenizers``."""
 
 from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 import unicodedata
+from itertools import chain
 
 import numpy as np
-
-#: Distinct runs of text (a word with its punctuation, say) whose ids an encoder remembers before it
-#: starts anew, and the characters of the longest.
-KEPT_RUNS, KEPT_LENGTH = 400_000, 64
-_PATTERN_50K = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PATTERN_49K = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+import pyarrow as pa
+
+#: Characters of distinct runs that an encoder remembers before it starts anew.
+KEPT_CHARS = 3 << 20
+#: The pattern of byte-level vocabularies, and the same with runs that end in a zero byte.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACED_RUNS = r"\x00|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x00]+|\s+(?![^\s\x00])|\s+"
+_PATTERN_49K = r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A space between two white spaces: nowhere else does a word of the first pattern reach over the place
 #: before a space. Words of the second hold no white space.
 _WITHIN = re.compile(r"\s \s").search
@@ -35,94 +36,134 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Remembered(dict):
-    """A run of text -> the ids of its words as bytes; a run is encoded when it is first asked for. The
-    pattern must cut each of its own words as one word, and texts the same way run by run."""
-
-    def __init__(self, fast, find, end: bytes):
-        self.fast, self.find, self.end = fast, find, end
-
-    def __missing__(self, run: str) -> bytes:
-        words = self.find(run)
-        if len(words) > 1:
-            ids = b"".join([self[w] for w in words])
-        else:
-            ids = b"".join([np.array(self.fast._encode_single_piece(w.encode() + self.end), np.uint32).tobytes() for w in words])
-        if len(run) <= KEPT_LENGTH:
-            if len(self) >= KEPT_RUNS:
-                self.clear()
-            self[run] = ids
-        return ids
-
-    def of(self, runs: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, runs)), np.uint32)
-
-
-def held(key: tuple, make):
-    """make(), kept for the life of this worker process, so that tasks share what it remembers."""
-    kept = sys.modules.setdefault("_worker_encoders", types.ModuleType("_worker_encoders")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
-
-
-def byte_encoder(path: str):
-    """text -> ids, for a byte-level vocabulary file of ``tokenizers``."""
-    return held(("byte", path), lambda: _byte_encoder(path))
-
-
-def word_encoder(path: str):
-    """text -> ids, for a vocabulary file of ``tokenizers`` with word ends, which drops white space and
-    case. The end of each word is a zero byte here; a piece with a word end ends in it."""
-    return held(("word", path), lambda: _word_encoder(path))
-
+def id_type(path: str) -> np.dtype:
+    """The narrowest unsigned type that holds every id of a vocabulary file."""
+    return np.dtype("<u2" if max(_vocabulary(path)[0].values(), default=0) < 1 << 16 else "<u4")
 
-def _byte_encoder(path: str):
-    import regex
-    import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
+def _vocabulary(path: str) -> tuple[dict[str, int], list[str]]:
+    """(piece -> id, special tokens' strings)"""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [x["content"] for x in spec["added_tokens"]]
-    byte = _byte_chars()
-    ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    find = regex.compile(_PATTERN_50K).findall
-    known = _Remembered(tiktoken.Encoding("own", pat_str=_PATTERN_50K, mergeable_ranks=ranks, special_tokens={}), find, b"")
-
-    def encode(text: str) -> np.ndarray:
-        if "\0" in text or any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return known.of(find(text) if _WITHIN(text) else text.replace(" ", "\0 ").split("\0"))
+    return spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}, special
+
+
+class Runs:
+    """ids(column): the ids of each text of an Arrow column, as bytes of ``kind``. Subclasses cut a text into
+    runs, and give the ids of many runs at once with the number of ids up to each run's end; texts that are
+    ``odd`` go alone."""
+
+    kind: np.dtype
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def ids(self, column: pa.Array) -> list[bytes]:
+        texts = [x or "" for x in column.to_pylist()]
+        odd = list(map(self.odd, texts))
+        runs = [[] if o else self.runs(t) for t, o in zip(texts, odd)]
+        flat = list(chain.from_iterable(runs))
+        found = list(map(self.known.get, flat))
+        fresh = list({r for r, x in zip(flat, found) if x is None})
+        if fresh:
+            many, ends = self.learned(fresh)
+            data, at = many.astype(self.kind).tobytes(), (ends * self.kind.itemsize).tolist()
+            self.known.update(zip(fresh, [data[a:b] for a, b in zip([0, *at], at)]))
+            self.held += sum(map(len, fresh))
+            found = [self.known[r] if x is None else x for r, x in zip(flat, found)]
+        out, lo = [], 0
+        for text, o, r in zip(texts, odd, runs):
+            hi = lo + len(r)
+            out.append(np.array(self.alone(text), self.kind).tobytes() if o else b"".join(found[lo:hi]))
+            lo = hi
+        if self.held > KEPT_CHARS:
+            self.known, self.held = {}, 0
+        return out
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """Runs that ``SPACED`` cuts alike alone and in the text, which holds no zero byte."""
+    return [text] if _WITHIN(text) else text.replace(" ", "\0 ").split("\0")
+
+
+class Encoder(Runs):
+    """Of a vocabulary file of ``tokenizers``."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.vocab, self.special = _vocabulary(path)
+        self.kind = id_type(path)
+
+    def odd(self, text: str) -> bool:
+        return "\0" in text or any(s in text for s in self.special)
+
+    def alone(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+
+class ByteEncoder(Encoder):
+    """For a byte-level vocabulary file."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        super().__init__(path)
+        byte = _byte_chars()
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in self.vocab.items() if piece not in self.special}
+        self.fast, self.mark = tiktoken.Encoding("own", pat_str=SPACED_RUNS, mergeable_ranks=ranks, special_tokens={}), ranks[b"\0"]
+
+    def runs(self, text: str) -> list[str]:
+        return cut_at_spaces(text)
+
+    def learned(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.fast.encode_to_numpy("\0".join([*runs, ""]), disallowed_special=())
+        mark = ids == self.mark
+        return ids[~mark], np.flatnonzero(mark) - np.arange(len(runs))
+
+
+class WordEncoder(Encoder):
+    """For a vocabulary file with word ends, which drops white space and case. The end of each word is a zero
+    byte here; a piece with a word end ends in it."""
+
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
+
+        super().__init__(path)
+        byte, ranks = _byte_chars(), {}
+        for piece, i in self.vocab.items():
+            if piece not in self.special:
+                stem = piece.removesuffix("</w>")
+                ranks.setdefault(bytes(byte[c] for c in stem) + b"\0" * (stem != piece), i)
+        self.find = regex.compile(_PATTERN_49K).findall
+        self.fast = tiktoken.Encoding("own", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(self.vocab.values()) + 1, bool)
+        self.ends[[i for piece, i in ranks.items() if piece.endswith(b"\0")]] = True
+
+    def runs(self, text: str) -> list[str]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form: letters lose case one by one
+        text = text.lower()
+        return [w for w in self.find(text) if w != "\n"] if _SEPARATORS(text) else text.split()
 
-    return encode
+    def learned(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = self.find("\n".join([*runs, ""]))
+        last = np.array([w == "\n" for w in words])
+        ids = self.fast.encode_to_numpy("".join([w + "\0" for w in words if w != "\n"]), disallowed_special=())
+        ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)  # behind each word
+        return ids, ends[np.flatnonzero(last) - np.arange(len(runs))]
 
 
-def _word_encoder(path: str):
-    import regex
-    import tiktoken
-    from tokenizers import Tokenizer
+_encoders: dict[tuple, Encoder] = {}
 
-    whole = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = [x["content"] for x in spec["added_tokens"]]
-    byte, ranks = _byte_chars(), {}
-    for piece, i in spec["model"]["vocab"].items():
-        if piece not in special:
-            stem = piece.removesuffix("</w>")
-            key = bytes(byte[c] for c in stem) + b"\0" * (stem != piece)
-            ranks.setdefault(key, i)
-    find = regex.compile(_PATTERN_49K).findall
-    known = _Remembered(tiktoken.Encoding("own", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={}), find, b"\0")
-
-    def encode(text: str) -> np.ndarray:
-        if "\0" in text or any(s in text for s in special):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final form: letters lose case one by one
-        text = text.lower()
-        return known.of(find(text) if _SEPARATORS(text) else text.split())
 
-    return encode
+def encoder(kind: type[Encoder], path: str) -> Encoder:
+    """One for each worker process, so that its tasks share what it remembers."""
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path)
+    return _encoders[kind, path]
