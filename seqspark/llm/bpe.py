@@ -1,38 +1,51 @@
 """Operator 1: byte-level BPE encoding and decoding.
 
-Encoding runs in three narrow steps, without a shuffle:
+Encoding:
 
-1. ``mapInArrow`` splits the texts of a chunk (some MB of text) with the tokenizer's pattern. A chunk
-   keeps each distinct word once; a document becomes a list of word numbers.
-2. Spark higher-order functions fold the merges over the bytes of each distinct word of the chunk: the
-   state is the list of pieces and the ranks of adjacent pairs; each step merges the leftmost pair of
-   the lowest rank. Ranks come from a literal map (a perfect hash in two literal arrays).
-3. ``mapInArrow`` puts the ids of the words back in the documents' order.
+1. ``mapInArrow`` splits all texts with the tokenizer's pattern and sends each distinct word of a task; they
+   are counted. The words that most tasks meet, a million at most, are folded and sent to all tasks.
+2. ``mapInArrow`` splits the texts again. A task sends each of its other distinct words once, and then
+   its texts as lists of word numbers.
+3. Spark higher-order functions fold the merges over the bytes of each distinct word: the state is an array
+   of pieces with the ranks of adjacent pairs; each step merges the leftmost pair of the lowest rank. Ranks
+   come from a literal map (two literal arrays).
+4. ``mapInArrow`` puts the ids of the words back in the documents' order.
 
 Decoding concatenates the binary pieces of the ids.
 
-Scale: the work is row-local, so it grows with the bytes of text and a lost task redoes its own split
-only. A chunk is bounded by ``chunk_bytes`` (a longer text is a chunk of its own). The literal map
-holds the vocabulary, whose size doesn't depend on the data. The fold of a word of n bytes takes up to
-n steps of n array entries, which is nothing for words, yet slow for one unbroken run of letters of
-100,000 bytes or more; such runs are encoded like any other.
+Scale: only distinct words of tasks are shuffled, to be counted; all else is row-local, so it grows with the
+bytes of text and a lost task redoes its own split only. A task holds some MB of texts and a bounded number of distinct words. The literal map holds the
+vocabulary, whose size doesn't depend on the data. The fold of a word of n bytes takes up to n steps of n
+array entries, which is nothing for words; one unbroken run of over 512 bytes is merged with a heap instead.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
+from .hashing import text_buffer, text_slices
+from .tokens import SPACED, SPACED_RUNS, Runs, cut_at_spaces
 
-NO_RANK = 2**31 - 1
-_BITS = 18  # of an id; a pair takes twice as many
-_MULT = (104_395_301, 122_949_823)  # below 2**27: the products stay below 2**63
+_BITS = 18  # of an id, and of a rank
+_NONE = 1 << _BITS
+_SPREAD = 2_654_435_761
+#: Bytes of a word that Spark folds; longer ones are merged with a heap, in n log n steps.
+LONGEST = 512
+#: Distinct words that a task remembers before it starts anew, and common ones that a task folds.
+KEPT_WORDS, _SOME_WORDS = 300_000, 20_000
+#: Words that are folded once for all tasks: a bound on what is broadcast, some 30 MB.
+COMMON_WORDS = 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,60 +55,64 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """(left id, right id) as one number -> rank of the joined piece, for all ways to cut each piece."""
-    if max(ranks.values(), default=0) >= 1 << _BITS:
+    """(left id, right id) as one number -> rank of the joined piece. A piece has one pair at most: while its
+    bytes are merged, nothing reaches over their ends until they are one piece, so they go through the states
+    that they go through alone, of which one has two pieces."""
+    if max(ranks.values(), default=0) + 1 >= 1 << _BITS:
         raise ValueError(f"ids must be below 2**{_BITS}")
-    return {
-        (ranks[t[:i]] << _BITS) + ranks[t[i:]]: k
-        for t, k in ranks.items()
-        for i in range(1, len(t))
-        if t[:i] in ranks and t[i:] in ranks
-    }
+    out = {}
+    for piece, rank in list(ranks.items()):
+        if len(piece) > 1:
+            del ranks[piece]
+            two = merge_long(piece, ranks)
+            ranks[piece] = rank
+            if len(two) == 2:
+                out[(two[0] << _BITS) + two[1]] = rank
+    return out
 
 
 class RankMap:
-    """A literal hash map for Spark: pair of ids -> rank, without collisions and in two lookups. (Spark's
-    MapType looks keys up one after the other.)"""
-
-    def __init__(self, pairs: dict[int, int]):
-        keys = np.array(list(pairs), np.int64)
-        m = 1 << max(4, int(2 * len(keys)).bit_length())
-        b = max(4, m // 8)
-        h1, h2 = (keys * _MULT[0] >> 23) % b, (keys * _MULT[1] >> 19) % m
-        slots, shift = np.full(m, -1, np.int64), np.zeros(b, np.int64)
-        taken = bytearray(m)
-        order = np.argsort(h1, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(h1[order])) + 1) if len(keys) else []
-        for g in sorted(groups, key=len, reverse=True):
-            at = h2[g]
-            for d in range(m):
-                p = (at + d) % m
-                if len(set(p.tolist())) == len(p) and not any(taken[x] for x in p):
+    """A literal map for Spark: a pair of ids -> rank, in two lookups. (Spark's MapType looks keys up one after
+    the other.) Each left id has a place in a table of slots, where its right ids are added to it; the places
+    are such that no slot is used twice."""
+
+    def __init__(self, pairs: dict[int, int], ids: int):
+        keys = np.array(sorted(pairs), np.int64)
+        left, right = keys >> _BITS, keys & (_NONE - 1)
+        rank = np.array([pairs[k] for k in keys.tolist()], np.int64)
+        first = np.flatnonzero(np.append(True, left[1:] != left[:-1])[: len(left)])
+        spans = sorted(zip(first.tolist(), np.append(first[1:], len(left)).tolist()), key=lambda x: x[0] - x[1])
+        self.places = np.zeros(ids + 1, np.int64)
+        room = 3 * len(keys) + 64  # places; a left id looks for its own from one by its number on
+        slots = np.full(room + ids + 65, 1 << 2 * _BITS, np.int64)  # empty: no left id's
+        free = np.ones(len(slots), bool)
+        for a, b in spans:  # those with many right ids first
+            r, at = right[a:b], int(left[a]) * _SPREAD % room
+            for _ in range(room // 64 + 2):
+                fits = free[np.arange(at, at + 64)[:, None] + r].all(axis=1)
+                if fits.any():
                     break
+                at = (at + 64) % room
             else:
-                raise ValueError("no perfect hash for these pairs")
-            shift[h1[g[0]]] = d
-            for x, key in zip(p.tolist(), keys[g].tolist()):
-                taken[x], slots[x] = 1, (key << _BITS) + pairs[key]
-        self.b, self.m, self.shift, self.slots = b, m, shift, slots
+                raise ValueError("no place for the pairs of a piece")
+            at += int(np.argmax(fits))
+            self.places[left[a]] = at
+            slots[at + r] = (left[a] << _BITS) + rank[a:b]
+            free[at + r] = False
+        self.slots = np.append(slots, np.full(64, slots[-1]))
 
     @staticmethod
     def _literal(values: np.ndarray) -> Column:
         return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
 
-    def lookup(self) -> Column:
-        """A function of two id columns."""
-        shift, slots = self._literal(self.shift), self._literal(self.slots)
-        b, m = F.lit(self.b).cast("long"), F.lit(self.m).cast("long")
+    def entry(self):
+        """A function of two id columns: rank << 18 | left id; pairs that don't merge have the rank 2**18."""
+        places, slots = self._literal(self.places), self._literal(self.slots)
 
         def of(left: Column, right: Column) -> Column:
-            def entry(key: Column) -> Column:
-                d = F.get(shift, F.shiftright(key * F.lit(_MULT[0]), 23) % b)
-                e = F.get(slots, (F.shiftright(key * F.lit(_MULT[1]), 19) + d) % m)
-                # the id, if the upper bits are the key; another key's entry gives at least 2**18
-                return let(e - F.shiftleft(key, _BITS), lambda x: F.when((x >= 0) & (x < 1 << _BITS), x.cast("int")).otherwise(NO_RANK))
-
-            return let(F.shiftleft(left.cast("long"), _BITS) + right, entry)
+            found = F.get(slots, (F.get(places, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, _BITS))
+            # the rank where the slot is this left id's; another's differs in the upper bits
+            return F.shiftleft(F.least(found, F.lit(_NONE).cast("long")), _BITS).bitwiseOR(left)
 
         return of
 
@@ -106,128 +123,254 @@ def let(value: Column, of) -> Column:
 
 
 def merge_column(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of one word's bytes: array<int>."""
-    rank_of = RankMap(pair_ranks(ranks)).lookup()
-    base = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
+    """The ids of one word's bytes: array<int>. The state of the fold is one array, an entry for each piece,
+    with marks at both ends that merge with nothing; its least entry is the leftmost pair of the lowest rank."""
+    mark = max(ranks.values()) + 1
+    entry = RankMap(pair_ranks(ranks), mark).entry()
+    base = F.split(F.lit(",".join(str(ranks[bytes([i])]) for i in range(256))), ",").cast("array<bigint>")
+    end = F.lit(mark).cast("long")
     chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
     bytes_ = F.transform(chars, lambda c: F.get(base, F.ascii(c)))
-
-    none = F.array().cast("array<int>")
+    id_of = lambda x: x.bitwiseAND(F.lit(_NONE - 1))
 
     def merged(s: Column, low: Column, at: Column) -> Column:
-        ids, rs = s["ids"], s["ranks"]
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-            F.concat(
-                F.slice(rs, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                F.when(at > 1, F.array(rank_of(F.get(ids, at - 2), low))).otherwise(none),
-                F.when(at < F.size(rs), F.array(rank_of(low, F.get(ids, at + 1)))).otherwise(none),
-                F.slice(rs, at + 2, F.size(rs)),
-            ).alias("ranks"),
-        )
+        new = F.shiftright(low, _BITS)
+        pair = F.array(entry(id_of(F.get(s, at - 2)), new), entry(new, id_of(F.get(s, at + 1))))
+        return F.concat(F.slice(s, F.lit(1), at - 2), pair, F.slice(s, at + 2, F.size(s)))
 
     def step(s: Column, _) -> Column:
-        found = lambda low: let(F.array_position(s["ranks"], low).cast("int"), lambda at: merged(s, low, at))
-        return let(F.coalesce(F.array_min(s["ranks"]), F.lit(NO_RANK)), lambda low: F.when(low == NO_RANK, s).otherwise(found(low)))
+        found = lambda low: let(F.array_position(s, low).cast("int"), lambda at: merged(s, low, at))
+        return let(F.array_min(s), lambda low: F.when(low >= F.lit(_NONE << _BITS), s).otherwise(found(low)))
 
     def fold(ids: Column) -> Column:
-        rest = F.slice(ids, F.lit(2), F.size(ids))
-        ranks_ = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), rest, rank_of)
-        start = F.struct(ids.alias("ids"), ranks_.alias("ranks"))
-        return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(rest, start, step, lambda s: s["ids"]))
+        start = F.concat(F.zip_with(F.concat(F.array(end), ids), F.concat(ids, F.array(end)), entry), F.array(F.lit((_NONE << _BITS) + mark)))
+        return F.aggregate(ids, start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: id_of(x).cast("int")))
 
     return let(bytes_, fold)
 
 
-_CHUNK = pa.schema(
-    [("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("numbers", pa.binary()), ("words", pa.list_(pa.string()))]
-)
-
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a long word, by the same merges: the leftmost pair of the lowest rank each time."""
+    n = len(word)
+    ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))  # of the piece at each place
+    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, stop = heapq.heappop(heap)
+        j = after[i] if ends[i] else n
+        if j == n or ends[j] != stop:  # one of the two has been merged since
+            continue
+        ends[i], ends[j], after[i] = stop, 0, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and word[a : ends[b]] in ranks:
+                heapq.heappush(heap, (ranks[word[a : ends[b]]], a, ends[b]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : ends[i]]])
+        i = after[i]
+    return out
+
+
+class Folded:
+    """Words with their ids, found by hash: some arrays, which are sent to every task."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        data, ends = text_buffer(words)
+        raw = data.tobytes()
+        h = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())), np.uint64, len(words))
+        order = np.argsort(h)
+        data, self.word_ends = text_buffer(words.take(pa.array(order)))
+        ids = ids.take(pa.array(order))
+        self.hashes, self.words, self.ids = h[order], data.tobytes(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.id_ends = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    def get(self, word: bytes) -> np.ndarray | None:
+        h = xxhash.xxh64_intdigest(word)
+        i = int(np.searchsorted(self.hashes, np.uint64(h)))
+        while i < len(self.hashes) and int(self.hashes[i]) == h:
+            if self.words[self.word_ends[i] : self.word_ends[i + 1]] == word:
+                return self.ids[self.id_ends[i] : self.id_ends[i + 1]]
+            i += 1
+        return None
+
+
+_NO_WORDS = Folded(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
+
+
+class _Numbers(Runs):
+    """Texts -> numbers of words: from 0 for a word to be folded; the ids of others, each as -1 - id."""
+
+    kind, kept = np.dtype(np.int32), 6 << 20
+
+    def __init__(self, pattern: str, ranks: dict[bytes, int], folded: Folded | None = None):
+        import regex
 
-def _splitter(pattern: str, ranks, chunk_bytes: int):
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        super().__init__()
+        self.find, self.find_runs, self.spaced, self.ranks = regex.compile(pattern).findall, regex.compile(SPACED_RUNS).findall, pattern == SPACED, ranks
+        self.folded, self.number = folded or _NO_WORDS, {}
+        self.count, self.fresh = 0, []
+
+    def odd(self, text: str) -> bool:
+        return not self.spaced or "\0" in text
+
+    def alone(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.numbers, self.find(text))), np.int32)
+
+    def numbers(self, word: str) -> bytes:
+        if (known := self.number.get(word)) is not None:
+            return known
+        data = word.encode()
+        if (rank := self.ranks.get(data)) is not None:
+            ids = np.array([-1 - rank], np.int32)
+        elif len(data) > LONGEST:
+            return (-1 - np.array(merge_long(data, self.ranks), np.int32)).tobytes()
+        elif (ids := self.folded.get(data)) is not None:
+            ids = -1 - ids
+        else:
+            ids = np.array([self.count], np.int32)
+            self.count += 1
+            self.fresh.append(word)
+        self.number[word] = known = ids.tobytes()
+        return known
+
+    def runs(self, text: str) -> list[str]:
+        return cut_at_spaces(text)
+
+    def learned(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words, out = self.find_runs("\0".join([*runs, ""])), []
+        for w in words:
+            out.append(b"" if w == "\0" else self.number.get(w) or self.numbers(w))
+        ends = np.cumsum([len(x) for x in out])[[i for i, w in enumerate(words) if w == "\0"]] // 4
+        return np.frombuffer(b"".join(out), np.int32), ends
+
+
+def _distinct(pattern: str, ranks):
+    """The words of a task that are to be folded, each once (again where it has met very many)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, direct = regex.compile(pattern).findall, ranks.value
-        known: dict[str, int] = {}
-        fresh: list[str] = []
-        keys, sizes, numbers, held = [], [], [], 0
-
-        def number(w: str) -> int:
-            k = direct.get(w.encode())
-            if k is not None:
-                return -1 - k
-            fresh.append(w)
-            return len(fresh) - 1
-
-        def out() -> pa.RecordBatch:
-            flat = np.concatenate(numbers).tobytes() if numbers else b""
-            row = pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((keys[:], sizes[:], flat, fresh[:]), _CHUNK)], schema=_CHUNK)
-            for x in (keys, sizes, numbers, fresh):
-                x.clear()
-            known.clear()
-            return row
-
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ws = find(text.as_py() or "")
-                for w in set(ws):
-                    if w not in known:
-                        known[w] = number(w)
-                keys.append(key)
-                sizes.append(len(ws))
-                numbers.append(np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)))
-                held += 4 * len(ws)
-                if held >= chunk_bytes:
-                    yield out()
-                    held = 0
-        if keys:
-            yield out()
-
-    return split
-
-
-def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, runs_of = regex.compile(pattern).findall, regex.compile(SPACED_RUNS).findall
+        runs: set[str] = set()
+        seen: set[str] = set()
+        for whole in batches:
+            for batch in text_slices(whole, 0):
+                texts = batch.column(0).fill_null("").to_pylist()
+                plain = [t for t in texts if pattern == SPACED and "\0" not in t]
+                fresh = set(chain.from_iterable(map(cut_at_spaces, plain))) - runs
+                words = set(runs_of("\0".join(fresh)))
+                words.update(*(find(t) for t in texts if pattern != SPACED or "\0" in t))
+                words = [w for w in words - seen if len(w) <= LONGEST and w.encode() not in ranks.value]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+                runs |= fresh
+                seen.update(words)
+                if len(runs) >= KEPT_WORDS:
+                    runs, seen = set(), set()
+
+    return run
+
+
+def common_words(texts: DataFrame, ranks: dict[bytes, int], shared, pattern: str, most: int) -> Folded:
+    """Ids of the words that most tasks meet, ``most`` words at most: folded once for all tasks. Words are
+    counted over all texts; the least count that keeps to the bound is found by a histogram of few rows."""
+    counts = texts.mapInArrow(_distinct(pattern, shared), "word string").groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = written(counts.withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "bpe-words")
+    held, least = 0, None
+    for level, n in sorted(map(tuple, counts.groupBy("level").agg(F.count("*")).collect()), reverse=True):
+        if held + n > most:
+            break
+        held, least = held + n, level
+    if least is None:
+        return _NO_WORDS
+    found = counts.filter(F.col("level") >= least).repartition(math.ceil(held / _SOME_WORDS)).select("word", merge_column(F.col("word"), ranks).alias("ids")).toArrow()
+    return Folded(found["word"].combine_chunks(), found["ids"].combine_chunks())
+
+
+_ROW = pa.schema([("word", pa.string()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("numbers", pa.binary()), ("last", pa.bool_())])
+_ROW_DDL = "word string, keys array<bigint>, sizes array<bigint>, numbers binary, last boolean"
+
+
+def _splitter(pattern: str, ranks, folded):
+    """Rows of a task: a row for each word to be folded, then one for some texts as numbers of the words so
+    far; behind the last flag, words are numbered anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Numbers(pattern, ranks.value, folded.value)
+        for whole in batches:
+            for batch in text_slices(whole, 1):
+                coded = seen.ids(batch.column(1))
+                full, n = seen.count >= KEPT_WORDS, len(seen.fresh)
+                row = [batch.column(0).to_pylist(), [len(x) // 4 for x in coded], b"".join(coded), full]
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(seen.fresh, pa.string()), *(pa.nulls(n, f.type) for f in list(_ROW)[1:])], schema=_ROW)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([None, *row], _ROW)], schema=_ROW)
+                seen.fresh = []
+                if full:
+                    seen = _Numbers(pattern, ranks.value, folded.value)
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch], pieces: dict[int, bytes] | None) -> Iterator[pa.RecordBatch]:
+    """(key, ids), and with pieces the bytes that the ids stand for."""
+    flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for batch in batches:
-        for i in range(batch.num_rows):
-            keys, sizes = batch.column(0)[i].as_py(), np.array(batch.column(1)[i].as_py(), np.int64)
-            numbers = np.frombuffer(batch.column(2)[i].as_buffer(), np.int32)
-            lists = batch.column(3)[i].values
-            if lists is None or not len(lists):
-                offsets, flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
-            else:
-                offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy(zero_copy_only=False)
-            fresh = numbers >= 0
-            at = np.where(fresh, numbers, 0)
-            count = np.ones(len(numbers), np.int64)
-            if fresh.any():
-                count[fresh] = (offsets[1:] - offsets[:-1])[at[fresh]]
-            ends = np.cumsum(count)
-            ids = np.repeat(-1 - numbers, count)
-            if fresh.any():
-                long = np.repeat(fresh, count)
-                within = np.arange(len(ids)) - np.repeat(ends - count, count)
-                ids[long] = flat[np.repeat(np.where(fresh, offsets[at], 0), count)[long] + within[long]]
-            ids = ids.astype("<u4")
-            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-            for lo in range(0, len(keys), 2000):
-                some = range(lo, min(lo + 2000, len(keys)))
-                yield pa.RecordBatch.from_pydict(
-                    {"key": pa.array([keys[j] for j in some], pa.int64()), "ids": pa.array([ids[cuts[j] : cuts[j + 1]].tobytes() for j in some], pa.binary())}
-                )
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 24 << 20) -> DataFrame:
+        lo = 0
+        for hi in [*np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
+            words = batch.column(0).slice(lo, hi - lo)
+            flat.append(words.flatten().to_numpy(zero_copy_only=False))
+            count.append(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = hi + 1
+            if hi == batch.num_rows:
+                break
+            keys, sizes = batch.column(1)[hi].as_py(), np.array(batch.column(2)[hi].as_py(), np.int64)
+            numbers = np.frombuffer(batch.column(3)[hi].as_buffer(), np.int32)
+            flat, count = [np.concatenate(flat)], [np.concatenate(count)]
+            fresh = np.flatnonzero(numbers >= 0)
+            n = np.ones(len(numbers), np.int64)
+            n[fresh] = count[0][numbers[fresh]]
+            ends = np.cumsum(n)
+            ids = np.repeat(-1 - numbers, n)
+            first, many = (np.cumsum(count[0]) - count[0])[numbers[fresh]], n[fresh]
+            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            ids[np.repeat(ends[fresh] - many, many) + within] = flat[0][np.repeat(first, many) + within]
+            data, cuts = ids.astype("<u4").tobytes(), 4 * np.append(0, ends)[np.append(0, np.cumsum(sizes))]
+            each = [data[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+            row = {"key": pa.array(keys, pa.int64()), "ids": pa.array(each, pa.binary())}
+            if pieces:
+                row["decoded"] = pa.array([concatenated(x, pieces) for x in each], pa.binary())
+            yield pa.RecordBatch.from_pydict(row)
+            if batch.column(4)[hi].as_py():
+                flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+
+_PLAN_STRING = 1 << 16
+
+
+def _bytes_of(size: str) -> int:
+    return int(size) if size.isdigit() else 1 << 31
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", common: int = COMMON_WORDS, decoded: bool = False) -> DataFrame:
     """(key, ids): ids as little-endian unsigned 32-bit integers in one binary. A null text counts as
     empty and gives no ids; a null key stays null; repeated rows give a row each; other columns don't
-    take part. An empty table gives no rows."""
-    ranks = load_ranks(ranks_path)
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
-    chunks = df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        _splitter(pattern, shared, chunk_bytes), "keys array<bigint>, sizes array<int>, numbers binary, words array<string>"
-    )
-    ids = chunks.select("keys", "sizes", "numbers", F.transform("words", lambda w: merge_column(w, ranks)).alias("ids"))
-    return ids.mapInArrow(_joiner, "key bigint, ids binary").withColumnRenamed("key", key)
+    take part. An empty table gives no rows. ``common`` bounds the words that are folded once for all tasks;
+    ``decoded`` adds the bytes that ``decode`` gives for the ids, without another pass."""
+    ranks, sc = load_ranks(ranks_path), df.sparkSession.sparkContext
+    if _bytes_of(df.sparkSession.conf.get("spark.sql.maxPlanStringLength")) > _PLAN_STRING:  # plans print the literal map whole, and the driver keeps what they print
+        df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(_PLAN_STRING))
+    shared = sc.broadcast(ranks)
+    folded = sc.broadcast(common_words(df.select(text), ranks, shared, pattern, common))
+    rows = df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_splitter(pattern, shared, folded), _ROW_DDL)
+    ids = rows.select(merge_column(F.col("word"), ranks).alias("ids"), "keys", "sizes", "numbers", "last")
+    pieces = sc.broadcast({v: k for k, v in ranks.items()} if decoded else None)
+    return ids.mapInArrow(lambda batches: _joined(batches, pieces.value), "key bigint, ids binary" + ", decoded binary" * decoded).withColumnRenamed("key", key)
+
+
+def concatenated(ids: bytes, pieces: dict[int, bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -236,8 +379,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
 
     @F.pandas_udf("binary")
     def join(col):
-        of = pieces.value.__getitem__
-        return col.map(lambda b: None if b is None else b"".join(map(of, np.frombuffer(b, "<u4").tolist())))
+        return col.map(lambda b: None if b is None else concatenated(b, pieces.value))
 
     return df.withColumn(out, join(ids))
 
@@ -246,7 +388,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(documents(spark, sf_dir), path, P.PATTERN), path)
+    coded = encode(documents(spark, sf_dir), path, P.PATTERN, decoded=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

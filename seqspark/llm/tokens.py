@@ -55,6 +55,7 @@ class Runs:
     ``odd`` go alone."""
 
     kind: np.dtype
+    kept = KEPT_CHARS
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
@@ -78,7 +79,7 @@ class Runs:
             hi = lo + len(r)
             out.append(np.array(self.alone(text), self.kind).tobytes() if o else b"".join(found[lo:hi]))
             lo = hi
-        if self.held > KEPT_CHARS:
+        if self.held > self.kept:
             self.known, self.held = {}, 0
         return out
 

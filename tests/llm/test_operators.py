@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -49,11 +50,33 @@ def test_byte_bpe(spark, texts):
     assert bpe.encode(table(spark, []), path, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_long_runs_pieces_and_other_patterns(spark, monkeypatch):
+    import tiktoken
+
+    path, rnd = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(2)
+    ranks = bpe.load_ranks(path)
+    some = ["".join(rnd.choice("abcdefghij") for _ in range(100_000)), "ab" * 40_000, "é" * 3000, "a  b \n \n c\0d \0 e", None, "x y " * 500]
+    some += [" ".join(b.decode(errors="ignore") for b in rnd.sample(list(ranks), 3000)) for _ in range(4)]
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 400)  # words are numbered anew between texts
+    monkeypatch.setattr(hashing, "_SOME", 1)
+    for pattern in (P.PATTERN, r"\p{L}+|[^\p{L}]"):
+        want = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for r in bpe.encode(table(spark, some), path, pattern, decoded=True).collect():
+            assert np.frombuffer(r.ids, "<u4").tolist() == want.encode_ordinary(some[r.doc_id] or "") and bytes(r.decoded) == (some[r.doc_id] or "").encode()
+
+
 def test_encoders(texts):
-    for make, name in ((tokens.byte_encoder, "byte_bpe_50k.json"), (tokens.word_encoder, "word_bpe_49k.json")):
-        encode, whole = make(P.path(name)), Tokenizer.from_file(P.path(name))
-        for t in [*filter(None, texts), "ΑΣ İ ﬁ ½ x", "a\0b", "a   b \n \n c  d\n e ", "x\x1cy \x1f z\u00a0 w's"]:
-            assert encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+    rnd = random.Random(1)
+    parts = [*" \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\0\u00a0\u2009\u3000\u200b'aZé\u0301ΣςİßﬁÅ1½²٣漢!?…🙂", "'s", "'re", "ll", "e\u0301", "<|end", "of", "text|>", "<|endoftext|>", " and"]
+    odd = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(5000)]
+    for make, name in ((tokens.ByteEncoder, "byte_bpe_50k.json"), (tokens.WordEncoder, "word_bpe_49k.json")):
+        own, whole = make(P.path(name)), Tokenizer.from_file(P.path(name))
+        pieces = [whole.decode([i]) for i in range(0, whole.get_vocab_size(), 3)]  # and all of them, in runs of some ids
+        some = [*filter(None, texts), *odd, *pieces, *(whole.decode(list(range(i, i + 8))) for i in range(0, whole.get_vocab_size() - 8, 8)), ""]
+        for got in (own.ids(pa.array([*some, None])), own.ids(pa.array([*some, None]))):  # unknown and remembered runs
+            assert got[-1] == b""
+            for t, x, want in zip(some, got, whole.encode_batch(some, add_special_tokens=False)):
+                assert np.frombuffer(x, own.kind).tolist() == want.ids, repr(t)
 
 
 def test_packing(spark, texts):
