@@ -1,7 +1,7 @@
 """Reports of scans as files: tab-separated tables, preambles with run statistics, and matrices.
 
-Numbers are formatted in Spark and files written by its CSV writer; ordered reports are hits that passed a
-threshold or a top k, written as one part after a range sort."""
+Numbers are formatted in Spark and files written by its CSV writer; ordered reports are part files of ranges
+in order, since hits that passed a threshold grow with the input."""
 
 from __future__ import annotations
 
@@ -14,14 +14,14 @@ def fixed(column: str | Column, digits: int) -> Column:
 
 
 def write_tsv(df: DataFrame, path: str, digits: int = 6, order: tuple[str, ...] = ()) -> None:
-    """All columns, doubles with so many digits; arrays are joined by commas."""
+    """All columns, doubles with so many digits; arrays are joined by commas. Each part file has the header."""
     shown = []
     for f in df.schema.fields:
         kind = f.dataType.typeName()
         c = F.col(f"`{f.name}`")
         shown.append((fixed(c, digits) if kind == "double" else F.array_join(c.cast("array<string>"), ",") if kind == "array" else c.cast("string")).alias(f.name))
     rows = df.orderBy(*order) if order else df
-    rows.select(*shown).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+    rows.select(*shown).write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
 def write_chunk_hits(hits: DataFrame, stats: DataFrame, settings: dict[str, object], path: str) -> None:
@@ -31,7 +31,7 @@ def write_chunk_hits(hits: DataFrame, stats: DataFrame, settings: dict[str, obje
     spark = hits.sparkSession
     head = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n long, value string").select(F.lit(0).alias("part"), F.lit(0.0).alias("s"), F.col("n").alias("r"), F.lit(0).cast("long").alias("t"), "value")
     body = hits.select(F.lit(1).alias("part"), F.round("score", 4).alias("s"), F.col("record_ord").cast("long").alias("r"), F.col("start").cast("long").alias("t"), F.concat_ws("\t", "header", F.col("start").cast("string"), F.col("end").cast("string"), "window", fixed("score", 4)).alias("value"))
-    head.unionByName(body).orderBy("part", "s", "r", "t").select("value").coalesce(1).write.mode("overwrite").text(path)
+    head.unionByName(body).orderBy("part", "s", "r", "t").select("value").write.mode("overwrite").text(path)
 
 
 def show_matrix(matrix: DataFrame, digits: int = 4) -> None:

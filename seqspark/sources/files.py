@@ -11,25 +11,46 @@ SIZES = {"1x1": 1, "3x3": 3, "5x5": 5}
 INDEX_VERSION = 4
 
 
+def fasta_chunks(reader, path: str | list[str]) -> DataFrame:
+    """(file, block, value) of FASTA files: text between two headers at line starts. Files are split as any
+    lines of text are, so that one large file is read by many tasks. reader: batch or stream."""
+    chunks = reader.option("lineSep", "\n>").text(path)
+    return chunks.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def fasta_records(chunks: DataFrame) -> DataFrame:
+    """(file, block, n, header, sequence) of chunks in the order of reading; n counts the block's records
+    from 0. A chunk holds more than one record where blanks precede a header's sign. Rows meet by block,
+    which is at most a split of a file and the record that crosses its end."""
+    here = Window.partitionBy("file", "block").orderBy("chunk")
+    numbered = chunks.withColumn("chunk", F.monotonically_increasing_id())
+    first = (F.col("block") == 0) & (F.row_number().over(here) == 1)  # what the file begins with may be no record
+    lead = numbered.withColumn("lead", F.when(first, "\n").otherwise("\n>"))
+    parts = lead.withColumn("parts", F.split(F.concat("lead", "value"), r"[\n\r]+[ \t]*>"))
+    before = F.coalesce(F.sum(F.size("parts") - 1).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = parts.withColumn("before", before)  # apart from the explode, else exploded rows would count
+    records = counted.select("file", "block", "before", F.posexplode("parts").alias("n", "part")).filter("n > 0")
+    lines = F.transform(F.split("part", r"[\r\n]+"), lambda x: F.trim(x))
+    body = F.upper(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), ""))
+    header = F.rtrim(F.get(F.split("part", r"[\r\n]+"), 0))
+    return records.select("file", "block", (F.col("before") + F.col("n") - 1).alias("n"), header.alias("header"), body.alias("sequence"))
+
+
 def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(record_ord, header, sequence, file) of every record, by file name and place in the file.
 
     Lines are stripped, blank lines skipped, sequences joined and put in upper case; text before the first
-    header goes; a header without a body has an empty sequence. Files are the unit of reading (one row
-    each), so rows are spread again by record: a large file doesn't leave one task with all windows."""
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    if not files.inputFiles():
+    header goes; a header without a body has an empty sequence; files without a record give no rows. Blocks
+    are counted (a row for each split of a file), so that records are numbered without a sort of them all."""
+    chunks = fasta_chunks(spark.read.option("pathGlobFilter", glob) if glob else spark.read, path)
+    if not chunks.inputFiles():
         raise FileNotFoundError(f"no FASTA files at {path}")
-    parts = F.split(F.concat(F.lit("\n"), "value"), r"[\n\r]+[ \t]*>")
-    records = files.select("file", F.posexplode(parts).alias("n", "part")).filter("n > 0")
-    lines = F.transform(F.split("part", r"[\r\n]+"), lambda x: F.trim(x))
-    body = F.upper(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), ""))
-    split = records.select("file", "n", F.rtrim(F.get(F.split("part", r"[\r\n]+"), 0)).alias("header"), body.alias("sequence"))
-    counts = split.groupBy("file").agg(F.max("n").alias("m"))
-    base = counts.select("file", F.coalesce(F.sum("m").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = split.join(F.broadcast(base), "file")  # a row per file
-    return ranked.select((F.col("base") + F.col("n") - 1).alias("record_ord"), "header", "sequence", "file").repartition("record_ord")
+    records = fasta_records(chunks)
+    counts = records.groupBy("file", "block").agg(F.count("*").alias("m"))
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("file", "block", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
+    ranked = records.join(base, ["file", "block"])
+    return ranked.select((F.col("base") + F.col("n")).alias("record_ord"), "header", "sequence", "file")
 
 
 def motif_stem(path: Column) -> Column:

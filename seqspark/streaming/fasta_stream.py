@@ -1,4 +1,4 @@
-"""Scans of FASTA files as they arrive: the batch scan per micro-batch, hits appended to a table."""
+"""Scans of FASTA files as they arrive: the batch scan per micro-batch, hits added to a table."""
 
 from __future__ import annotations
 
@@ -8,23 +8,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scoring import Profile
 from ..operators.scan import score_windows
+from ..sources.files import fasta_chunks, fasta_records
 
 
 def stream_records(spark: SparkSession, folder: str, glob: str = "*.fasta") -> DataFrame:
-    """(record_ord, header, sequence) of each new file; record_ord is a hash of file and header."""
-    schema = "value string"
-    files = spark.readStream.schema(schema).option("pathGlobFilter", glob).text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    part = files.select("file", F.explode(F.split(F.concat(F.lit("\n"), "value"), r"[\n\r]+[ \t]*>")).alias("part"))
-    lines = F.split("part", r"[\r\n]+")
-    body = F.upper(F.array_join(F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), ""))
-    rows = part.filter(F.trim("part") != "").select(F.rtrim(F.get(lines, 0)).alias("header"), body.alias("sequence"), "file")
-    return rows.select(F.xxhash64("file", "header").alias("record_ord"), "header", "sequence")
+    """The text of the records of each new file, as a stream for ``scan_stream``."""
+    return fasta_chunks(spark.readStream.schema("value string").option("pathGlobFilter", glob), folder)
 
 
 def scan_stream(records: DataFrame, profile: Profile, threshold: float, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Appends hits under the threshold to a Parquet table; each file is scanned once. Stateless, so no watermark is needed."""
+    """Adds hits under the threshold to a Parquet table; each file is scanned once. Stateless, so no
+    watermark is needed. A micro-batch owns a folder of the table (``batch=N``) and writes it anew when it is
+    tried again, so a table belongs to one checkpoint. record_ord is a hash of file and place in it."""
 
     def write(batch: DataFrame, number: int) -> None:
-        score_windows(batch, profile, threshold=threshold, **options).write.mode("append").parquet(path)
+        found = fasta_records(batch).withColumn("record_ord", F.xxhash64("file", "block", "n"))
+        hits = score_windows(found.select("record_ord", "header", "sequence"), profile, threshold=threshold, **options)
+        hits.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -18,6 +18,22 @@ def test_fasta(spark, tmp_path):  # A5, A7
     assert got == [(0, "one x", "AAAKKKAAA"), (1, " two", "QQQLRLQQQ"), (2, "three", ""), (3, "four", "LRL")]
 
 
+def test_fasta_in_splits(spark, tmp_path):  # A6: one file, many tasks
+    want = [(i, f"r{i}", "ACDE" * (i % 40)) for i in range(400)]
+    (tmp_path / "a.fasta").write_text("".join(f"{' ' * (i % 7 == 3)}>{h}\n{s[:60]}\n{s[60:]}\n" for i, h, s in want))
+    (tmp_path / "b.fasta").write_text("no record\n")
+    (tmp_path / "c.fasta").write_text("")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "2000")
+    try:
+        got = S.read_fasta(spark, str(tmp_path), "*.fasta")
+        assert S.fasta_chunks(spark.read, str(tmp_path / "a.fasta")).rdd.getNumPartitions() > 5
+        assert sorted((r.record_ord, r.header, r.sequence) for r in got.collect()) == want
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_motifs_and_index(spark, tmp_path):  # A2, A3, A4, B7, B8, C1, D1, A9-A11
     line = lambda n, res, chain, num, x: f"ATOM  {n:>5}  CA  {res} {chain}{num:>4}    {x:8.3f}{0:8.3f}{0:8.3f}"
     frag, en = tmp_path / "frags-3x3" / "1A" / "1ABC", tmp_path / "en-3x3" / "1A" / "1ABC"
@@ -56,3 +72,34 @@ def test_stream(spark, tmp_path):  # K
     profile = [Position("T", flat(L=-1.5)), Position("T", flat(R=-2.0)), Position("S", flat(L=-1.25))]
     scan_stream(stream_records(spark, str(tmp_path / "in")), profile, -4.0, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert [(r.window, r.score) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("LRL", -4.75)]
+
+
+def test_stream_writes_a_batch_once(spark, tmp_path):  # K: a batch tried again, equal headers
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    flat = lambda **e: [e.get(a, 1.0) for a in A.ALPHABET]
+    profile = [Position("T", flat(L=-1.5)), Position("T", flat(R=-2.0)), Position("S", flat(L=-1.25))]
+
+    def run():
+        scan_stream(stream_records(spark, str(tmp_path / "in")), profile, -4.0, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    (tmp_path / "in" / "a.fasta").write_text(">same\nALRL\n>same\nLRL\n")
+    assert sorted(r.start for r in run().collect()) == [1, 2]
+    (tmp_path / "in" / "b.fasta").write_text(">other\nLRLLRL\n")
+    got = run()
+    assert got.count() == 4 and got.select("record_ord").distinct().count() == 3
+    shutil.rmtree(tmp_path / "cp" / "commits")  # as if the job had died before it noted its batches
+    assert run().count() == 4
+
+
+def test_reports(spark, tmp_path):  # A13 to A18
+    from seqspark.jobs import reports as R
+
+    rows = spark.createDataFrame([(i, f"h{i}", i + 1, i + 3, "LRL", i * 0.5, [i, i + 1]) for i in (2, 0, 1)], "record_ord long, header string, start long, end long, window string, score double, tags array<long>")
+    R.write_tsv(rows.select("header", "score", "tags"), str(tmp_path / "t"), 3, ("score",))
+    assert [(r.header, r.score, r.tags) for r in spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).orderBy("header").collect()] == [("h0", "0.000", "0,1"), ("h1", "0.500", "1,2"), ("h2", "1.000", "2,3")]
+    R.write_chunk_hits(rows, spark.createDataFrame([(7,)], "windows long"), {"profile": "p"}, str(tmp_path / "c"))
+    lines = [x for part in sorted((tmp_path / "c").glob("part-*")) for x in part.read_text().splitlines()]
+    assert lines == ["# profile\tp", "# windows\t7", "# header\tstart\tend\twindow\tscore", *(f"h{i}\t{i + 1}\t{i + 3}\tLRL\t{i * 0.5:.4f}" for i in range(3))]
