@@ -44,6 +44,8 @@ _SPREAD = 2_654_435_761
 LONGEST = 512
 #: Distinct words that a task remembers before it starts anew, and common ones that a task folds.
 KEPT_WORDS, _SOME_WORDS = 300_000, 20_000
+#: Words whose ids it knows, from the vocabulary or the common words, that a task remembers before it looks anew.
+KEPT_SETTLED = 150_000
 #: Words that are folded once for all tasks: a bound on what is broadcast, some 30 MB.
 COMMON_WORDS = 1_000_000
 
@@ -183,17 +185,26 @@ class Folded:
         order = np.argsort(h)
         data, self.word_ends = text_buffer(words.take(pa.array(order)))
         ids = ids.take(pa.array(order))
-        self.hashes, self.words, self.ids = h[order], data.tobytes(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.id_ends = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
-
-    def get(self, word: bytes) -> np.ndarray | None:
-        h = xxhash.xxh64_intdigest(word)
-        i = int(np.searchsorted(self.hashes, np.uint64(h)))
-        while i < len(self.hashes) and int(self.hashes[i]) == h:
-            if self.words[self.word_ends[i] : self.word_ends[i + 1]] == word:
-                return self.ids[self.id_ends[i] : self.id_ends[i + 1]]
-            i += 1
-        return None
+        self.hashes, self.words = h[order], data.tobytes()
+        self.coded = (-1 - ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)).tobytes()
+        self.id_ends = np.append(0, 4 * np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """For each word its ids, each as -1 - id; None for a word that isn't here."""
+        out: list[bytes | None] = [None] * len(words)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        at, rows = np.searchsorted(self.hashes, h), np.arange(len(words))
+        while len(rows):
+            rows, at = rows[at < len(self.hashes)], at[at < len(self.hashes)]
+            same = self.hashes[at] == h[rows]
+            rows, at = rows[same], at[same]
+            ends = (self.word_ends[at], self.word_ends[at + 1], self.id_ends[at], self.id_ends[at + 1])
+            for r, a, b, c, d in zip(rows.tolist(), *[x.tolist() for x in ends]):
+                if self.words[a:b] == words[r]:
+                    out[r] = self.coded[c:d]
+            other = np.array([out[r] is None for r in rows.tolist()], bool)  # a word of the same hash
+            rows, at = rows[other], at[other] + 1
+        return out
 
 
 _NO_WORDS = Folded(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
@@ -202,47 +213,53 @@ _NO_WORDS = Folded(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 class _Numbers(Runs):
     """Texts -> numbers of words: from 0 for a word to be folded; the ids of others, each as -1 - id."""
 
-    kind, kept = np.dtype(np.int32), 6 << 20
+    kind, kept = np.dtype(np.int32), 4 << 20
 
     def __init__(self, pattern: str, ranks: dict[bytes, int], folded: Folded | None = None):
         import regex
 
         super().__init__()
         self.find, self.find_runs, self.spaced, self.ranks = regex.compile(pattern).findall, regex.compile(SPACED_RUNS).findall, pattern == SPACED, ranks
-        self.folded, self.number = folded or _NO_WORDS, {}
+        self.folded, self.number, self.settled = folded or _NO_WORDS, {}, {}
         self.count, self.fresh = 0, []
 
     def odd(self, text: str) -> bool:
         return not self.spaced or "\0" in text
 
     def alone(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.numbers, self.find(text))), np.int32)
-
-    def numbers(self, word: str) -> bytes:
-        if (known := self.number.get(word)) is not None:
-            return known
-        data = word.encode()
-        if (rank := self.ranks.get(data)) is not None:
-            ids = np.array([-1 - rank], np.int32)
-        elif len(data) > LONGEST:
-            return (-1 - np.array(merge_long(data, self.ranks), np.int32)).tobytes()
-        elif (ids := self.folded.get(data)) is not None:
-            ids = -1 - ids
-        else:
-            ids = np.array([self.count], np.int32)
-            self.count += 1
-            self.fresh.append(word)
-        self.number[word] = known = ids.tobytes()
-        return known
+        return np.frombuffer(b"".join(self.numbers(self.find(text))), np.int32)
+
+    def numbers(self, words: list[str]) -> list[bytes]:
+        if len(self.settled) > KEPT_SETTLED:
+            self.settled = {}
+        new = list(set(words).difference(self.settled).difference(self.number))
+        long, rest = {}, []
+        for word, data in zip(new, [w.encode() for w in new]):
+            if (rank := self.ranks.get(data)) is not None:
+                self.settled[word] = (-1 - rank).to_bytes(4, "little", signed=True)
+            elif len(data) > LONGEST:
+                long[word] = (-1 - np.array(merge_long(data, self.ranks), np.int32)).tobytes()
+            else:
+                rest.append((word, data))
+        for (word, _), ids in zip(rest, self.folded.find([data for _, data in rest])):
+            if ids is not None:
+                self.settled[word] = ids
+            else:
+                self.number[word] = self.count.to_bytes(4, "little")
+                self.count += 1
+                self.fresh.append(word)
+        settled, number = self.settled.get, self.number.get
+        return [settled(w) or number(w) or long[w] for w in words]
 
     def runs(self, text: str) -> list[str]:
         return cut_at_spaces(text)
 
     def learned(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words, out = self.find_runs("\0".join([*runs, ""])), []
-        for w in words:
-            out.append(b"" if w == "\0" else self.number.get(w) or self.numbers(w))
-        ends = np.cumsum([len(x) for x in out])[[i for i, w in enumerate(words) if w == "\0"]] // 4
+        words = self.find_runs("\0".join([*runs, ""]))
+        stops = [w == "\0" for w in words]
+        coded = iter(self.numbers([w for w in words if w != "\0"]))
+        out = [b"" if stop else next(coded) for stop in stops]
+        ends = np.cumsum([len(x) for x in out])[np.flatnonzero(stops)] // 4
         return np.frombuffer(b"".join(out), np.int32), ends
 
 

@@ -273,3 +273,18 @@ def test_repeats_of_equal_rows_and_within_a_document(spark):
         want.append((key, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
     out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out), key=str) == sorted(want, key=str)
+
+
+def test_numbers_of_words(monkeypatch):
+    """In this process: words of one hash, and a memory that is emptied between texts."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    words, ids = ["qzxj vk", "wqpzk", "zzqqj"], [[7, 8], [9], [1, 2, 3]]
+    monkeypatch.setattr(bpe.xxhash, "xxh64_intdigest", lambda data: 5)
+    monkeypatch.setattr(bpe, "KEPT_SETTLED", 1)
+    folded = bpe.Folded(pa.array(words), pa.array(ids, pa.list_(pa.int32())))
+    numbers = bpe._Numbers(P.PATTERN, ranks, folded)
+    for some in (["zzqqj", "the", "xqxqzj"], ["wqpzk"], ["xqxqzj", "qqzzxk", "qzxj vk"], ["the", "y" * 600]):
+        got = [np.frombuffer(x, np.int32).tolist() for x in numbers.numbers(some)]
+        settled = dict(zip(words, ids)) | {"the": [ranks[b"the"]], "y" * 600: bpe.merge_long(b"y" * 600, ranks)}
+        assert got == [[-1 - i for i in settled[w]] if w in settled else [numbers.fresh.index(w)] for w in some]
+    assert numbers.fresh == ["xqxqzj", "qqzzxk"]
