@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-SHARD, BLOCK = 8192, 1024
+#: Rows of a shard and of a block of queries: alike, since the shuffle sends each side once for each part of the other.
+SHARD, BLOCK = 8192, 8192
 
 
 def sound(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -126,6 +127,8 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Permutation index
 
+_RERANKED = 1024  # rows measured at a time
+
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
@@ -179,7 +182,7 @@ def _permutation_cell(pivots: list[np.ndarray], k: int, length: int, share: floa
                     gain = footrule_gains(places[at], files, len(c), m)
                     near |= gain >= np.partition(gain, len(c) - take)[len(c) - take]  # all that tie with the row at the cut
                 some = np.flatnonzero(near & (ids != own))
-                d = np.sqrt(np.concatenate([((c[part] - x) ** 2).sum(axis=1) for part in np.split(some, range(BLOCK, len(some), BLOCK))]))
+                d = np.sqrt(np.concatenate([((c[part] - x) ** 2).sum(axis=1) for part in np.split(some, range(_RERANKED, len(some), _RERANKED))]))
                 best = np.lexsort((ids[some], d))[:k]
                 out["query_id"] += [own] * len(best)
                 out["vec_id"] += ids[some][best].tolist()
