@@ -42,7 +42,7 @@ def rescue_scores(codes: np.ndarray, table: np.ndarray, profile: Profile, contex
         suits = A.RESCUERS.get(p.residue, "")
         right_used = np.zeros(rows, bool)
         if suits:
-            ok = np.isin(codes, [A.ALPHABET.index(x) for x in suits])
+            ok = np.array([x in suits for x in A.ALPHABET])
             near = []
             for j, free in ((i - 1, ~before), (i + 1, np.ones(rows, bool))):
                 e = np.full(rows, np.nan)
@@ -51,7 +51,7 @@ def rescue_scores(codes: np.ndarray, table: np.ndarray, profile: Profile, contex
                     if context and p.charged and 0 < j < n - 1:
                         c = context[p.residue][codes[:, j - 1] * 400 + codes[:, j] * 20 + codes[:, j + 1]]
                         e = np.where(np.isnan(c), e, c)
-                    e = np.where(~now & free & ok[:, j] & (e < direct[:, i]), e, np.nan)
+                    e = np.where(~now & free & ok[codes[:, j]] & (e < direct[:, i]), e, np.nan)
                 near.append(e)
             left, right = near
             has_l, has_r = ~np.isnan(left), ~np.isnan(right)
@@ -69,10 +69,19 @@ def rescue_scores(codes: np.ndarray, table: np.ndarray, profile: Profile, contex
     return out
 
 
-def _codes(texts: list[str], length: int) -> np.ndarray:
-    code = np.full(256, -1, np.int64)
-    code[list(A.ALPHABET.encode())] = range(20)
-    return code[np.frombuffer("".join(texts).encode(), np.uint8)].reshape(len(texts), length)
+_CODE = np.full(256, -1, np.int64)
+_CODE[list(A.ALPHABET.encode())] = range(20)
+
+
+def _letters(texts: pa.Array | list[str], length: int) -> np.ndarray:
+    """The bytes of texts of one length, a row each, from the column's buffer."""
+    texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(texts), length)
+
+
+def _codes(texts: pa.Array | list[str], length: int) -> np.ndarray:
+    return _CODE[_letters(texts, length)]
 
 
 def _sum(parts: np.ndarray) -> np.ndarray:
@@ -92,8 +101,8 @@ def add_score(windows: DataFrame, profile: Profile, mode: str = "raw", floor: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("window")).to_pylist()
-            score = _sum(rescue_scores(_codes(texts, len(profile)), table, profile, known)) if texts else np.zeros(0)
+            texts = batch.column(batch.schema.get_field_index("window"))
+            score = _sum(rescue_scores(_codes(texts, len(profile)), table, profile, known)) if len(texts) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields)
@@ -141,18 +150,20 @@ def semiglobal(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            region = batch.column(batch.schema.get_field_index("region")).to_pylist()
-            at = np.array(batch.column(batch.schema.get_field_index("region_from")).to_pylist(), np.int64)
+            texts = batch.column(batch.schema.get_field_index("region"))
+            region = texts.to_pylist()  # for the letters of the alignment that is found
+            at = batch.column(batch.schema.get_field_index("region_from")).to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.array([len(r) for r in region])
             score, found = np.zeros(len(region)), np.zeros((len(region), 4), np.int64)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 steps = plans.setdefault(int(size), plan(n, int(size), max_gaps, least))
-                for lo in range(0, len(rows), 4096):
-                    some = rows[lo : lo + 4096]
-                    codes = _codes([region[i] for i in some], int(size))
-                    score[some], which = align(codes, table, profile, steps, rescue, gap_penalty, flank_weight, known)
-                    found[some] = np.array(steps)[which]
+                # Equal regions of a batch are aligned once.
+                distinct, place = np.unique(_letters(texts.take(pa.array(rows)), int(size)).view(f"S{size}")[:, 0], return_inverse=True)
+                codes = _CODE[distinct.view(np.uint8).reshape(len(distinct), int(size))]
+                each = [align(codes[lo : lo + 4096], table, profile, steps, rescue, gap_penalty, flank_weight, known) for lo in range(0, len(codes), 4096)]
+                score[rows] = np.concatenate([x for x, _ in each])[place]
+                found[rows] = np.array(steps)[np.concatenate([x for _, x in each])[place]]
             qs, qe, ts, gap = found.T
             end = ts + (qe - qs) + (gap >= 0)
             aligned = [r[t:e] if g < 0 else r[t : t + g] + r[t + g + 1 : e] for r, t, e, g in zip(region, ts, end, gap)]

@@ -63,8 +63,8 @@ def add_metrics(windows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("window")).to_pylist()
-            if texts:
+            texts = batch.column(batch.schema.get_field_index("window"))
+            if len(texts):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, metrics(_codes(texts, length)).values())], names=[*batch.schema.names, *H.METRICS])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema.fields)
