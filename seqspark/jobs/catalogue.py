@@ -32,6 +32,10 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("record_ord", "header", "start", F.col("window").alias("win"), F.round("score", 6).alias("score"))
 
 
+#: Places of an alignment; a skipped place of 0 is none.
+_PLACES = [f"coalesce({c}, 0) AS {c}" if c == "skipped" else c for c in O.L._ADDED[1:]]
+
+
 def _sql_hits(source: str, k: int, score: str = "score") -> str:
     return f"SELECT record_ord, header, start, win, round({score}, 6) AS score FROM ({source}) ORDER BY {score}, record_ord, start LIMIT {k}"
 
@@ -165,10 +169,47 @@ def rescue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(O.top(scored, 25, *O.ORDER))
 
 
-@query()
+_BEST5 = f"{T.sql_regions(5)}, {T.sql_semiglobal(T.FIVE, 'g')}"
+
+
+@query(
+    f"""WITH {_BEST5} SELECT record_ord, start, win, round(score, 6) AS score, {T.SQL_PLACES} FROM g JOIN best ON best.region = g.region
+    ORDER BY round(score, 9), record_ord, start LIMIT 25"""
+)
 def semiglobal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = O.score_windows(T.records(spark, sf_dir), T.profile(T.FIVE), alignment="trim_query_one_target_gap").withColumn("score", F.round("score", 9))
-    return O.top(w, 25, *O.ORDER).select("record_ord", "start", F.col("window").alias("win"), F.round("score", 6).alias("score"), *O.L._ADDED[1:])
+    return O.top(w, 25, *O.ORDER).select("record_ord", "start", F.col("window").alias("win"), F.round("score", 6).alias("score"), *map(F.expr, _PLACES))
+
+
+@query(
+    f"""WITH {T.sql_regions(5)}, m AS ({T.sql_with_metrics(5, 'record_ord, header, start, win, region, region_from', 'g')}),
+    n AS (SELECT record_ord, start, win, region, region_from, round({T.sql_bonus()}, 9) AS bonus FROM m ORDER BY bonus DESC, record_ord, start LIMIT 2000), {T.sql_semiglobal(T.FIVE, 'n')}
+    SELECT record_ord, start, win, round(score, 6) AS score, round(bonus, 6) AS bonus, round(score - bonus, 6) AS rank_score, {T.SQL_PLACES} FROM n JOIN best ON best.region = n.region
+    ORDER BY score - bonus, record_ord, start LIMIT 50"""
+)
+def semiglobal_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = O.rerank(T.records(spark, sf_dir), T.profile(T.FIVE), 50, top_n=2000, alignment="trim_query_one_target_gap")
+    return got.select("record_ord", "start", F.col("window").alias("win"), *[F.round(c, 6).alias(c) for c in ("score", "bonus", "rank_score")], *map(F.expr, _PLACES))
+
+
+@query(
+    f"WITH {_BONUS9}, c AS (SELECT *, {T.sql_rigid(T.NINE)} AS score FROM s WHERE bonus >= 0.6) "
+    "SELECT record_ord, start, win, round(score, 6) AS score, round(bonus, 6) AS bonus, round(score - bonus, 6) AS rank_score FROM c WHERE score <= -4 ORDER BY score - bonus, record_ord, start LIMIT 50"
+)
+def bonus_threshold_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = O.rerank(T.records(spark, sf_dir), T.profile(T.NINE), 50, bonus_threshold=0.6, threshold=-4.0, rescue="none")
+    return got.select("record_ord", "start", F.col("window").alias("win"), *[F.round(c, 6).alias(c) for c in ("score", "bonus", "rank_score")])
+
+
+@query(
+    f"""WITH {T.sql_windows(5)}, s AS ({T.sql_rescue(T.FIVE, 'w', 'record_ord, header, start, win', trace=True)}), h AS (SELECT * FROM s ORDER BY score, record_ord, start LIMIT 25)
+    SELECT record_ord, start, win, place, labels[place] AS label, round(parts[place], 6) AS energy FROM (SELECT *, unnest(range(1, 6)) AS place FROM h)"""
+)
+def hit_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label and energy of each position of the best hits."""
+    hits = O.scan(T.records(spark, sf_dir), T.profile(T.FIVE), 25, breakdown=True)
+    each = hits.select("record_ord", "start", F.col("window").alias("win"), F.posexplode(F.arrays_zip("labels", "energies")).alias("place", "x"))
+    return each.select("record_ord", "start", "win", (F.col("place") + 1).cast("long").alias("place"), F.col("x.labels").alias("label"), F.round("x.energies", 6).alias("energy"))
 
 
 def _index(size: int):
@@ -201,8 +242,8 @@ def _indexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return tuple(M.build_index(T.motif_rows(spark, sf_dir, s)) for s in (1, 3, 5))
 
 
-def _profile_rows(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
-    return P.build(P.queries_of(spark, [T.QUERY]), *_indexes(spark, sf_dir), strategy=strategy)
+def _profile_rows(spark: SparkSession, sf_dir: str, strategy: str, query: str = T.QUERY) -> DataFrame:
+    return P.build(P.queries_of(spark, [query]), *_indexes(spark, sf_dir), strategy=strategy)
 
 
 def _profile(name: str, strategy: str):
@@ -216,6 +257,56 @@ for _name, _strategy in zip(("profile_hier", "profile_degen", "profile_shrink",
     _profile(_name, _strategy)
 
 
+def _profile_1x1(mode: str):
+    @query(f"WITH {T.sql_profile(P.STRATEGIES[3], one=mode)} SELECT position, idx, round(energy, 10) AS energy, round(std, 10) AS std, mode FROM p", f"profile_{mode}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        one = M.index_arrays(M.reciprocal_index(M.index_long(T.motif_rows(spark, sf_dir, 1)), mode))
+        rows = P.build(P.queries_of(spark, [T.QUERY]), one, *_indexes(spark, sf_dir)[1:], strategy=P.STRATEGIES[3])
+        rows = rows.select("position", "mode", F.posexplode(F.arrays_zip("energies", "stds")).alias("idx", "e"))
+        return rows.select("position", F.col("idx").cast("long").alias("idx"), F.round("e.energies", 10).alias("energy"), F.round("e.stds", 10).alias("std"), "mode")
+
+
+_profile_1x1("reciprocal_sum")
+_profile_1x1("reciprocal_mean")
+
+
+def _listed(i: int, letter: str) -> str:
+    """The energy of a letter in the list `e` of a profile's energies."""
+    return f"e[{20 * i} + instr('{A.ALPHABET}', {letter})]"
+
+
+_INDEX9 = f"""{T.sql_windows(9)}, {T.sql_profile(P.STRATEGIES[0], T.QUERY[:9])}, pe AS (SELECT list(energy ORDER BY position, idx) AS e FROM p),
+    s AS (SELECT record_ord, header, start, win, round({" + ".join(_listed(i, f"substr(win, {i + 1}, 1)") for i in range(9))}, 9) AS score FROM w, pe)"""
+
+
+@query(f"WITH {_INDEX9} " + _sql_hits("SELECT * FROM s", 25))
+def index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From index to hits: the motif index, a query's profile from it, and the windows that it fits best."""
+    profile = P.collect_profile(_profile_rows(spark, sf_dir, P.STRATEGIES[0], T.QUERY[:9]))
+    scored = O.score_windows(T.records(spark, sf_dir), profile).withColumn("score", F.round("score", 9))
+    return _hits(O.top(scored, 25, *O.ORDER))
+
+
+_AROUND = "e, " + ", ".join(f"c{j}" for j in (1, 2, 3))
+
+
+@query(
+    f"""WITH {T.sql_windows(5)}, {T.sql_profile(P.STRATEGIES[0], T.FIVE)}, pe AS (SELECT list(energy ORDER BY position, idx) AS e FROM p),
+    t3 AS (SELECT seq, list(mean ORDER BY idx) AS c FROM i3 GROUP BY seq),
+    x AS (SELECT w.record_ord, w.header, w.start, w.win, pe.e, a.c AS c1, b.c AS c2, d.c AS c3 FROM pe, w LEFT JOIN t3 a ON a.seq = substr(w.win, 1, 3)
+        LEFT JOIN t3 b ON b.seq = substr(w.win, 2, 3) LEFT JOIN t3 d ON d.seq = substr(w.win, 3, 3)),
+    s AS ({T.sql_rescue(T.FIVE, 'x', f'record_ord, header, start, win, {_AROUND}', energy=_listed, context=lambda r, j: f"c{j}[{A.ALPHABET.index(r) + 1}]")})
+    """
+    + _sql_hits("SELECT record_ord, header, start, win, round(score, 9) AS score FROM s", 25)
+)
+def contextual_rescue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with a profile from the index, whose charged donors score as centres of their own triplets."""
+    profile = P.collect_profile(_profile_rows(spark, sf_dir, P.STRATEGIES[0], T.FIVE))
+    context = P.context_of(M.build_index(T.motif_rows(spark, sf_dir, 3)))
+    scored = O.score_windows(T.records(spark, sf_dir), profile, context=context).withColumn("score", F.round("score", 9))
+    return _hits(O.top(scored, 25, *O.ORDER))
+
+
 @query(
     f"""WITH {T.sql_profile(P.STRATEGIES[2])}, c AS (SELECT position, row_number() OVER (PARTITION BY position ORDER BY energy, idx) AS rank, substr('{A.ALPHABET}', idx + 1, 1) AS residue, energy FROM p)
     SELECT position, rank, residue, round(energy, 10) AS energy FROM c WHERE rank <= 4"""
@@ -248,6 +339,23 @@ def reciprocal_3x3_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("record_ord", "start", F.col("window").alias("win"), long("first_rank"), F.round("reciprocal_total", 9).alias("reciprocal_total"), "used", long("reciprocal_rank"))
 
 
+_TERMS = f"""{T.sql_windows(9)}, {T.sql_index(3, 'i')}, ix AS (SELECT seq, list(mean ORDER BY idx) AS mean FROM i GROUP BY seq),
+    h AS (SELECT record_ord, start, win, {T.sql_rigid(T.NINE)} AS score FROM w ORDER BY score, record_ord, start LIMIT 500),
+    pl AS (SELECT *, substr('{T.QUERY[:9]}', CAST(place - 1 AS BIGINT), 3) AS q3, substr(win, CAST(place - 1 AS BIGINT), 3) AS t3 FROM (SELECT *, unnest(range(2, 9)) AS place FROM h)),
+    sc AS (SELECT pl.record_ord, pl.start, place, q3, t3, ({_sql_eased('q3', 't3', 'a.mean')} + {_sql_eased('t3', 'q3', 'b.mean')}) / 2 AS combined FROM pl JOIN ix a ON a.seq = q3 JOIN ix b ON b.seq = t3),
+    o AS (SELECT *, row_number() OVER (PARTITION BY record_ord, start ORDER BY combined, place) AS term, avg(combined) OVER (PARTITION BY record_ord, start) AS m FROM sc)"""
+
+
+@query(f"WITH {_TERMS} SELECT record_ord, start, round(m, 9) AS reciprocal_mean, term, place, q3, t3, round(combined, 9) AS combined FROM o WHERE term <= 6")
+def reciprocal_3x3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six lowest terms of each rescored hit, and its mean; the metric is the mean of both directions."""
+    hits = O.scan(T.records(spark, sf_dir), T.profile(T.NINE), 500, rescue="none")
+    r = O.rescore(hits, T.QUERY[:9], M.build_index(T.motif_rows(spark, sf_dir, 3)), "mean")
+    each = r.select("record_ord", "start", F.round("reciprocal_mean", 9).alias("reciprocal_mean"), F.posexplode("terms").alias("term", "t"))
+    long = lambda c: F.col(c).cast("long")
+    return each.select("record_ord", "start", "reciprocal_mean", (long("term") + 1).alias("term"), long("t.place").alias("place"), "t.q3", "t.t3", F.round("t.combined", 9).alias("combined"))
+
+
 @query("SELECT doc_id AS record_ord, source AS accession, CAST(doc_id AS VARCHAR) AS entry FROM documents")
 def header_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     accession, entry = header_fields(F.col("header"))

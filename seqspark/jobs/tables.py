@@ -86,18 +86,23 @@ def sql_rigid(residues: str, mode: str = "raw", w: str = "win") -> str:
     return " + ".join(terms)
 
 
-def sql_rescue(residues: str, source: str, columns: str, w: str = "win") -> str:
-    """A SELECT of the columns and `score`, from a source with windows: one step per position."""
-    sql = f"SELECT {columns}, {w} AS win_, 0.0 AS total, FALSE AS before, FALSE AS now_ FROM {source}"
+def sql_rescue(residues: str, source: str, columns: str, w: str = "win", energy=sql_energy, context=None, trace: bool = False) -> str:
+    """A SELECT of the columns and `score`, from a source with windows: one step per position. `energy` gives a
+    letter's energy at a position, `context` what replaces that of the donor at a place (null: nothing). With
+    trace also `parts` and `labels`, lists with a value for each position."""
+    lists = ", CAST([] AS DOUBLE[]) AS parts, CAST([] AS VARCHAR[]) AS labels" if trace else ""
+    sql = f"SELECT {columns}, {w} AS win_, 0.0 AS total, FALSE AS before, FALSE AS now_{lists} FROM {source}"
     for i, r in enumerate(residues):
         suits, n = A.RESCUERS.get(r, ""), len(residues)
-        d = sql_energy(i, f"substr(win_, {i + 1}, 1)")
+        d = energy(i, f"substr(win_, {i + 1}, 1)")
 
         def near(j: int, free: str) -> str:
             if not suits or not 0 <= j < n:
                 return "CAST(NULL AS DOUBLE)"
             letter = f"substr(win_, {j + 1}, 1)"
-            e = sql_energy(i, letter)
+            e = energy(i, letter)
+            if context and r in "DERK" and 0 < j < n - 1:
+                e = f"coalesce({context(r, j)}, {e})"
             return f"CASE WHEN NOT now_ AND {free} AND instr('{suits}', {letter}) > 0 AND {e} < {d} THEN {e} END"
 
         sql = f"SELECT *, CAST({d} AS DOUBLE) AS d, {near(i - 1, 'NOT before')} AS l, {near(i + 1, 'TRUE')} AS r FROM ({sql})"
@@ -105,9 +110,58 @@ def sql_rescue(residues: str, source: str, columns: str, w: str = "win") -> str:
         sql = f"SELECT *, coalesce(CASE WHEN first_l THEN l ELSE r END, d) AS e1, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN greatest(l, r) END AS e2 FROM ({sql})"
         two = f"e2 IS NOT NULL AND e2 < 0 AND greatest(e1 + {A.SECOND_DONOR_WEIGHT} * e2, {A.SECOND_DONOR_CAP} * e1) < e1" if r in "DERK" else "FALSE"
         sql = f"SELECT *, {two} AS two FROM ({sql})"
-        sql = f"""SELECT {columns}, win_, total + CASE WHEN two THEN greatest(e1 + {A.SECOND_DONOR_WEIGHT} * e2, {A.SECOND_DONOR_CAP} * e1) ELSE e1 END AS total,
-            now_ AS before, (r IS NOT NULL AND NOT first_l) OR (two AND first_l) AS now_ FROM ({sql})"""
-    return f"SELECT {columns}, total AS score FROM ({sql})"
+        best = f"CASE WHEN two THEN greatest(e1 + {A.SECOND_DONOR_WEIGHT} * e2, {A.SECOND_DONOR_CAP} * e1) ELSE e1 END"
+        if trace:
+            at = lambda j: f"substr(win_, {j + 1}, 1) || '@{j + 1}'"
+            label = f"""substr(win_, {i + 1}, 1) || CASE WHEN first_l THEN '<-' || {at(i - 1)} || CASE WHEN two THEN ',' || {at(i + 1)} ELSE '' END
+                WHEN r IS NOT NULL THEN '<-' || {at(i + 1)} || CASE WHEN two THEN ',' || {at(i - 1)} ELSE '' END ELSE '' END"""
+            lists = f", list_append(parts, {best}) AS parts, list_append(labels, {label}) AS labels"
+        sql = f"""SELECT {columns}, win_, total + {best} AS total,
+            now_ AS before, (r IS NOT NULL AND NOT first_l) OR (two AND first_l) AS now_{lists} FROM ({sql})"""
+    return f"SELECT {columns}, total AS score{', parts, labels' if trace else ''} FROM ({sql})"
+
+
+def sql_regions(length: int) -> str:
+    """`g`: windows as `w`, with the region of one letter more on either side, and where it starts; regions with
+    other letters are null. Records are led and followed by a space."""
+    return f"""r AS ({sql_records()}),
+    b AS (SELECT record_ord, header, {BLOCK} * i AS off, substr(' ' || sequence || ' ', {BLOCK} * i + 1, {BLOCK + length + 1}) AS t
+        FROM (SELECT *, unnest(range(0, CAST(ceil(length(sequence) / {BLOCK}.0) AS BIGINT))) AS i FROM r WHERE length(sequence) >= {length})),
+    w AS (SELECT record_ord, header, off + j AS start, substr(t, j + 1, {length}) AS win, trim(substr(t, j, {length + 2})) AS around
+        FROM (SELECT *, unnest(range(1, length(t) - {length})) AS j FROM b) WHERE regexp_full_match(substr(t, j + 1, {length}), '[{A.ALPHABET}]+')),
+    g AS (SELECT record_ord, header, start, win, CASE WHEN regexp_full_match(around, '[{A.ALPHABET}]+') THEN around END AS region, greatest(start - 1, 1) AS region_from FROM w)"""
+
+
+def sql_semiglobal(residues: str, source: str) -> str:
+    """CTEs that end in `best`: region, score, qs, qe, ts, gap, aligned, for each distinct region of the source.
+
+    All alignments are listed: from qs to qe of the profile, ts in the region, one letter skipped at most; the
+    ends may take half of what the letter beside them scores lower. The first of least score stays."""
+    n = len(residues)
+
+    def eased(part: str, letter: str, i: int) -> str:
+        f = sql_energy(i, letter)
+        return f"CASE WHEN {letter} <> '' AND {f} < {part} THEN {part} + 0.5 * ({f} - {part}) ELSE {part} END"
+
+    scored = []
+    for qs in range(n):
+        for qe in range(qs + n - 1, n + 1):
+            k = qe - qs
+            steps = sql_rescue(residues[qs:qe], f"(SELECT * FROM al WHERE qs = {qs} AND qe = {qe})", "region, qs, qe, ts, gap, before_, after_, aligned", "aligned", lambda i, x, qs=qs: sql_energy(i + qs, x), trace=True)
+            parts = [f"parts[{i}]" for i in range(1, k + 1)]
+            parts[0], parts[-1] = eased(parts[0], "before_", qs), eased(parts[-1], "after_", qe - 1)
+            scored.append(f"SELECT region, qs, qe, ts, gap, aligned, 0.0 + {' + '.join(f'({x})' for x in parts)} AS score FROM ({steps})")
+    return f"""st AS (SELECT * FROM (SELECT unnest(range({n}, {n + 3})) AS size), (SELECT unnest(range(0, {n})) AS qs), (SELECT unnest(range(1, {n + 1})) AS qe),
+        (SELECT unnest(range(0, {n + 2})) AS ts), (SELECT unnest(range(-1, {n + 1})) AS gap) WHERE qe - qs >= {n - 1} AND gap <= qe - qs AND ts + (qe - qs) + CAST(gap >= 0 AS INTEGER) <= size),
+    al AS (SELECT region, qs, qe, ts, gap, substr(region, ts + CAST(gap = 0 AS INTEGER), 1) AS before_, substr(region, ts + (qe - qs) + 1 + CAST(gap >= 0 AND gap < qe - qs AS INTEGER), 1) AS after_,
+        CASE WHEN gap < 0 THEN substr(region, ts + 1, qe - qs) ELSE substr(region, ts + 1, gap) || substr(region, ts + gap + 2, qe - qs - gap) END AS aligned
+        FROM (SELECT DISTINCT region FROM {source} WHERE region IS NOT NULL) x JOIN st ON st.size = length(x.region)),
+    best AS (SELECT * FROM ({" UNION ALL ".join(scored)}) QUALIFY row_number() OVER (PARTITION BY region ORDER BY score, qs, qe, gap >= 0, ts, gap) = 1)"""
+
+
+#: Places of an alignment, from the columns of `best` and region_from.
+SQL_PLACES = """qs + 1 AS query_start, qe AS query_end, region_from + ts AS target_start, region_from + ts + (qe - qs) + CAST(gap >= 0 AS INTEGER) - 1 AS target_end,
+    CASE WHEN gap >= 0 THEN region_from + ts + gap ELSE 0 END AS skipped, aligned AS aligned_window"""
 
 
 def sql_metrics(length: int, w: str = "win") -> dict[str, str]:
@@ -162,8 +216,13 @@ def sql_index(size: int, name: str) -> str:
         FROM {name}_means x JOIN {name}_buckets y ON x.seq = y.seq AND x.idx = y.idx GROUP BY x.seq, x.idx, x.n, x.buckets, x.mean)"""
 
 
-def sql_profile(strategy: str, query: str = QUERY) -> str:
-    """CTEs that end in `p`: position, idx, energy, std, mode."""
+def sql_profile(strategy: str, query: str = QUERY, one: str = "directed") -> str:
+    """CTEs that end in `p`: position, idx, energy, std, mode; `one` is the mode of the 1x1 index."""
+    singles = sql_index(1, "i1")
+    if one != "directed":
+        half = {"reciprocal_sum": 1, "reciprocal_mean": 2}[one]
+        singles = f"""{sql_index(1, "i0")}, i1 AS (SELECT a.seq, a.idx, a.n, a.buckets, (a.mean + b.mean) / {half} AS mean, sqrt(a.std * a.std + b.std * b.std) / {half} AS std
+        FROM i0 a JOIN i0 b ON b.seq = substr('{A.ALPHABET}', a.idx + 1, 1) AND b.idx = instr('{A.ALPHABET}', a.seq) - 1)"""
     n = len(query)
     rows = ", ".join(f"({i + 1}, '{c}', {repr(query[i - 1 : i + 2]) if 0 < i < n - 1 else 'NULL'}, {repr(query[i - 2 : i + 3]) if 1 < i < n - 2 else 'NULL'})" for i, c in enumerate(query))
     near = ", ".join(f"('{a}', '{b}')" for (a, b), d in A.distances().items() if d <= 50)
@@ -198,5 +257,5 @@ def sql_profile(strategy: str, query: str = QUERY) -> str:
     cases = [(end, "m1", "s1", "'1x1_terminal'"), *cases]
     case = lambda k: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[k]}" for c in cases) + " END"
     last = "j2" if strategy.startswith("shrinkage") else "j"
-    return f"""{sql_index(1, 'i1')}, {sql_index(3, 'i3')}, {sql_index(5, 'i5')}, q AS (SELECT * FROM (VALUES {rows}) t(position, residue, k3, k5)){pool}, {joined},
+    return f"""{singles}, {sql_index(3, 'i3')}, {sql_index(5, 'i5')}, q AS (SELECT * FROM (VALUES {rows}) t(position, residue, k3, k5)){pool}, {joined},
     p AS (SELECT position, idx, {case(1)} AS energy, {case(2)} AS std, {case(3)} AS mode FROM {last})"""

@@ -119,3 +119,15 @@ def top_choices(rows: DataFrame, n: int = 4) -> DataFrame:
     ranked = F.slice(F.array_sort(F.transform("energies", lambda e, i: F.struct(e.alias("energy"), i.alias("idx")))), 1, n)
     out = rows.select("query", "position", F.posexplode(ranked).alias("rank", "c"))
     return out.select("query", "position", (F.col("rank") + 1).alias("rank"), F.substring(F.lit(A.ALPHABET), F.col("c.idx") + 1, F.lit(1)).alias("residue"), F.col("c.energy").alias("energy"))
+
+
+def context_of(index_3x3: DataFrame) -> dict[str, list[float]]:
+    """Contextual rescue energies from the 3x3 index (arrays): for D, E, R and K, by triplet code, the energy of
+    that residue at the triplet's centre; NaN where the index lacks the triplet. 8,000 triplets at most exist."""
+    code = A.triplet_code(A.encode(F.col("seq")))
+    energies = [F.get("mean", A.index_of(F.lit(r))).alias(r) for r in "DERK"]
+    tables = {r: [float("nan")] * 8000 for r in "DERK"}
+    for row in index_3x3.filter((F.length("seq") == 3) & A.is_valid(F.col("seq"))).select(code.alias("code"), *energies).collect():
+        for r in tables:
+            tables[r][row.code] = row[r]
+    return tables

@@ -14,6 +14,7 @@ from .metrics import add_bonus, add_metrics
 from .windows import windows
 
 ORDER = ("score", "record_ord", "start")
+ALIGNMENTS = ("rigid", "trim_query_one_target_gap")
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:
@@ -29,7 +30,7 @@ def score_windows(
 ) -> DataFrame:
     """All windows with their scores, after the prefilter (a rigid score at most so much, cheap) and the
     threshold. Filters precede the costlier score; a score that both need is one expression."""
-    if alignment not in ("rigid", "trim_query_one_target_gap"):
+    if alignment not in ALIGNMENTS:
         raise ValueError(f"unknown alignment mode {alignment!r}")
     rigid = alignment == "rigid"
     w = windows(records, len(profile), keep, 0 if rigid else flank)
@@ -84,41 +85,55 @@ def heuristic_report(records: DataFrame, length: int, thresholds: list[float], t
     return out.unionByName(share.select("threshold", "passed", (100.0 * F.col("passed") / F.col("n")).alias("percent")))
 
 
-def rerank(records: DataFrame, profile: S.Profile, top_k: int = 50, bonus_threshold: float | None = None, top_n: int | None = None, threshold: float | None = None, **score) -> DataFrame:
-    """Windows by score less bonus, after a bonus threshold or the top n by bonus, so that few are scored."""
-    w = add_bonus(windows(records, len(profile)), len(profile))
+def rerank(
+    records: DataFrame, profile: S.Profile, top_k: int = 50, bonus_threshold: float | None = None, top_n: int | None = None, threshold: float | None = None,
+    alignment: str = "rigid", flank: int = 1, metrics: bool = False, **score,
+) -> DataFrame:
+    """Windows by score less bonus, after a bonus threshold or the top n by bonus, so that few are scored.
+    A semiglobal alignment leaves out windows whose region has other letters, as scans do. With metrics the
+    heuristic metrics of the hits stay as columns."""
+    if alignment not in ALIGNMENTS:
+        raise ValueError(f"unknown alignment mode {alignment!r}")
+    rigid = alignment == "rigid"
+    w = add_bonus(windows(records, len(profile), (), 0 if rigid else flank), len(profile))
     if bonus_threshold is not None:
         w = w.filter(F.col("bonus") >= bonus_threshold)
     if top_n is not None:
         w = top(w, top_n, F.desc("bonus"), "record_ord", "start")
-    w = L.add_score(w, profile, **score)
+    if not rigid and not flank:
+        w = w.withColumns({"region": F.col("window"), "region_from": F.col("start")})
+    w = L.add_score(w, profile, **score) if rigid else L.semiglobal(w, profile, **score)
     if threshold is not None:
         w = w.filter(F.col("score") <= threshold)
-    return top(w.withColumn("rank_score", F.col("score") - F.col("bonus")), top_k, "rank_score", "record_ord", "start")
+    hits = top(w.withColumn("rank_score", F.col("score") - F.col("bonus")), top_k, "rank_score", "record_ord", "start")
+    return add_metrics(hits, len(profile)).orderBy("rank_score", "record_ord", "start") if metrics else hits
 
 
 def window_ranks(records: DataFrame, profile: S.Profile, targets: list[tuple[str, str]], rescue: str = "full", bonus: bool = True) -> DataFrame:
-    """(label, sequence, final, total, better, equal_score, same_sequence, rank, percent, and the same of entries).
+    """(label, sequence, score, bonus, final, total, better, equal_score, same_sequence, rank, percent, and the same of entries).
 
     Each target's counters are conditional counts in one pass over all windows; the targets' own scores
     come from the same expression, so equal strings have equal scores. Entries are headers with their
-    least score; of records with the same header the last counts."""
+    least score; of records with the same header the last counts. Windows meet by record first, with the
+    counters and the record's least score, so the scan runs once."""
     spark = records.sparkSession
-    final = lambda w: F.round(S.window_score(w, profile, rescue=rescue) - (F.round(H.bonus(H.metrics(w)), 9) if bonus else F.lit(0.0)), 9)
-    t = spark.createDataFrame(targets, "label string, sequence string").withColumn("final", final(F.col("sequence")))
-    known = [(r.label, r.sequence, r.final) for r in t.collect()]  # the targets given
+    t = spark.createDataFrame(targets, "label string, sequence string")
+    t = t.withColumn("score", S.window_score(F.col("sequence"), profile, rescue=rescue)).withColumn("bonus", F.round(H.bonus(H.metrics(F.col("sequence"))), 9) if bonus else F.lit(0.0))
+    known = [(r.label, r.sequence, r.score, r.bonus, r.final) for r in t.withColumn("final", F.round(F.col("score") - F.col("bonus"), 9)).collect()]  # the targets given
     scored = L.add_score(windows(records, len(profile)), profile, rescue=rescue)
     scored = add_bonus(scored, len(profile)) if bonus else scored.withColumn("bonus", F.lit(0.0))
     scored = scored.select("record_ord", "header", "window", F.round(F.col("score") - F.col("bonus"), 9).alias("f"))
-    each = [x for i, (_, seq, f) in enumerate(known) for x in (F.count_if(F.col("f") < f).alias(f"b{i}"), F.count_if(F.col("f") == f).alias(f"e{i}"), F.count_if(F.col("window") == seq).alias(f"s{i}"))]
-    counts = scored.agg(F.count("*").alias("total"), *each)
-    least = scored.groupBy("header", "record_ord").agg(F.min("f").alias("f")).groupBy("header").agg(F.max_by("f", "record_ord").alias("f"))
-    entries = least.agg(F.count("*").alias("entries"), *[F.count_if(F.col("f") < f).alias(f"x{i}") for i, (_, _, f) in enumerate(known)])
-    both = counts.withColumn("k_", F.lit(0)).join(entries.withColumn("k_", F.lit(0)), "k_")  # one row each
-    cols = lambda i, label, seq, f: F.struct(
-        F.lit(label).alias("label"), F.lit(seq).alias("sequence"), F.lit(f).alias("final"), F.col("total"), F.col(f"b{i}").alias("better"), F.col(f"e{i}").alias("equal_score"), F.col(f"s{i}").alias("same_sequence"),
+    each = {f"{k}{i}": c for i, (_, seq, _, _, f) in enumerate(known) for k, c in (("b", F.col("f") < f), ("e", F.col("f") == f), ("s", F.col("window") == seq))}
+    per = scored.groupBy("header", "record_ord").agg(F.count("*").alias("total"), F.min("f").alias("f"), *[F.count_if(c).alias(k) for k, c in each.items()])
+    entry = per.groupBy("header").agg(F.max_by("f", "record_ord").alias("f"), *[F.sum(k).alias(k) for k in ("total", *each)])
+    none = lambda c: F.coalesce(c, F.lit(0))
+    best = [c for i, k in enumerate(known) for c in (F.count_if(F.col("f") < k[4]).alias(f"x{i}"), F.count_if(F.col("f") == k[4]).alias(f"y{i}"))]
+    both = entry.agg(F.count("*").alias("entries"), *[none(F.sum(k)).alias(k) for k in ("total", *each)], *best)
+    cols = lambda i, label, seq, score, b, f: F.struct(
+        F.lit(label).alias("label"), F.lit(seq).alias("sequence"), F.lit(score).alias("score"), F.lit(b).alias("bonus"), F.lit(f).alias("final"), F.col("total"),
+        F.col(f"b{i}").alias("better"), F.col(f"e{i}").alias("equal_score"), F.col(f"s{i}").alias("same_sequence"),
         (F.col(f"b{i}") + 1).alias("rank"), F.when(F.col("total") > 0, 100.0 * (F.col(f"b{i}") + 1) / F.col("total")).alias("percent"),
-        F.col("entries"), (F.col(f"x{i}") + 1).alias("entry_rank"), F.when(F.col("entries") > 0, 100.0 * (F.col(f"x{i}") + 1) / F.col("entries")).alias("entry_percent"),
+        F.col("entries"), (F.col(f"x{i}") + 1).alias("entry_rank"), F.when(F.col("entries") > 0, 100.0 * (F.col(f"x{i}") + 1) / F.col("entries")).alias("entry_percent"), F.col(f"y{i}").alias("entry_equal"),
     )
     return both.select(F.inline(F.array(*[cols(i, *k) for i, k in enumerate(known)])))
 

@@ -208,3 +208,31 @@ def test_reciprocal_3x3(spark):  # F9, C7
     by = {r["query"]: r for r in got.collect()}
     assert by["ARA"].reciprocal_total == -3.0 and by["ARA"].used == 1
     assert by["AAA"].used == 0 and math.isnan(by["AAA"].reciprocal_mean) and by["A"].reciprocal_total == 0.0
+
+
+def test_context_from_index(spark):  # C6
+    flat = lambda **e: [e.get(a, 1.0) for a in A.ALPHABET]
+    ix = spark.createDataFrame([("AEA", flat(R=-0.25)), ("EA", flat()), ("XEA", flat())], "seq string, mean array<double>")
+    context = P.context_of(ix)
+    code = lambda t: sum(A.ALPHABET.index(x) * 20 ** (2 - i) for i, x in enumerate(t))
+    assert context["R"][code("AEA")] == -0.25 and context["K"][code("AEA")] == 1.0
+    assert sorted(context) == sorted("DERK") and sum(not math.isnan(x) for x in context["R"]) == 1
+    profile = [p("A"), p("R", E=-2.0), p("A"), p("A"), p("A")]
+    got = L.add_score(spark.createDataFrame([("AAEAA",), ("AAEAG",), ("AAEGA",)], "window string"), profile, context=context).collect()
+    assert {r.window: r.score for r in got} == {"AAEAA": 3.75, "AAEAG": 3.75, "AAEGA": 2.0}
+    assert all(math.isnan(x) for x in P.context_of(ix.filter("false"))["D"])
+
+
+def test_rerank_aligned(spark):  # B3, F10, H4
+    recs = spark.createDataFrame([(0, "a", "AAAKKKAAA"), (1, "b", "QQQLRLQQQ"), (2, "c", "XLRLQ"), (3, "d", "")], "record_ord long, header string, sequence string")
+    profile = [p("E", L=-1.5), p("T", R=-2.0), p("S", L=-1.25)]
+    every = O.rerank(recs, profile, 100).collect()
+    some = O.rerank(recs, profile, 100, bonus_threshold=0.5).collect()
+    assert len(every) == 16 and [r for r in every if r.bonus >= 0.5] == some
+    got = O.rerank(recs, profile, 100, alignment="trim_query_one_target_gap").collect()
+    assert {(r.record_ord, r.start) for r in got} == {(r.record_ord, r.start) for r in every} - {(2, 2)}
+    scores = {(r.record_ord, r.start): r.score for r in O.scan(recs, profile, None, alignment="trim_query_one_target_gap").collect()}
+    assert all(r.rank_score == r.score - r.bonus and r.score == scores[r.record_ord, r.start] for r in got)
+    assert [r.rank_score for r in got] == sorted(r.rank_score for r in got)
+    with pytest.raises(ValueError):
+        O.rerank(recs, profile, 5, alignment="other")

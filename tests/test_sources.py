@@ -103,3 +103,48 @@ def test_reports(spark, tmp_path):  # A13 to A18
     R.write_chunk_hits(rows, spark.createDataFrame([(7,)], "windows long"), {"profile": "p"}, str(tmp_path / "c"))
     lines = [x for part in sorted((tmp_path / "c").glob("part-*")) for x in part.read_text().splitlines()]
     assert lines == ["# profile\tp", "# windows\t7", "# header\tstart\tend\twindow\tscore", *(f"h{i}\t{i + 1}\t{i + 3}\tLRL\t{i * 0.5:.4f}" for i in range(3))]
+
+
+def test_fixed_reports(spark, tmp_path):  # A13 to A19
+    from seqspark.jobs import reports as R
+    from seqspark.operators import profiles as P
+    from seqspark.operators import scan as O
+
+    recs = spark.createDataFrame([(0, "sp|P1|NAME text", "AAAKKKAAA"), (1, "b", "QQQLRLQQQ")], "record_ord long, header string, sequence string")
+    profile = [Position(r, [-1.5 if a in "LR" else 1.0 for a in A.ALPHABET]) for r in "ETS"]
+    flat = lambda **e: [e.get(a, 1.0) for a in A.ALPHABET]
+    one = M.index_arrays(M.index_long(spark.createDataFrame([(a, "g", flat(L=-2.0, R=-1.0)) for a in A.ALPHABET], "seq string, geom string, row array<double>")))
+    none = one.filter("false")
+
+    shown = R.profile_report(P.build(P.queries_of(spark, ["EL"]), one, none, none)).collect()
+    assert [(r.position, r.residue, r.mode, r.w1, r.support) for r in shown] == [(1, "E", "1x1_terminal", "1.00", "1.0"), (2, "L", "1x1_terminal", "1.00", "1.0")]
+    assert shown[0].best.startswith("L:-2.0000, R:-1.0000, ") and len(shown[0].best.split(", ")) == 6
+
+    hit = R.scan_report(O.scan(recs, profile, 1, breakdown=True)).first()
+    assert (hit.score, hit.header, hit.span, hit.window, hit.breakdown) == ("-4.5000", "b", "4-6", "LRL", "q1:L:-1.5000 q2:R:-1.5000 q3:L:-1.5000")
+    hits = O.scan(recs, profile, 1, alignment="trim_query_one_target_gap")
+    hit = R.scan_report(hits).first()
+    assert (hit.score, hit.q, hit.t, hit.skip, hit.aligned) == ("-4.5000", "1-3", "4-6", "None", "LRL")
+    R.write_chunk_hits(hits, spark.createDataFrame([(7,)], "windows long"), {}, str(tmp_path / "c"))
+    lines = [x for part in sorted((tmp_path / "c").glob("part-*")) for x in part.read_text().splitlines()]
+    assert len(lines[1].split("\t")) == 11 and lines[2] == "b\t3\t5\tQLR\t-4.5000\t1\t3\t4\t6\t\tLRL"  # found through its flank
+
+    row = R.rerank_report(O.rerank(recs, profile, 2, top_n=14, metrics=True)).first()
+    assert len(row) == 20 and row.window == "LRL" and row.score == "-4.500000" and float(row.rank_score) == pytest.approx(-4.5 - float(row.bonus))
+    rank = R.rank_report(O.window_ranks(recs, profile, [("x", "LRL"), ("y", "AAA")])).collect()
+    assert len(rank[0]) == 14 and tuple(rank[0])[5:] == (1, f"{100 / 14:.6f}", 1, 1, 1, "50.000000", 1, 14, 2)
+    assert rank[1].same_sequence == 2 and rank[1]["entries"] == 2
+    empty = R.rank_report(O.window_ranks(recs.filter("false"), profile, [("x", "LRL")])).first()
+    assert (empty["rank"], empty.percent, empty.total, empty["entries"], empty.entry_rank, empty.entry_percent) == (1, None, 0, 0, 1, None)
+
+    ix = spark.createDataFrame([("ARA", flat(A=0.5, K=-2.0)), ("KKK", flat(R=-1.0))], "seq string, mean array<double>")
+    got = R.rescore_report(O.rescore(O.scan(recs, profile, 14), "ARA", ix)).collect()
+    by = {(r.header, r.start): r for r in got}
+    best = by["sp|P1|NAME text", 4]
+    assert len(best) == 13 and (best.accession, best.entry, best.reciprocal_rank, best.top_terms) == ("P1", "NAME", 1, "2:ARA>KKK:-3.0000")
+    assert by["b", 4].top_terms == "" and by["b", 4].used == 0
+
+    pairs = R.pair_report(M.reciprocal_pairs(M.index_long(spark.createDataFrame([(a, "g", flat(L=-2.0)) for a in "LA"], "seq string, geom string, row array<double>")))).collect()
+    assert [tuple(r)[:5] for r in pairs] == [("A", "A", "1.0000", "1.0000", "2.0000"), ("A", "L", "-2.0000", "1.0000", "-1.0000"), ("L", "A", "1.0000", "-2.0000", "-1.0000"), ("L", "L", "-2.0000", "-2.0000", "-4.0000")]
+    made = R.design_report(spark.createDataFrame([("LL", -1.0, -2.0, -3.0), ("AA", 0.0, -4.0, -4.0)], "sequence string, forward double, reciprocal double, total double")).collect()
+    assert [tuple(r) for r in made] == [("-4.0000", "0.0000", "-4.0000", "AA"), ("-3.0000", "-1.0000", "-2.0000", "LL")]
