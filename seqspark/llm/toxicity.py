@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 KEPT_WORDS = 400_000
+#: Files of the bounded sample, so that as many tasks count its features.
+SAMPLE_FILES = 32
 
 
 def word_features(word: str) -> set[str]:
@@ -133,17 +135,25 @@ def _presence(features: dict[str, int], texts, known: dict[str, tuple[int, ...]]
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, object], sample: int = 1000, features: int = 256, folds: int = 4, key: str = "doc_id", text: str = "text") -> Chain:
     """A chain over the categories (name -> boolean column of ``labels``), in their order.
 
-    Rows whose labels are null don't train; a document with several label rows trains once for each; with
-    no labelled rows, or none positive, every probability is about the rate of the sample (0.5 if empty)."""
+    Rows whose labels are null don't train; a document with several label rows trains once for each, and of
+    rows that share an id each trains; ``sample`` bounds the rows of each combination of labels, whatever
+    repeats. With no labelled rows, or none positive, every probability is about the rate of the sample (0.5
+    if empty)."""
     names = list(categories)
     given = labels.select(F.col(key).cast("long").alias("doc_id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]).dropna()
-    group = Window.partitionBy([f"y{i}" for i in range(len(names))]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = given.withColumn("place", F.row_number().over(group)).filter(F.col("place") <= sample).drop("place")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id")  # sample * 2**categories rows at most
     ys = [f"y{i}" for i in range(len(names))]
+
+    def first(df: DataFrame, *order) -> DataFrame:
+        """So many rows of each combination of labels."""
+        place = F.row_number().over(Window.partitionBy(ys).orderBy(F.xxhash64("doc_id"), "doc_id", *order))
+        return df.withColumn("place", place).filter(F.col("place") <= sample).drop("place")
+
+    drawn = F.broadcast(first(given))  # sample * 2**categories rows at most; joined ids may repeat
+    rows = first(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(drawn, "doc_id"), F.xxhash64("text"), "text")
+    rows = written(rows.repartition(SAMPLE_FILES), "toxicity-rows")  # read several times; labels alone would deal it to few tasks
     kinds = ", ".join(f"{n} bigint" for n in ["n", *ys])
     seen = rows.select("text", *ys).mapInArrow(_counts(len(names)), f"feature string, {kinds}").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ["n", *ys]])
-    total = drawn.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ys]).first()
+    total = rows.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ys]).first()
     n_rows = total[0]
     kept: dict[str, int] = {}
     for c, positive in zip(ys, total[1:]):

@@ -259,6 +259,24 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(table(spark, [None, ""]), chain).count() == 2
 
 
+def test_toxicity_of_odd_tables(spark, texts):
+    """Repeated ids under one label, null and single labels, no labels, no documents, clashing names."""
+    kinds = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string")
+    score = lambda docs, chain: toxicity.score(docs, chain).collect()
+    docs = spark.createDataFrame([(1, f"vexing words number {i}") for i in range(300)] + [(i, f"plain words number {i}") for i in range(2, 60)], "doc_id long, text string")
+    given = labels([(1, 1, 1, "x"), *((i, 1, 0, "y") for i in range(2, 60)), (None, 1, 1, "z"), (3, None, 1, "z")])
+    chain = toxicity.fit(docs, given, kinds, sample=40, features=16)
+    got = {r.text: r.p_toxic for r in score(docs, chain)}
+    assert all((p >= 0.5) == t.startswith("vexing") for t, p in got.items()) and len(got) == 358
+    again = toxicity.fit(docs.repartition(7), given.repartition(3), kinds, sample=40, features=16)
+    assert again.features == chain.features and all(np.allclose(a, b) for a, b in zip(again.weights, chain.weights))
+    for some in ([], [(1, 1, 1, "x")], [(2, 1, 0, "x"), (3, 1, 0, "x")], [(10**9, 0, 1, "x")]):
+        rows = score(table(spark, texts), toxicity.fit(docs, labels(some), kinds))
+        assert len(rows) == len(texts) and all(0 <= r.p_toxic <= 1 for r in rows), some
+    assert score(table(spark, []), chain) == [] and len(score(table(spark, texts), toxicity.fit(docs.filter("false"), given, kinds))) == len(texts)
+
+
 def test_repeats_of_equal_rows_and_within_a_document(spark):
     """Equal texts in several rows, windows that repeat inside one text, null keys, nulls, short copies."""
     rng = random.Random(5)
