@@ -3,10 +3,12 @@ the others tests hold them against brute force, round trips, the public tokenize
 
 from .bpe import op1_byte_bpe
 from .jaccard import op9_ngram_jaccard_join
+from .lines import op12_line_dedup
 from .packing import op2_packing
 from .pages import op6_page_text
 from .sharding import op4_hilbert_sharding
 from .simple8b import op3_simple8b
+from .spelling import op13_spelling_variants
 from .substrings import op5_substring_dedup
 from .toxicity import op7_toxicity_chain
 from .vectors import op8_exact_top_k, op10_permutation_index
@@ -24,6 +26,8 @@ QUERIES = {
         op8_exact_top_k,
         op9_ngram_jaccard_join,
         op10_permutation_index,
+        op12_line_dedup,
+        op13_spelling_variants,
     )
 }
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -55,4 +59,29 @@ links AS (SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.d
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op12_line_dedup": f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+places AS (SELECT doc_id, r, l, unnest(range(1, len(l) + 1)) AS i FROM docs),
+lines AS (SELECT doc_id, r, i, l[i] AS line, {_LOWER.replace("text", "trim(l[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM places),
+held AS (SELECT key, max(doc_id) AS keep FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5),
+judged AS (SELECT r, i, line, keep IS NOT NULL AND keep <> doc_id AS gone FROM lines LEFT JOIN held USING (key))
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged JOIN docs USING (r) GROUP BY r""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\xC0-\xFF]+')) AS run FROM documents),
+owned AS (SELECT run, count(*) AS n, string_split(doc_id || ':' || run, '') AS c FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(list_reduce(flatten(list_transform(c, lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)),
+           lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM owned, crc),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+ways AS (SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.a = y.a AND x.b = y.b AND x.i = y.i AND x.word <> y.word
+         UNION SELECT w.word, w.n, c.word, c.n FROM words w JOIN cuts c ON w.word = c.a || c.b UNION SELECT c.word, c.n, w.word, w.n FROM words w JOIN cuts c ON w.word = c.a || c.b),
+best AS (SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS k FROM ways),
+formed AS (SELECT word, n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM best WHERE k = 1),
+chains AS (SELECT word, form AS root FROM formed WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chains c LEFT JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT w.word, form, coalesce(root, w.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM words w LEFT JOIN formed USING (word) LEFT JOIN ends ON ends.word = w.word""",
 }
