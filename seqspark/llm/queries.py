@@ -6,6 +6,7 @@ from .jaccard import op9_ngram_jaccard_join
 from .lines import op12_line_dedup
 from .packing import op2_packing
 from .pages import op6_page_text
+from .search import op11_lexical_search
 from .sharding import op4_hilbert_sharding
 from .simple8b import op3_simple8b
 from .spelling import op13_spelling_variants
@@ -26,11 +27,13 @@ QUERIES = {
         op8_exact_top_k,
         op9_ngram_jaccard_join,
         op10_permutation_index,
+        op11_lexical_search,
         op12_line_dedup,
         op13_spelling_variants,
     )
 }
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -59,6 +62,17 @@ links AS (SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.d
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op11_lexical_search": f"""
+WITH held AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM documents) GROUP BY ALL),
+docs AS (SELECT doc_id, sum(tf) AS n FROM held GROUP BY doc_id),
+whole AS (SELECT count(*) AS total, sum(n) AS length FROM docs),
+lengths AS (SELECT doc_id, CAST(75 + (25 * n * total) // length AS BIGINT) AS m FROM docs, whole),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM held GROUP BY term), whole),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+           FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
     "op12_line_dedup": f"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 places AS (SELECT doc_id, r, l, unnest(range(1, len(l) + 1)) AS i FROM docs),
