@@ -94,10 +94,11 @@ def metrics(window: Column) -> dict[str, Column]:
     )
 
 
-def bonus(m: dict[str, Column], weights: BonusWeights = BonusWeights()) -> Column:
-    w = {f.name: float(getattr(weights, f.name)) for f in fields(weights)}
+def bonus(m: dict, weights: BonusWeights = BonusWeights(), number=F.lit, larger=F.greatest):
+    """The weighted sum of metrics, which are columns, or arrays with ``number`` and ``larger`` for these."""
+    w = {f.name: number(float(getattr(weights, f.name))) for f in fields(weights)}
     plus = {"surface": "surface", "flexibility": "flex", "polar": "polar", "gp": "gp", "complexity": "entropy", "transition": "transition"}
     minus = {"hydrophobe_penalty": "hydrophobe", "repeat_penalty": "repeat", "acidic_run_penalty": "acidic_run", "basic_run_penalty": "basic_run", "charged_run_penalty": "charged_run"}
-    total = sum((F.lit(w[k]) * m[c] for k, c in plus.items()), F.lit(0.0))
-    total = total - sum((F.lit(w[k]) * m[c] for k, c in minus.items()), F.lit(0.0))
-    return total - F.lit(w["acidic_excess_penalty"]) * F.greatest(F.lit(0.0), m["acidic"] - 0.25)
+    total = sum((w[k] * m[c] for k, c in plus.items()), number(0.0))
+    total = total - sum((w[k] * m[c] for k, c in minus.items()), number(0.0))
+    return total - w["acidic_excess_penalty"] * larger(number(0.0), m["acidic"] - 0.25)

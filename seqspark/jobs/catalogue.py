@@ -65,8 +65,7 @@ def rigid_scan_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mode(mode: str):
     @query(f"WITH {T.sql_windows(9)}, s AS (SELECT *, round({T.sql_rigid(T.NINE, mode)}, 9) AS score FROM w) " + _sql_hits("SELECT * FROM s", 25), f"score_{mode.split('_')[0]}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scored = O.score_windows(T.records(spark, sf_dir), T.profile(T.NINE), mode, rescue="none").withColumn("score", F.round("score", 9))
-        return _hits(O.top(scored, 25, *O.ORDER))
+        return _hits(O.scan(T.records(spark, sf_dir), T.profile(T.NINE), 25, digits=9, mode=mode, rescue="none"))
 
 
 _mode("centered")
@@ -78,8 +77,7 @@ _mode("confidence_adjusted")
     + _sql_hits("SELECT * FROM s", 25)
 )
 def prefilter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = O.score_windows(T.records(spark, sf_dir), T.profile(T.NINE), "confidence_adjusted", rescue="none", prefilter=-3.0).withColumn("score", F.round("score", 9))
-    return _hits(O.top(scored, 25, *O.ORDER))
+    return _hits(O.scan(T.records(spark, sf_dir), T.profile(T.NINE), 25, digits=9, mode="confidence_adjusted", rescue="none", prefilter=-3.0))
 
 
 _STATS = "count(*) AS windows_scanned, count_if(pre <= -3) AS prefilter_passed, count_if(pre <= -3 AND score IS NOT NULL) AS scored_windows, count_if(pre <= -3 AND score <= -2.5) AS threshold_passed"
@@ -165,8 +163,7 @@ def entry_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {T.sql_windows(5)}, s AS ({T.sql_rescue(T.FIVE, 'w', 'record_ord, header, start, win')}) " + _sql_hits("SELECT record_ord, header, start, win, round(score, 9) AS score FROM s", 25))
 def rescue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = O.score_windows(T.records(spark, sf_dir), T.profile(T.FIVE)).withColumn("score", F.round("score", 9))
-    return _hits(O.top(scored, 25, *O.ORDER))
+    return _hits(O.scan(T.records(spark, sf_dir), T.profile(T.FIVE), 25, digits=9))
 
 
 _BEST5 = f"{T.sql_regions(5)}, {T.sql_semiglobal(T.FIVE, 'g')}"
@@ -177,13 +174,13 @@ _BEST5 = f"{T.sql_regions(5)}, {T.sql_semiglobal(T.FIVE, 'g')}"
     ORDER BY round(score, 9), record_ord, start LIMIT 25"""
 )
 def semiglobal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = O.score_windows(T.records(spark, sf_dir), T.profile(T.FIVE), alignment="trim_query_one_target_gap").withColumn("score", F.round("score", 9))
-    return O.top(w, 25, *O.ORDER).select("record_ord", "start", F.col("window").alias("win"), F.round("score", 6).alias("score"), *map(F.expr, _PLACES))
+    hits = O.scan(T.records(spark, sf_dir), T.profile(T.FIVE), 25, digits=9, alignment="trim_query_one_target_gap")
+    return hits.select("record_ord", "start", F.col("window").alias("win"), F.round("score", 6).alias("score"), *map(F.expr, _PLACES))
 
 
 @query(
     f"""WITH {T.sql_regions(5)}, m AS ({T.sql_with_metrics(5, 'record_ord, header, start, win, region, region_from', 'g')}),
-    n AS (SELECT record_ord, start, win, region, region_from, round({T.sql_bonus()}, 9) AS bonus FROM m ORDER BY bonus DESC, record_ord, start LIMIT 2000), {T.sql_semiglobal(T.FIVE, 'n')}
+    n AS (SELECT record_ord, start, win, region, region_from, round({T.sql_bonus()}, 9) AS bonus FROM m WHERE region IS NOT NULL ORDER BY bonus DESC, record_ord, start LIMIT 2000), {T.sql_semiglobal(T.FIVE, 'n')}
     SELECT record_ord, start, win, round(score, 6) AS score, round(bonus, 6) AS bonus, round(score - bonus, 6) AS rank_score, {T.SQL_PLACES} FROM n JOIN best ON best.region = n.region
     ORDER BY score - bonus, record_ord, start LIMIT 50"""
 )
@@ -283,8 +280,7 @@ _INDEX9 = f"""{T.sql_windows(9)}, {T.sql_profile(P.STRATEGIES[0], T.QUERY[:9])},
 def index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From index to hits: the motif index, a query's profile from it, and the windows that it fits best."""
     profile = P.collect_profile(_profile_rows(spark, sf_dir, P.STRATEGIES[0], T.QUERY[:9]))
-    scored = O.score_windows(T.records(spark, sf_dir), profile).withColumn("score", F.round("score", 9))
-    return _hits(O.top(scored, 25, *O.ORDER))
+    return _hits(O.scan(T.records(spark, sf_dir), profile, 25, digits=9))
 
 
 _AROUND = "e, " + ", ".join(f"c{j}" for j in (1, 2, 3))
@@ -303,8 +299,7 @@ def contextual_rescue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan with a profile from the index, whose charged donors score as centres of their own triplets."""
     profile = P.collect_profile(_profile_rows(spark, sf_dir, P.STRATEGIES[0], T.FIVE))
     context = P.context_of(M.build_index(T.motif_rows(spark, sf_dir, 3)))
-    scored = O.score_windows(T.records(spark, sf_dir), profile, context=context).withColumn("score", F.round("score", 9))
-    return _hits(O.top(scored, 25, *O.ORDER))
+    return _hits(O.scan(T.records(spark, sf_dir), profile, 25, digits=9, context=context))
 
 
 @query(

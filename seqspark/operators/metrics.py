@@ -58,6 +58,50 @@ def metrics(codes: np.ndarray) -> dict[str, np.ndarray]:
     )
 
 
+def sliding_metrics(codes: np.ndarray, n: int, m: int) -> dict[str, np.ndarray]:
+    """The metrics of the m windows of n residues that begin at each place of a row of codes: sums of shifted
+    rows and differences of running counts, so that a letter is looked up once for all its windows."""
+    member = lambda letters: np.isin(np.arange(20), [A.ALPHABET.index(x) for x in letters])[codes]
+
+    def count(on: np.ndarray, first: int = 0) -> np.ndarray:
+        running = np.concatenate([[0], np.cumsum(on)])
+        return running[n : n + m] - running[first : first + m]
+
+    def scaled(scale: dict[str, float]) -> np.ndarray:
+        values, total = np.array([scale[a] for a in A.ALPHABET])[codes], np.zeros(m)
+        for i in range(n):
+            total = total + values[i : i + m]
+        lo, hi = min(scale.values()), max(scale.values())
+        return (total / n - lo) / (hi - lo)
+
+    place = np.arange(len(codes), dtype=np.int32)
+
+    def longest(began: np.ndarray) -> np.ndarray:
+        """The longest run within each window; began: where the run that each place is in began (the place after it: in none)."""
+        run, best = place - began + 1, np.zeros(m, np.int32)
+        for i in range(n):
+            best = np.maximum(best, np.minimum(run[i : i + m], i + 1))
+        return best
+
+    began = lambda on: np.maximum.accumulate(np.where(on, np.int32(0), place + 1))
+    group = np.zeros(20, np.int64)
+    for k, letters in enumerate(_CLASSES):
+        group[[A.ALPHABET.index(x) for x in letters]] = k
+    kinds, entropy = group[codes], np.zeros(m)
+    p = np.arange(n + 1) / n
+    share = p * np.log2(np.where(p > 0, p, 1.0))
+    for k in range(len(_CLASSES)):
+        entropy = entropy - share[count(kinds == k)]
+    changes = np.append(False, kinds[1:] != kinds[:-1])
+    new = np.append(True, codes[1:] != codes[:-1])
+    values = (
+        scaled(A.SURFACE), scaled(A.FLEX), *(count(member(x)) / n for x in (A.POLAR_OR_CHARGED, A.ACIDIC, A.BASIC, A.SMALL, A.HYDROPHOBIC)),
+        entropy / np.log2(min(5, n)) if n > 1 else entropy, count(changes, 1) / (n - 1) if n > 1 else entropy,
+        longest(np.maximum.accumulate(np.where(new, place, np.int32(0)))) / n, *(longest(began(member(x))) / n for x in (A.ACIDIC, A.BASIC, A.CHARGED)),
+    )
+    return dict(zip(H.METRICS, values))
+
+
 def add_metrics(windows: DataFrame, length: int) -> DataFrame:
     """Adds the 13 metrics to valid windows of this length."""
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import heuristics as H
 from ..functions import scoring as S
 from . import align as L
+from . import blocks as B
 from . import profiles as P
 from .metrics import add_bonus, add_metrics
 from .windows import windows
@@ -46,15 +47,29 @@ def score_windows(
     return w if threshold is None else w.filter(F.col("score") <= threshold)
 
 
-def scan(records: DataFrame, profile: S.Profile, top_k: int | None = 25, threshold: float | None = None, breakdown: bool = False, **options) -> DataFrame:
-    """Hits, best first, ties in scan order: all under the threshold if there is one, else the top k. The
-    breakdown (a label and energy per position) is computed for hits only."""
-    hits = score_windows(records, profile, threshold=threshold, **options)
-    hits = hits.orderBy(*ORDER) if threshold is not None or top_k is None else top(hits, top_k, *ORDER)
-    if breakdown and options.get("alignment", "rigid") == "rigid":
-        args = (options.get("mode", "raw"), options.get("floor", 1.0), options.get("context"))
-        traced = hits.withColumn("trace", S.rescued(F.col("window"), profile, *args))
-        hits = traced.withColumns({"labels": S.labels(F.col("window"), profile, F.col("trace")), "energies": F.col("trace.energies")}).drop("trace").orderBy(*ORDER)
+def scan(records: DataFrame, profile: S.Profile, top_k: int | None = 25, threshold: float | None = None, breakdown: bool = False, digits: int | None = None, observe: Observation | None = None, **options) -> DataFrame:
+    """Hits, best first, ties in scan order: all under the threshold if there is one, else the top k. With digits
+    scores are rounded first. The breakdown is found for hits only: ``labels`` and ``energies`` of a rigid hit's
+    positions, ``breakdown`` and ``peripheral`` of an aligned one's (align.add_breakdown).
+
+    An observation gets the run's statistics (scan_stats) from the pass that finds the hits. Hits under a
+    threshold are unordered then: a range sort would read them, and count them, twice."""
+    alignment = options.get("alignment", "rigid")
+    if alignment not in ALIGNMENTS:
+        raise ValueError(f"unknown alignment mode {alignment!r}")
+    if threshold is None and top_k is not None and top_k < 1:
+        raise ValueError("k must be 1 or more")
+    hits = B.scan_hits(records, profile, top_k, threshold=threshold, digits=digits, observe=observe, **options)
+    whole = threshold is not None or top_k is None
+    in_order = (lambda df: df) if whole and observe is not None else (lambda df: df.orderBy(*ORDER))
+    hits = in_order(hits) if whole else top(hits, top_k, *ORDER)
+    score = {k: options[k] for k in ("mode", "floor", "context") if k in options}
+    if breakdown and alignment == "rigid":
+        own = profile if S.rescues(profile, options.get("rescue", "full")) else [S.Position("A", p.energies, p.stds) for p in profile]  # A takes no donors
+        traced = hits.withColumn("trace", S.rescued(F.col("window"), own, **score))
+        hits = in_order(traced.withColumns({"labels": S.labels(F.col("window"), own, F.col("trace")), "energies": F.col("trace.energies")}).drop("trace"))
+    elif breakdown:
+        hits = in_order(L.add_breakdown(hits, profile, **score, **{k: options[k] for k in ("rescue", "flank_weight") if k in options}))
     return hits
 
 
@@ -95,9 +110,7 @@ def rerank(
     if alignment not in ALIGNMENTS:
         raise ValueError(f"unknown alignment mode {alignment!r}")
     rigid = alignment == "rigid"
-    w = add_bonus(windows(records, len(profile), (), 0 if rigid else flank), len(profile))
-    if bonus_threshold is not None:
-        w = w.filter(F.col("bonus") >= bonus_threshold)
+    w = B.bonus_hits(records, len(profile), top_n, bonus_threshold, 0 if rigid else flank)
     if top_n is not None:
         w = top(w, top_n, F.desc("bonus"), "record_ord", "start")
     if not rigid and not flank:
