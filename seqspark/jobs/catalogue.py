@@ -178,6 +178,26 @@ def semiglobal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("record_ord", "start", F.col("window").alias("win"), F.round("score", 6).alias("score"), *map(F.expr, _PLACES))
 
 
+@query(
+    f"""WITH {T.sql_regions(5)}, {T.sql_semiglobal(T.FIVE, 'g', trace=True)},
+    h AS (SELECT record_ord, start, win, region_from, best.* FROM g JOIN best ON best.region = g.region ORDER BY round(score, 9), record_ord, start LIMIT 25),
+    x AS (SELECT *, unnest(range(1, qe - qs + 1)) AS j FROM h)
+    SELECT record_ord, start, win, qs + j AS place, labels[j] AS label, round(energies[j], 6) AS energy,
+        CASE WHEN j = 1 AND head <> '' THEN region_from + ts - 1 + CAST(gap = 0 AS INTEGER) WHEN j = qe - qs AND tail <> '' THEN region_from + ts + j + CAST(gap >= 0 AND gap < j AS INTEGER) ELSE 0 END AS beside,
+        CASE WHEN j = 1 THEN head WHEN j = qe - qs THEN tail ELSE '' END AS beside_residue FROM x"""
+)
+def semiglobal_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What makes up the scores of the best aligned hits: each position's label and energy, and the letter beside the
+    alignment that eases it, with its place in the record (0: none)."""
+    hits = O.scan(T.records(spark, sf_dir), T.profile(T.FIVE), 25, digits=9, alignment="trim_query_one_target_gap", breakdown=True)
+    each = hits.select("record_ord", "start", F.col("window").alias("win"), "peripheral", F.explode("breakdown").alias("b"))
+    by = F.get(F.filter("peripheral", lambda x: x["position"] == F.col("b.position")), 0)
+    return each.select(
+        "record_ord", "start", "win", F.col("b.position").cast("long").alias("place"), "b.label", F.round("b.energy", 6).alias("energy"),
+        F.coalesce(by["target"], F.lit(0)).alias("beside"), F.coalesce(by["residue"], F.lit("")).alias("beside_residue"),
+    )
+
+
 @query(
     f"""WITH {T.sql_regions(5)}, m AS ({T.sql_with_metrics(5, 'record_ord, header, start, win, region, region_from', 'g')}),
     n AS (SELECT record_ord, start, win, region, region_from, round({T.sql_bonus()}, 9) AS bonus FROM m WHERE region IS NOT NULL ORDER BY bonus DESC, record_ord, start LIMIT 2000), {T.sql_semiglobal(T.FIVE, 'n')}

@@ -5,7 +5,7 @@ in order, since hits that passed a threshold grow with the input."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
@@ -39,13 +39,19 @@ def profile_report(rows: DataFrame) -> DataFrame:
 
 def scan_report(hits: DataFrame) -> DataFrame:
     """score (4 digits), header, start-end, window; of an alignment also its places in query and target, the
-    place it skips and its letters; of a breakdown also ``q<place>:<label>:<energy>`` for each position."""
+    place it skips and its letters; of a breakdown also ``q<place>:<label>:<energy>`` for each position, and of
+    an aligned hit's ``q<place>@<place in the record>:<residue>:<energy>`` for letters beside it that ease its ends."""
     columns = [fixed("score", 4).alias("score"), "header", F.concat_ws("-", "start", "end").alias("span"), "window"]
     if "aligned_window" in hits.columns:
         columns += [F.concat_ws("-", "query_start", "query_end").alias("q"), F.concat_ws("-", "target_start", "target_end").alias("t"), F.coalesce(F.col("skipped").cast("string"), F.lit("None")).alias("skip"), F.col("aligned_window").alias("aligned")]
     if "labels" in hits.columns:
         lines = F.transform(F.arrays_zip("labels", "energies"), lambda x, i: F.concat(F.lit("q"), (i + 1).cast("string"), F.lit(":"), x["labels"], F.lit(":"), fixed(x["energies"], 4)))
         columns.append(F.array_join(lines, " ").alias("breakdown"))
+    if "peripheral" in hits.columns:
+        of = lambda x: F.concat(F.lit("q"), x["position"].cast("string"), F.lit("@"), x["target"].cast("string"), F.lit(":"), x["residue"], F.lit(":"), fixed(x["energy"], 4))
+        columns.append(F.array_join(F.transform("peripheral", of), ",").alias("periph"))
+        line = lambda x: F.concat(F.lit("q"), x["position"].cast("string"), F.lit(":"), x["label"], F.lit(":"), fixed(x["energy"], 4))
+        columns.append(F.array_join(F.transform("breakdown", line), " ").alias("breakdown"))
     return hits.select(*columns)
 
 
@@ -84,13 +90,20 @@ def design_report(designs: DataFrame) -> DataFrame:
     return designs.orderBy("total", "forward", "reciprocal", "sequence").select(*[fixed(c, 4).alias(c) for c in ("total", "forward", "reciprocal")], "sequence")
 
 
-def write_chunk_hits(hits: DataFrame, stats: DataFrame, settings: dict[str, object], path: str) -> None:
+def write_chunk_hits(hits: DataFrame, stats: DataFrame | Observation, settings: dict[str, object], path: str) -> None:
     """Hits of all chunks in one order (printed score, record, start), behind lines ``# key<tab>value``: five
-    columns, or eleven where hits have alignments (a skipped place that isn't there is empty)."""
-    counts = stats.first().asDict()
+    columns, or eleven where hits have alignments (a skipped place that isn't there is empty).
+
+    With the observation that the hits were made with, the run's statistics come from the pass that finds the
+    hits: these are kept as Parquet beside the report (``<path>.hits``), from which the ordered report is made."""
+    spark = hits.sparkSession
+    if isinstance(stats, Observation):
+        hits.write.mode("overwrite").parquet(f"{path}.hits")
+        hits, counts = spark.read.schema(hits.schema).parquet(f"{path}.hits"), stats.get
+    else:
+        counts = stats.first().asDict()
     more = [c for c in ("query_start", "query_end", "target_start", "target_end", "skipped", "aligned_window") if c in hits.columns]
     lines = [f"# {k}\t{v}" for k, v in {**settings, **counts}.items()] + ["# " + "\t".join(["header", "start", "end", "window", "score", *more])]
-    spark = hits.sparkSession
     head = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n long, value string").select(F.lit(0).alias("part"), F.lit(0.0).alias("s"), F.col("n").alias("r"), F.lit(0).cast("long").alias("t"), "value")
     body = hits.select(F.lit(1).alias("part"), F.round("score", 4).alias("s"), F.col("record_ord").cast("long").alias("r"), F.col("start").cast("long").alias("t"), F.concat_ws("\t", "header", F.col("start").cast("string"), F.col("end").cast("string"), "window", fixed("score", 4), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in more]).alias("value"))
     head.unionByName(body).orderBy("part", "s", "r", "t").select("value").write.mode("overwrite").text(path)

@@ -132,8 +132,9 @@ def sql_regions(length: int) -> str:
     g AS (SELECT record_ord, header, start, win, CASE WHEN regexp_full_match(around, '[{A.ALPHABET}]+') THEN around END AS region, greatest(start - 1, 1) AS region_from FROM w)"""
 
 
-def sql_semiglobal(residues: str, source: str) -> str:
-    """CTEs that end in `best`: region, score, qs, qe, ts, gap, aligned, for each distinct region of the source.
+def sql_semiglobal(residues: str, source: str, trace: bool = False) -> str:
+    """CTEs that end in `best`: region, score, qs, qe, ts, gap, aligned, for each distinct region of the source. With
+    trace also labels, energies, and head and tail: the letters beside the alignment that ease its ends, or ''.
 
     All alignments are listed: from qs to qe of the profile, ts in the region, one letter skipped at most; the
     ends may take half of what the letter beside them scores lower. The first of least score stays."""
@@ -149,8 +150,10 @@ def sql_semiglobal(residues: str, source: str) -> str:
             k = qe - qs
             steps = sql_rescue(residues[qs:qe], f"(SELECT * FROM al WHERE qs = {qs} AND qe = {qe})", "region, qs, qe, ts, gap, before_, after_, aligned", "aligned", lambda i, x, qs=qs: sql_energy(i + qs, x), trace=True)
             parts = [f"parts[{i}]" for i in range(1, k + 1)]
+            took = ", ".join(f"CASE WHEN {x} <> '' AND {sql_energy(i, x)} < {part} THEN {x} ELSE '' END AS {name}" for name, x, i, part in (("head", "before_", qs, parts[0]), ("tail", "after_", qe - 1, parts[-1])))
             parts[0], parts[-1] = eased(parts[0], "before_", qs), eased(parts[-1], "after_", qe - 1)
-            scored.append(f"SELECT region, qs, qe, ts, gap, aligned, 0.0 + {' + '.join(f'({x})' for x in parts)} AS score FROM ({steps})")
+            more = f", labels, [{', '.join(parts)}] AS energies, {took}" if trace else ""
+            scored.append(f"SELECT region, qs, qe, ts, gap, aligned, 0.0 + {' + '.join(f'({x})' for x in parts)} AS score{more} FROM ({steps})")
     return f"""st AS (SELECT * FROM (SELECT unnest(range({n}, {n + 3})) AS size), (SELECT unnest(range(0, {n})) AS qs), (SELECT unnest(range(1, {n + 1})) AS qe),
         (SELECT unnest(range(0, {n + 2})) AS ts), (SELECT unnest(range(-1, {n + 1})) AS gap) WHERE qe - qs >= {n - 1} AND gap <= qe - qs AND ts + (qe - qs) + CAST(gap >= 0 AS INTEGER) <= size),
     al AS (SELECT region, qs, qe, ts, gap, substr(region, ts + CAST(gap = 0 AS INTEGER), 1) AS before_, substr(region, ts + (qe - qs) + 1 + CAST(gap >= 0 AND gap < qe - qs AS INTEGER), 1) AS after_,

@@ -24,7 +24,7 @@ from . import align as L
 from .metrics import sliding_metrics
 
 #: Letters of a block; longer records are cut into several, with what their windows need of the next.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 _FAR, _SLACK = 1e18, 1e-6  # no energy there; what roundings may differ by
 _LETTERS = np.frombuffer(A.ALPHABET.encode(), np.uint8)
 
@@ -35,13 +35,13 @@ class Block:
     def __init__(self, parts: list[tuple[int, int, np.ndarray, int, int]], length: int, flank: int):
         """parts: row, place of the first letter in its record, letters, first and last + 1 place of windows."""
         self.length, self.flank = length, flank
-        edge = np.full(length + 2 * flank + 2, -1, np.int64)
-        pieces, self.base, at = [edge], [], len(edge)
+        self.edge = np.full(length + 2 * flank + 2, -1, np.int64)
+        pieces, self.base, at = [self.edge], [], len(self.edge)
         for _, _, letters, _, _ in parts:
             self.base.append(at)
-            pieces += [L._CODE[letters], edge[:1]]
+            pieces += [L._CODE[letters], self.edge[:1]]
             at += len(letters) + 1
-        self.codes = np.concatenate([*pieces, edge])
+        self.codes = np.concatenate([*pieces, self.edge])
         self.safe = np.maximum(self.codes, 0)
         self.bad = np.concatenate([[0], np.cumsum(self.codes < 0)])
         self.row, self.place = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
@@ -129,68 +129,103 @@ class Best:
         return self.rows.to_batches() if self.rows is not None else []
 
 
-def reaches(n: int, flank: int, rescuable: list[bool], max_gaps: int | None, least: int | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(first and last place, from the window's first letter, whose energy each position may take; query spans)."""
-    if max_gaps is None:
-        return [(max(0, i - 1), min(n - 1, i + 1)) if can else (i, i) for i, can in enumerate(rescuable)], [(0, n)]
-    steps = L.plan(n, n + 2 * flank, max_gaps, least)
-    lo, hi = [n + flank] * n, [-flank] * n
-    for step in steps:
-        for i, at in enumerate(L.aligned_columns(step), step[0]):
-            lo[i], hi[i] = min(lo[i], at - flank), max(hi[i], at - flank)
-    # A neighbour is two away across a skipped letter; the ends take from the letters beside the alignment.
-    return [(max(-flank, a - 2), min(n + flank - 1, b + 2)) for a, b in zip(lo, hi)], sorted({s[:2] for s in steps})
-
-
-def lower_bound(block: Block, table: np.ndarray, profile: Profile, rescue: bool, reach, spans, floor: dict[str, float]) -> np.ndarray:
-    """For the windows at block.at, no more than any score they can have."""
-    sums = [np.zeros(len(block.at))]
-    for i, (p, (a, b)) in enumerate(zip(profile, reach)):
-        energies = np.where(block.codes < 0, _FAR, table[i][block.safe])
-        low = energies[block.at + a]
-        for o in range(a + 1, b + 1):
-            low = np.minimum(low, energies[block.at + o])
-        if rescue and p.charged:
-            low = np.minimum(low, floor.get(p.residue, np.inf))
-            low = np.where(low < 0, A.SECOND_DONOR_CAP * low, low)
-        sums.append(sums[-1] + low)
-    return np.minimum.reduce([sums[qe] - sums[qs] for qs, qe in spans])
-
-
-_COUNTS = ("windows_scanned", "prefilter_passed", "scored_windows", "threshold_passed")
+class Bound:
+    """A bound from below on the score of each window of a block: for each start of an alignment the least that
+    each position can take from the letters it can meet, summed over prefixes of the query, so that alignments
+    of one start share it. A position is at one place, or the next after a skipped letter; donors are beside it."""
+
+    def __init__(self, table: np.ndarray, profile: Profile, rescue: bool, context: dict[str, np.ndarray], flank: int, max_gaps: int | None, least: int | None, weight: float):
+        n = len(profile)
+        self.table, self.profile, self.rescue, self.flank, self.weight = table, profile, rescue, flank, weight
+        self.gaps, self.least = bool(max_gaps), (n if max_gaps is None else max(1, n - 1) if least is None else least)
+        size = n + 2 * flank
+        self.starts = [(qs, ts) for qs in range(n - self.least + 1) for ts in range(size - self.least + 1)] if max_gaps is not None else [(0, 0)]
+        self.floor = {r: float(np.nanmin(t)) for r, t in context.items() if not np.isnan(t).all()} if rescue else {}
+
+    def __call__(self, block: Block) -> np.ndarray:
+        """For the windows at block.at."""
+        n, edge = len(self.profile), len(block.edge)
+        count, last = len(block.codes) - 2 * edge, n + self.flank - 1
+        best, away = np.full(count, _FAR), np.full(count, _FAR)
+        energies = [np.where(block.codes < 0, _FAR, t[block.safe]) for t in self.table]
+        suited = [np.where(self._suits(p)[block.safe], e, _FAR) if self.rescue and p.residue in A.RESCUERS else None for p, e in zip(self.profile, energies)]
+
+        def near(row: np.ndarray, *places: int) -> np.ndarray:
+            found = [row[edge + o : edge + o + count] for o in places if -self.flank <= o <= last]
+            return np.minimum.reduce(found) if len(found) > 1 else found[0] if found else away
+
+        for qs, ts in self.starts:
+            before = None
+            for i in range(qs, n):
+                o, k = ts + i - qs - self.flank, i + 1 - qs
+                if o > last:
+                    break
+                one = near(energies[i], o, *([o + 1] if self.gaps else []))
+                if suited[i] is not None:
+                    left, right = (near(suited[i], o - 1, o), near(suited[i], o + 1, o + 2)) if self.gaps else (near(suited[i], o - 1), near(suited[i], o + 1))
+                    first = np.minimum(left, right)
+                    one = np.minimum(one, first)
+                    if self.profile[i].charged:
+                        if (floor := self.floor.get(self.profile[i].residue)) is not None:
+                            one = np.minimum(one, min(floor, A.SECOND_DONOR_CAP * floor))
+                            first = np.minimum(first, floor)
+                            left = right = np.minimum(np.minimum(left, right), floor)
+                        second = np.maximum(left, right)
+                        one = np.where(second < 0, np.minimum(one, first + A.SECOND_DONOR_WEIGHT * second), one)
+                eased = lambda *at: one + self.weight * np.minimum(0.0, near(energies[i], *at) - one) if self.weight else one  # noqa: B023, E731
+                behind = eased(*((o + 1, o + 2) if self.gaps else (o + 1,)))
+                ahead = eased(*((o - 1, o) if self.gaps else (o - 1,))) if before is None else None
+                if k >= self.least:
+                    best = np.minimum(best, np.minimum(ahead, behind) if before is None else before + behind)
+                before = ahead if before is None else before + one
+        return best[block.at - edge]
+
+    @staticmethod
+    def _suits(p) -> np.ndarray:
+        return np.array([x in A.RESCUERS[p.residue] for x in A.ALPHABET])
+
+
+COUNTS = ("windows_scanned", "prefilter_passed", "scored_windows", "threshold_passed")
 
 
 def scan_hits(
     records: DataFrame, profile: Profile, k: int | None, mode: str = "raw", floor: float = 1.0, rescue: str = "full", alignment: str = "rigid", prefilter: float | None = None,
     prefilter_mode: str = "raw", threshold: float | None = None, flank: int = 1, keep: tuple[str, ...] = (), context=None, digits: int | None = None,
-    observe: Observation | None = None, **options,
+    observe: Observation | None = None, counts_only: bool = False, **options,
 ) -> DataFrame:
     """The windows of scan.score_windows under the threshold, or (without one) each task's k best by score,
     record_ord and start. digits: scores are rounded to so many before they compare. An observation gets the
-    numbers of windows scanned, passing the prefilter, scored and passing the threshold from the same pass."""
+    numbers of windows scanned, passing the prefilter, scored and passing the threshold from the same pass;
+    counts_only: a row of these for each record instead of its hits."""
     n, rigid, k = len(profile), alignment == "rigid", None if threshold is not None else k
     table, pre = (np.array([p.scores(m, floor) for p in profile]) for m in (mode, prefilter_mode))
     known = {r: np.array(t) for r, t in (context or {}).items()}
     full = rescues(profile, rescue)
     add_alignment = None if rigid else L.aligner(profile, mode, floor, rescue, context=context, **options)
     flank = 0 if rigid else flank
-    reach, spans = reaches(n, flank, [full and p.residue in A.RESCUERS for p in profile], None if rigid else options.get("max_gaps", 1), options.get("least"))
-    least_known = {r: float(np.nanmin(t)) for r, t in known.items() if not np.isnan(t).all()}
+    bound = Bound(table, profile, full, known, flank, None if rigid else options.get("max_gaps", 1), options.get("least"), 0.0 if rigid else options.get("flank_weight", 0.5))
     penalty = min(0.0, options.get("gap_penalty", 0.0))
-    counted = observe is not None
+    counted = observe is not None or counts_only
 
     def rounded(score: np.ndarray) -> np.ndarray:
         return score if digits is None else np.round(score, digits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, counts, schema = Best(k, [(c, "ascending") for c in ("score", "record_ord", "start")]), np.zeros(4, np.int64), None
+        best, counts = Best(k, [(c, "ascending") for c in ("score", "record_ord", "start")]), np.zeros((4, 0), np.int64)
 
         def least() -> float:
             worst = best.worst() if k else None
             return min(x for x in (threshold, worst, np.inf) if x is not None)
 
+        def count(what: int, block: Block, at: np.ndarray) -> None:
+            if counted:
+                rows = block.row[np.searchsorted(block.base, at, side="right") - 1]
+                counts[what] += np.bincount(rows, minlength=counts.shape[1])
+
         def take(batch: pa.RecordBatch, block: Block, at: np.ndarray, score: np.ndarray | None) -> None:
             """Rows of windows; their scores are known or to be found."""
+            if counts_only and score is not None:
+                return
             for lo in range(0, len(at), 1 << 15):
                 some = at[lo : lo + (1 << 15)]
                 if rigid:
@@ -203,34 +238,36 @@ def scan_hits(
                     s = rounded(rows.column(rows.schema.get_field_index("score")).to_numpy())
                     rows = rows.set_column(rows.schema.get_field_index("score"), "score", pa.array(s)).filter(pa.array(s <= least()))
                 if threshold is not None and score is None:
-                    counts[3] += int((s <= threshold).sum())
+                    count(3, block, some[s <= threshold])
+                if counts_only:
+                    continue
                 if k and rows.num_rows > k:  # ties with the k-th value stay
                     s = rows.column(rows.schema.get_field_index("score")).to_numpy()
                     rows = rows.filter(pa.array(s <= np.partition(s, k - 1)[k - 1]))
                 best.add(rows)
 
         for batch in batches:
-            schema = batch.schema
+            counts = np.zeros((4, batch.num_rows), np.int64)
             for block in blocks(batch, n, flank):
-                counts[0] += len(block.at)
+                count(0, block, block.at)
                 if prefilter is not None:
                     at = block.at
                     score = L._sum(L.rescue_scores(block.matrix(at), pre, profile, known)) if full else block.summed(pre)[at]
                     block.at = at[score <= prefilter]
-                    counts[1] += len(block.at)
+                    count(1, block, block.at)
                 if not rigid:
                     block.at = block.at[block.sides(block.at)[2]]
-                counts[2] += len(block.at)
+                count(2, block, block.at)
                 at, score = block.at, None
                 if rigid and not full:
                     score = rounded(block.summed(table)[at])
                     low = score
                 elif k or threshold is not None:
-                    low = lower_bound(block, table, profile, full, reach, spans, least_known) + penalty - _SLACK
+                    low = bound(block) + penalty - _SLACK
                 else:
                     low = np.full(len(at), -np.inf)
                 if score is not None and threshold is not None:
-                    counts[3] += int((score <= threshold).sum())
+                    count(3, block, at[score <= threshold])
                 if k and score is None and len(at) > 4 * k and least() == np.inf:  # the most promising give a first threshold
                     first = np.argpartition(low, 4 * k)[: 4 * k]
                     take(batch, block, at[first], None)
@@ -243,31 +280,41 @@ def scan_hits(
                 fits = low <= least()
                 take(batch, block, at[fits], None if score is None else score[fits])
                 yield from best.ready()
+            if counted:
+                counts[3] = counts[2] if threshold is None else counts[3]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, counts)], names=[*batch.schema.names[:-1], *COUNTS])
         yield from best.last()
-        if counted and schema is not None:
-            if threshold is None:
-                counts[3] = counts[2]
-            yield pa.RecordBatch.from_pydict({c: pa.array([int(x)]) for c, x in zip(_COUNTS, counts)})
 
-    return _run(records, keep, not rigid, run, "score double" if rigid else L.ADDED, observe)
+    return _run(records, keep, not rigid, run, "score double" if rigid else L.ADDED, observe, counts_only)
 
 
-def _run(records: DataFrame, keep: tuple[str, ...], regions: bool, run: Callable, added: str, observe: Observation | None) -> DataFrame:
+def _run(records: DataFrame, keep: tuple[str, ...], regions: bool, run: Callable, added: str, observe: Observation | None, counts_only: bool = False) -> DataFrame:
     source = records.select("record_ord", "header", *keep, "sequence")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     schema = f"{own}, start bigint, end bigint, window string, {'region string, region_from bigint, ' if regions else ''}{added}"
+    if counts_only:
+        return source.mapInArrow(run, f"{own}, " + ", ".join(f"{c} bigint" for c in COUNTS))
     if observe is None:
         return source.mapInArrow(run, schema)
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    types = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    made = [x.split() for x in schema.removeprefix(f"{own}, ").split(", ")]
+    kinds = {name: types[kind] for name, kind in [*made, *((c, "bigint") for c in COUNTS)]}
 
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of hits and rows of counts in one schema."""
-        for batch in run(batches):
+        given = {}
+
+        def read() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                given.update({f.name: f.type for f in batch.schema if f.name != "sequence"})
+                yield batch
+
+        for batch in run(read()):
             have = dict(zip(batch.schema.names, batch.columns))
-            yield pa.RecordBatch.from_pydict({c: have.get(c, pa.nulls(batch.num_rows)) for c in [*names, *_COUNTS]})
+            yield pa.RecordBatch.from_pydict({c: have.get(c, pa.nulls(batch.num_rows, t)) for c, t in {**given, **kinds}.items()})
 
-    both = source.mapInArrow(filled, f"{schema}, " + ", ".join(f"{c} bigint" for c in _COUNTS))
-    return both.observe(observe, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTS]).filter(F.col(_COUNTS[0]).isNull()).drop(*_COUNTS)
+    both = source.mapInArrow(filled, f"{schema}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return both.observe(observe, *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS]).filter(F.col(COUNTS[0]).isNull()).drop(*COUNTS)
 
 
 def bonus_hits(records: DataFrame, length: int, top_n: int | None = None, threshold: float | None = None, flank: int = 0, keep: tuple[str, ...] = (), weights: H.BonusWeights = H.BonusWeights()) -> DataFrame:

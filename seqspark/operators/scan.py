@@ -73,13 +73,12 @@ def scan(records: DataFrame, profile: S.Profile, top_k: int | None = 25, thresho
     return hits
 
 
-def scan_stats(records: DataFrame, profile: S.Profile, prefilter: float, threshold: float, by: tuple[str, ...] = (), rescue: str = "none", mode: str = "raw") -> DataFrame:
-    """Windows scanned, passing the prefilter, scored and passing the threshold: one pass, one row (for each value of ``by``)."""
-    w = L.add_score(windows(records, len(profile), by), profile, "raw", rescue=rescue, name="pre")
-    w = L.add_score(w, profile, mode, rescue=rescue)
-    passed = F.col("pre") <= prefilter
-    counts = [F.count("*").alias("windows_scanned"), F.count_if(passed).alias("prefilter_passed"), F.count_if(passed & F.col("score").isNotNull()).alias("scored_windows"), F.count_if(passed & (F.col("score") <= threshold)).alias("threshold_passed")]
-    return w.groupBy(*by).agg(*counts) if by else w.agg(*counts)
+def scan_stats(records: DataFrame, profile: S.Profile, prefilter: float | None, threshold: float | None, by: tuple[str, ...] = (), rescue: str = "none", mode: str = "raw", **options) -> DataFrame:
+    """Windows scanned, passing the prefilter, scored and passing the threshold: one pass, one row (for each value
+    of ``by``). Records count in numpy, so no window becomes a row."""
+    per = B.scan_hits(records, profile, None, mode=mode, rescue=rescue, prefilter=prefilter, threshold=threshold, keep=by, counts_only=True, **options)
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in B.COUNTS]
+    return per.groupBy(*by).agg(*counts) if by else per.agg(*counts)
 
 
 def with_bonus(w: DataFrame, length: int, weights: H.BonusWeights = H.BonusWeights()) -> DataFrame:
