@@ -79,8 +79,33 @@ def rescued(window: Column, profile: Profile, mode: str = "raw", floor: float =
     suits = F.array(*[F.lit(A.RESCUERS.get(p.residue, "")) for p in profile])
     charged = F.array(*[F.lit(p.charged) for p in profile])
     centre = F.array(*[F.lit(p.residue) for p in profile])
-    nan, no = F.lit(float("nan")), F.lit(False)
     known = {r: F.split(F.lit(",".join(map(str, t))), ",").cast("array<double>") for r, t in (context or {}).items()}
+
+    def by_triplet(i: Column, j: Column, cs: Column) -> Column:
+        code, found = F.get(cs, j - 1) * 400 + F.get(cs, j) * 20 + F.get(cs, j + 1), F.lit(float("nan"))
+        for r, t in known.items():
+            found = F.when(F.get(centre, i) == r, F.get(t, code)).otherwise(found)
+        return found
+
+    return _fold(window, F.lit(n), F.array(*[F.lit(i) for i in range(n)]), table, suits, charged, by_triplet if known else None)
+
+
+def rescued_by_rows(window: Column, residues: Column, table: Column, around: Column | None = None) -> Column:
+    """As ``rescued``, with the profile in columns: its residues (a string) and energies (an array of 20 for each
+    position), so that one plan scores many profiles. around: for each place of the window the energies of its
+    triplet's centre, null where the triplet is unknown."""
+    no = F.lit("")
+    suits = F.create_map(*[F.lit(x) for r, s in A.RESCUERS.items() for x in (r, s)])
+    own = F.split(residues, "")
+    by_place = None if around is None else lambda i, j, cs: F.coalesce(F.get(F.get(around, j), A.index_of(F.get(own, i))), F.lit(float("nan")))
+    n = F.length(residues)
+    places = F.sequence(F.lit(0), n - 1)
+    return _fold(window, n, places, table, F.transform(own, lambda r: F.coalesce(F.element_at(suits, r), no)), F.transform(own, lambda r: r.isin(*"DERK")), by_place)
+
+
+def _fold(window: Column, n: Column, places: Column, table: Column, suits: Column, charged: Column, context) -> Column:
+    """The fold of ``rescued`` over columns; context: the energy of donor j for position i from its triplet, or NaN."""
+    nan, no = F.lit(float("nan")), F.lit(False)
     letters = F.split(window, "")
     codes = F.transform(letters, A.index_of)
 
@@ -88,13 +113,9 @@ def rescued(window: Column, profile: Profile, mode: str = "raw", floor: float =
         def candidate(i: Column, j: Column, free: Column) -> Column:
             """The energy of donor j for position i, or NaN."""
             plain = F.get(F.get(table, i), F.get(cs, j))
-            if known:
-                code = F.get(cs, j - 1) * 400 + F.get(cs, j) * 20 + F.get(cs, j + 1)
-                by_centre = nan
-                for r, t in known.items():
-                    by_centre = F.when(F.get(centre, i) == r, F.get(t, code)).otherwise(by_centre)
+            if context:
                 inner = F.get(charged, i) & (j > 0) & (j < n - 1)
-                plain = let(F.when(inner, by_centre).otherwise(nan), lambda x: F.when(F.isnan(x), plain).otherwise(x))
+                plain = let(F.when(inner, context(i, j, cs)).otherwise(nan), lambda x: F.when(F.isnan(x), plain).otherwise(x))
             ok = free & (j >= 0) & (j < n) & F.contains(F.get(suits, i), F.get(ls, j))
             return F.when(F.coalesce(ok, no), plain).otherwise(nan)
 
@@ -131,7 +152,6 @@ def rescued(window: Column, profile: Profile, mode: str = "raw", floor: float =
 
         ints = F.array().cast("array<int>")
         start = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("energies"), ints.alias("donors"), ints.alias("second"), no.alias("before"), no.alias("now"))
-        places = F.array(*[F.lit(i) for i in range(n)])
         return F.aggregate(places, start, step, lambda s: F.struct(s["total"].alias("total"), s["energies"].alias("energies"), s["donors"].alias("donors"), s["second"].alias("second")))
 
     whole = let(F.struct(letters.alias("ls"), codes.alias("cs")), lambda x: of(x["ls"], x["cs"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -387,9 +389,50 @@ def grantham_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.select("k5", F.col("count").alias("n"), add("mean").alias("means"), add("std").alias("stds"))
 
 
-@query()
-def beam_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sql_beam(width: int) -> str:
+    """CTEs that end in `cand`: query, forward; a step for each position of the query."""
+    steps = ["b0 AS (SELECT '' AS seq, 0.0 AS score)"]
+    for i in range(1, len(T.QUERY) + 1):
+        steps.append(f"b{i} AS (SELECT seq || residue AS seq, score + energy AS score FROM b{i - 1}, ch WHERE position = {i} AND rank <= 4 ORDER BY score + energy, seq || residue LIMIT {width})")
+    return f"""{T.sql_profile(P.STRATEGIES[2])}, ch AS (SELECT position, row_number() OVER (PARTITION BY position ORDER BY energy, idx) AS rank, substr('{A.ALPHABET}', idx + 1, 1) AS residue, energy FROM p),
+    {", ".join(steps)}, cand AS (SELECT seq AS query, score AS forward FROM b{len(T.QUERY)})"""
+
+
+def _sql_designs(back: str, more: str = "") -> str:
+    """The candidates' own profiles and, from `back` (query, reciprocal), the designs in order."""
+    own = T.sql_profile(P.STRATEGIES[2], many="cand")
+    own = own[own.index("q AS (") :]  # the indexes are there already
+    for name in ("q", "j0", "j2", "j", "p"):  # under names of their own
+        own = re.sub(rf"\b{name}\b(?=[ .,)]|$)", f"{name}_", own)
+    return f"""WITH {_sql_beam(200)}, {own}{more}, back AS ({back}),
+    d AS (SELECT cand.query AS sequence, forward, reciprocal, forward + reciprocal AS total FROM cand JOIN back ON back.query = cand.query ORDER BY total, forward, reciprocal, sequence LIMIT 25)
+    SELECT sequence, round(forward, 6) AS forward, round(reciprocal, 6) AS reciprocal, round(total, 6) AS total FROM d"""
+
+
+def _designs(spark: SparkSession, sf_dir: str, rescue: str) -> DataFrame:
     indexes = _indexes(spark, sf_dir)
     rows = P.build(P.queries_of(spark, [T.QUERY]), *indexes, strategy=P.STRATEGIES[2])
-    made = O.reciprocal_design(O.beam_design(P.top_choices(rows, 4), 200), T.QUERY, indexes, 25, P.STRATEGIES[2])
+    made = O.reciprocal_design(O.beam_design(P.top_choices(rows, 4), 200), T.QUERY, indexes, 25, P.STRATEGIES[2], rescue)
     return made.select("sequence", *[F.round(c, 6).alias(c) for c in ("forward", "reciprocal", "total")])
+
+
+@query(_sql_designs(f"SELECT query, sum(energy) AS reciprocal FROM p_ WHERE idx = instr('{A.ALPHABET}', substr('{T.QUERY}', position, 1)) - 1 GROUP BY query"))
+def beam_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _designs(spark, sf_dir, "none")
+
+
+_PLACED = ", ".join(f"c{j}" for j in range(1, len(T.QUERY) - 1))
+
+
+@query(
+    _sql_designs(
+        "SELECT query, score AS reciprocal FROM ("
+        + T.sql_rescue(T.QUERY, "x_", f"query, e, {_PLACED}", energy=_listed, context=lambda r, j: f"c{j}[instr('{A.ALPHABET}', {r})]", own="query")
+        + ")",
+        f""", t3 AS (SELECT seq, list(mean ORDER BY idx) AS c FROM i3 GROUP BY seq),
+    x_ AS (SELECT query, '{T.QUERY}' AS win, list(energy ORDER BY position, idx) AS e, {", ".join(f"(SELECT c FROM t3 WHERE seq = '{T.QUERY[j - 1 : j + 2]}') AS c{j}" for j in range(1, len(T.QUERY) - 1))} FROM p_ GROUP BY query)""",
+    )
+)
+def rescued_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Designs whose own profiles score the query with neighbour rescue: many profiles in one plan."""
+    return _designs(spark, sf_dir, "full")

@@ -86,14 +86,20 @@ def sql_rigid(residues: str, mode: str = "raw", w: str = "win") -> str:
     return " + ".join(terms)
 
 
-def sql_rescue(residues: str, source: str, columns: str, w: str = "win", energy=sql_energy, context=None, trace: bool = False) -> str:
+def sql_rescue(residues: str, source: str, columns: str, w: str = "win", energy=sql_energy, context=None, trace: bool = False, own: str | None = None) -> str:
     """A SELECT of the columns and `score`, from a source with windows: one step per position. `energy` gives a
     letter's energy at a position, `context` what replaces that of the donor at a place (null: nothing). With
-    trace also `parts` and `labels`, lists with a value for each position."""
+    trace also `parts` and `labels`, lists with a value for each position. `own` is a column (one of `columns`)
+    with the profile's residues, where these differ from row to row; `residues` then only says how many."""
     lists = ", CAST([] AS DOUBLE[]) AS parts, CAST([] AS VARCHAR[]) AS labels" if trace else ""
     sql = f"SELECT {columns}, {w} AS win_, 0.0 AS total, FALSE AS before, FALSE AS now_{lists} FROM {source}"
     for i, r in enumerate(residues):
         suits, n = A.RESCUERS.get(r, ""), len(residues)
+        is_suited, charged = f"instr('{suits}', {{}}) > 0", "TRUE" if r in "DERK" else "FALSE"
+        if own:
+            r = f"substr({own}, {i + 1}, 1)"
+            suits = "CASE " + " ".join(f"WHEN {r} = '{a}' THEN '{b}'" for a, b in A.RESCUERS.items()) + " ELSE '' END"
+            is_suited, charged = f"instr({suits}, {{}}) > 0", f"{r} IN ('D', 'E', 'R', 'K')"
         d = energy(i, f"substr(win_, {i + 1}, 1)")
 
         def near(j: int, free: str) -> str:
@@ -101,14 +107,14 @@ def sql_rescue(residues: str, source: str, columns: str, w: str = "win", energy=
                 return "CAST(NULL AS DOUBLE)"
             letter = f"substr(win_, {j + 1}, 1)"
             e = energy(i, letter)
-            if context and r in "DERK" and 0 < j < n - 1:
-                e = f"coalesce({context(r, j)}, {e})"
-            return f"CASE WHEN NOT now_ AND {free} AND instr('{suits}', {letter}) > 0 AND {e} < {d} THEN {e} END"
+            if context and charged != "FALSE" and 0 < j < n - 1:
+                e = f"coalesce(CASE WHEN {charged} THEN {context(r, j)} END, {e})"
+            return f"CASE WHEN NOT now_ AND {free} AND {is_suited.format(letter)} AND {e} < {d} THEN {e} END"
 
         sql = f"SELECT *, CAST({d} AS DOUBLE) AS d, {near(i - 1, 'NOT before')} AS l, {near(i + 1, 'TRUE')} AS r FROM ({sql})"
         sql = f"SELECT *, l IS NOT NULL AND (r IS NULL OR l <= r) AS first_l FROM ({sql})"
         sql = f"SELECT *, coalesce(CASE WHEN first_l THEN l ELSE r END, d) AS e1, CASE WHEN l IS NOT NULL AND r IS NOT NULL THEN greatest(l, r) END AS e2 FROM ({sql})"
-        two = f"e2 IS NOT NULL AND e2 < 0 AND greatest(e1 + {A.SECOND_DONOR_WEIGHT} * e2, {A.SECOND_DONOR_CAP} * e1) < e1" if r in "DERK" else "FALSE"
+        two = f"{charged} AND e2 IS NOT NULL AND e2 < 0 AND greatest(e1 + {A.SECOND_DONOR_WEIGHT} * e2, {A.SECOND_DONOR_CAP} * e1) < e1"
         sql = f"SELECT *, {two} AS two FROM ({sql})"
         best = f"CASE WHEN two THEN greatest(e1 + {A.SECOND_DONOR_WEIGHT} * e2, {A.SECOND_DONOR_CAP} * e1) ELSE e1 END"
         if trace:
@@ -219,8 +225,9 @@ def sql_index(size: int, name: str) -> str:
         FROM {name}_means x JOIN {name}_buckets y ON x.seq = y.seq AND x.idx = y.idx GROUP BY x.seq, x.idx, x.n, x.buckets, x.mean)"""
 
 
-def sql_profile(strategy: str, query: str = QUERY, one: str = "directed") -> str:
-    """CTEs that end in `p`: position, idx, energy, std, mode; `one` is the mode of the 1x1 index."""
+def sql_profile(strategy: str, query: str = QUERY, one: str = "directed", many: str | None = None) -> str:
+    """CTEs that end in `p`: position, idx, energy, std, mode; `one` is the mode of the 1x1 index. `many` is a CTE whose
+    `query` has the sequences, as long as the query, whose profiles are wanted; `p` has that column too."""
     singles = sql_index(1, "i1")
     if one != "directed":
         half = {"reciprocal_sum": 1, "reciprocal_mean": 2}[one]
@@ -228,6 +235,10 @@ def sql_profile(strategy: str, query: str = QUERY, one: str = "directed") -> str
         FROM i0 a JOIN i0 b ON b.seq = substr('{A.ALPHABET}', a.idx + 1, 1) AND b.idx = instr('{A.ALPHABET}', a.seq) - 1)"""
     n = len(query)
     rows = ", ".join(f"({i + 1}, '{c}', {repr(query[i - 1 : i + 2]) if 0 < i < n - 1 else 'NULL'}, {repr(query[i - 2 : i + 3]) if 1 < i < n - 2 else 'NULL'})" for i, c in enumerate(query))
+    listed, key = f"SELECT * FROM (VALUES {rows}) t(position, residue, k3, k5)", ""
+    if many:
+        around = lambda h: f"CASE WHEN position > {h} AND position <= {n - h} THEN substr(query, position - {h}, {2 * h + 1}) END"
+        listed, key = f"SELECT query, position, substr(query, position, 1) AS residue, {around(1)} AS k3, {around(2)} AS k5 FROM {many}, (SELECT CAST(unnest(range(1, {n + 1})) AS INTEGER) AS position)", "query, "
     near = ", ".join(f"('{a}', '{b}')" for (a, b), d in A.distances().items() if d <= 50)
     pool = ""
     if "degen" in strategy:
@@ -236,7 +247,7 @@ def sql_profile(strategy: str, query: str = QUERY, one: str = "directed") -> str
     pool AS (SELECT k.k5, s.idx, sum(s.n) AS n, sum(s.n * s.mean) / sum(s.n) AS mean,
         sqrt(greatest(sum(s.n * (s.std * s.std + s.mean * s.mean)) / sum(s.n) - (sum(s.n * s.mean) / sum(s.n)) * (sum(s.n * s.mean) / sum(s.n)), 0)) AS std
         FROM (SELECT DISTINCT k5 FROM q WHERE k5 IS NOT NULL) k JOIN i5 s ON substr(s.seq, 3, 1) = substr(k.k5, 3, 1) AND {on} GROUP BY k.k5, s.idx)"""
-    joined = f"""j AS (SELECT q.position, a.idx, a.n AS n1, a.mean AS m1, a.std AS s1, b.n AS n3, b.mean AS m3, b.std AS s3, c.n AS n5, c.mean AS m5, c.std AS s5
+    joined = f"""j AS (SELECT {key}q.position, a.idx, a.n AS n1, a.mean AS m1, a.std AS s1, b.n AS n3, b.mean AS m3, b.std AS s3, c.n AS n5, c.mean AS m5, c.std AS s5
         {', d.n AS nd, d.mean AS md, d.std AS sd' if pool else ''}
         FROM q JOIN i1 a ON a.seq = q.residue LEFT JOIN i3 b ON b.seq = q.k3 AND b.idx = a.idx LEFT JOIN i5 c ON c.seq = q.k5 AND c.idx = a.idx
         {'LEFT JOIN pool d ON d.k5 = q.k5 AND d.idx = a.idx' if pool else ''})"""
@@ -260,5 +271,5 @@ def sql_profile(strategy: str, query: str = QUERY, one: str = "directed") -> str
     cases = [(end, "m1", "s1", "'1x1_terminal'"), *cases]
     case = lambda k: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[k]}" for c in cases) + " END"
     last = "j2" if strategy.startswith("shrinkage") else "j"
-    return f"""{singles}, {sql_index(3, 'i3')}, {sql_index(5, 'i5')}, q AS (SELECT * FROM (VALUES {rows}) t(position, residue, k3, k5)){pool}, {joined},
-    p AS (SELECT position, idx, {case(1)} AS energy, {case(2)} AS std, {case(3)} AS mode FROM {last})"""
+    return f"""{singles}, {sql_index(3, 'i3')}, {sql_index(5, 'i5')}, q AS ({listed}){pool}, {joined},
+    p AS (SELECT {key}position, idx, {case(1)} AS energy, {case(2)} AS std, {case(3)} AS mode FROM {last})"""

@@ -194,29 +194,49 @@ def rescore(hits: DataFrame, query: str, index_3x3: DataFrame, metric: str = "su
 
 
 def beam_design(choices: DataFrame, beam: int = 1000) -> DataFrame:
-    """(sequence, score): position by position, the beam's sequences with each of the position's choices
-    (see profiles.top_choices, one query), of which the best ``beam`` go on; ties by sequence."""
+    """(sequence, score) of one query's choices (see ``beam_designs``)."""
+    return beam_designs(choices, beam).select("sequence", "score")
+
+
+def beam_designs(choices: DataFrame, beam: int = 1000) -> DataFrame:
+    """(query, sequence, score): for each query, position by position, the beam's sequences with each of the
+    position's choices (see profiles.top_choices), of which the best ``beam`` go on; ties by sequence.
+
+    The beam is an array that one fold carries over the positions, so the plan doesn't grow with their number
+    and queries spread over tasks; a row holds ``beam`` sequences."""
     if beam < 1:
         raise ValueError("beam must be 1 or more")
-    by_place: dict[int, list[tuple[str, float]]] = {}
-    for r in choices.orderBy("position", "rank").collect():  # a few for each position of one query
-        by_place.setdefault(r.position, []).append((r.residue, r.energy))
-    state = choices.sparkSession.range(1).select(F.lit("").alias("sequence"), F.lit(0.0).alias("score"))
-    for _, options in sorted(by_place.items()):
-        step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(e).alias("e")) for a, e in options]))
-        grown = state.select("sequence", "score", step.alias("x")).select(F.concat("sequence", "x.a").alias("sequence"), (F.col("score") + F.col("x.e")).alias("score"))
-        state = top(grown, beam, "score", "sequence")
-    return state
-
-
-def reciprocal_design(candidates: DataFrame, query: str, indexes: tuple[DataFrame, DataFrame, DataFrame], top_k: int | None = 25, strategy: str = P.STRATEGIES[0]) -> DataFrame:
+    each = choices.groupBy("query", "position").agg(F.array_sort(F.collect_list(F.struct("rank", "residue", "energy"))).alias("options"))
+    by_place = each.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "options"))), lambda x: x["options"]).alias("places"))
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("sequence")))
+
+    def step(state, options):
+        longer = lambda s, c: F.struct((s["score"] + c["energy"]).alias("score"), F.concat(s["sequence"], c["residue"]).alias("sequence"))
+        return F.slice(F.array_sort(F.flatten(F.transform(state, lambda s: F.transform(options, lambda c: longer(s, c))))), 1, beam)
+
+    return by_place.select("query", F.inline(F.aggregate("places", start, step))).select("query", "sequence", "score")
+
+
+def reciprocal_design(candidates: DataFrame, query: str, indexes: tuple[DataFrame, DataFrame, DataFrame], top_k: int | None = 25, strategy: str = P.STRATEGIES[0], rescue: str = "none", **profile) -> DataFrame:
     """(sequence, forward, reciprocal, total): for each candidate a profile of its own, against which the
-    query is scored; all candidates in one plan. Ordered by total, forward, reciprocal, sequence."""
+    query is scored, with neighbour rescue if asked; all candidates in one plan. Ordered by total, forward,
+    reciprocal, sequence. A charged donor inside the query scores as the centre of its own triplet where the
+    3x3 index has that (a row for each triplet of the query is read)."""
     query = A.check_sequence(query, "query")
-    q = candidates.select(F.col("sequence").alias("query"))
-    rows = P.build(q, *indexes, strategy=strategy)
-    own = F.get("energies", A.index_of(F.substring(F.lit(query), F.col("position"), F.lit(1))))
-    back = rows.groupBy("query").agg(F.sum(own).alias("reciprocal"))
+    if rescue not in S.RESCUE_MODES:
+        raise ValueError(f"unknown rescue mode {rescue!r}")
+    q = candidates.select(F.col("sequence").alias("query")).distinct()
+    rows = P.build(q, *indexes, strategy=strategy, **profile)
+    if rescue == "none":
+        own = F.get("energies", A.index_of(F.substring(F.lit(query), F.col("position"), F.lit(1))))
+        back = rows.groupBy("query").agg(F.sum(own).alias("reciprocal"))
+    else:
+        triplets = {query[j - 1 : j + 2]: None for j in range(1, len(query) - 1)}
+        triplets |= {r.seq: list(r["mean"]) for r in indexes[1].filter(F.col("seq").isin(*triplets)).select("seq", "mean").collect()} if triplets else {}
+        lists = [F.array(*map(F.lit, m)) if m else F.lit(None).cast("array<double>") for m in (triplets.get(query[j - 1 : j + 2]) if 0 < j < len(query) - 1 else None for j in range(len(query)))]
+        whole = rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("position", "energies"))).alias("p"))
+        table = F.transform("p", lambda x: x["energies"])
+        back = whole.select("query", S.rescued_by_rows(F.lit(query), F.col("query"), table, F.array(*lists))["total"].alias("reciprocal"))
     out = candidates.join(back, candidates.sequence == back["query"]).select("sequence", F.col("score").alias("forward"), "reciprocal", (F.col("score") + F.col("reciprocal")).alias("total"))
     ordered = out.orderBy("total", "forward", "reciprocal", "sequence")
     return ordered.limit(top_k) if top_k else ordered
