@@ -12,8 +12,10 @@ from . import align as L
 from . import blocks as B
 from . import profiles as P
 from .metrics import add_bonus, add_metrics
+from .ranks import window_ranks
 from .windows import windows
 
+__all__ = ["window_ranks"]  # offered here as well
 ORDER = ("score", "record_ord", "start")
 ALIGNMENTS = ("rigid", "trim_query_one_target_gap")
 
@@ -121,35 +123,6 @@ def rerank(
     return add_metrics(hits, len(profile)).orderBy("rank_score", "record_ord", "start") if metrics else hits
 
 
-def window_ranks(records: DataFrame, profile: S.Profile, targets: list[tuple[str, str]], rescue: str = "full", bonus: bool = True) -> DataFrame:
-    """(label, sequence, score, bonus, final, total, better, equal_score, same_sequence, rank, percent, and the same of entries).
-
-    Each target's counters are conditional counts in one pass over all windows; the targets' own scores
-    come from the same expression, so equal strings have equal scores. Entries are headers with their
-    least score; of records with the same header the last counts. Windows meet by record first, with the
-    counters and the record's least score, so the scan runs once."""
-    spark = records.sparkSession
-    t = spark.createDataFrame(targets, "label string, sequence string")
-    t = t.withColumn("score", S.window_score(F.col("sequence"), profile, rescue=rescue)).withColumn("bonus", F.round(H.bonus(H.metrics(F.col("sequence"))), 9) if bonus else F.lit(0.0))
-    known = [(r.label, r.sequence, r.score, r.bonus, r.final) for r in t.withColumn("final", F.round(F.col("score") - F.col("bonus"), 9)).collect()]  # the targets given
-    scored = L.add_score(windows(records, len(profile)), profile, rescue=rescue)
-    scored = add_bonus(scored, len(profile)) if bonus else scored.withColumn("bonus", F.lit(0.0))
-    scored = scored.select("record_ord", "header", "window", F.round(F.col("score") - F.col("bonus"), 9).alias("f"))
-    each = {f"{k}{i}": c for i, (_, seq, _, _, f) in enumerate(known) for k, c in (("b", F.col("f") < f), ("e", F.col("f") == f), ("s", F.col("window") == seq))}
-    per = scored.groupBy("header", "record_ord").agg(F.count("*").alias("total"), F.min("f").alias("f"), *[F.count_if(c).alias(k) for k, c in each.items()])
-    entry = per.groupBy("header").agg(F.max_by("f", "record_ord").alias("f"), *[F.sum(k).alias(k) for k in ("total", *each)])
-    none = lambda c: F.coalesce(c, F.lit(0))
-    best = [c for i, k in enumerate(known) for c in (F.count_if(F.col("f") < k[4]).alias(f"x{i}"), F.count_if(F.col("f") == k[4]).alias(f"y{i}"))]
-    both = entry.agg(F.count("*").alias("entries"), *[none(F.sum(k)).alias(k) for k in ("total", *each)], *best)
-    cols = lambda i, label, seq, score, b, f: F.struct(
-        F.lit(label).alias("label"), F.lit(seq).alias("sequence"), F.lit(score).alias("score"), F.lit(b).alias("bonus"), F.lit(f).alias("final"), F.col("total"),
-        F.col(f"b{i}").alias("better"), F.col(f"e{i}").alias("equal_score"), F.col(f"s{i}").alias("same_sequence"),
-        (F.col(f"b{i}") + 1).alias("rank"), F.when(F.col("total") > 0, 100.0 * (F.col(f"b{i}") + 1) / F.col("total")).alias("percent"),
-        F.col("entries"), (F.col(f"x{i}") + 1).alias("entry_rank"), F.when(F.col("entries") > 0, 100.0 * (F.col(f"x{i}") + 1) / F.col("entries")).alias("entry_percent"), F.col(f"y{i}").alias("entry_equal"),
-    )
-    return both.select(F.inline(F.array(*[cols(i, *k) for i, k in enumerate(known)])))
-
-
 def reciprocal_3x3(pairs: DataFrame, index_3x3: DataFrame, metric: str = "sum", require_full: bool = False) -> DataFrame:
     """Adds reciprocal_total, used, reciprocal_mean (NaN without a position) and terms to rows with
     ``query`` and ``window`` of one length: for each inner place whose two triplets the index (arrays)
