@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents
@@ -153,15 +153,19 @@ def _cleaner(size: int):
     return run
 
 
+def row_hash(key: str, text: str) -> Column:
+    """A hash of the text whose lowest bit says whether the key is null; with the key it names a row."""
+    return F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(key).isNull().cast("long"))
+
+
 def remove_repeats(df: DataFrame, size: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, h, n_words, n_removed, spans, kept): removed spans as word numbers, and the kept words joined
     by one space. A document is a row; rows equal in key and text are documents of their own that repeat
-    each other; a null text has no words; a null key stays null; other columns don't take part; h is a
-    hash of the text. An empty table gives no rows. Windows never cross documents, and are judged on the
+    each other; a null text has no words; a null key stays null; other columns don't take part; h is
+    ``row_hash``. An empty table gives no rows. Windows never cross documents, and are judged on the
     input, not on what is left."""
     # Keys may be null or repeat, so rows are told apart by key and hash of the text.
-    no_key = F.lit(-(2**62))
-    docs = df.select(F.coalesce(F.col(key).cast("long"), no_key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("doc_id"), row_hash(key, text).alias("h"), F.col(text).alias("text"))
     slim = docs.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"))
     # A row for each text: the first row that has it, and whether others do.
     texts = slim.groupBy("h", "h2").agg(F.min("doc_id").alias("doc_id"), (F.count("*") > 1).alias("copied"))
@@ -180,7 +184,7 @@ def remove_repeats(df: DataFrame, size: int = 35, key: str = "doc_id", text: str
     found = places.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
     out = docs.join(found, ["doc_id", "h"], "left").select("doc_id", "h", "text", "places", "copied")
     done = out.mapInArrow(_cleaner(size), "doc_id bigint, h bigint, n_words bigint, n_removed bigint, spans array<struct<first:int,end:int>>, kept string")
-    return done.withColumn("doc_id", F.nullif("doc_id", no_key)).withColumnRenamed("doc_id", key)
+    return done.withColumn("doc_id", F.when(F.col("h").bitwiseAND(F.lit(1)) == 0, F.col("doc_id"))).withColumnRenamed("doc_id", key)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,21 +92,47 @@ def _fall(query, top, low, terms) -> float:
     return -np.minimum(query[terms] * top[terms], query[terms] * low[terms]).sum()
 
 
+def _largest(x: np.ndarray) -> np.ndarray:
+    return np.abs(x).max(axis=1, initial=0.0)
+
+
+def exact_scores(query: np.ndarray, rows: np.ndarray) -> list[int]:
+    """Inner products of whole numbers of any size: in 64-bit integers where they fit, else in Python's."""
+    bound = max(1, rows.shape[1]) * _largest(rows) * _largest(query[None, :])[0]
+    out, fits = [0] * len(rows), bound < 2**62
+    for i, x in zip(np.flatnonzero(fits).tolist(), (rows[fits].astype(np.int64) @ query.astype(np.int64)).tolist() if fits.any() else []):
+        out[i] = x
+    whole = [int(x) for x in query] if not fits.all() else []
+    for i in np.flatnonzero(~fits).tolist():
+        out[i] = sum(int(a) * b for a, b in zip(rows[i], whole))
+    return out
+
+
 def _max_score_cell(k: int, scale: int):
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(rows) and len(queries):
             width = widest(rows["v"], queries["v"])
             c, q = np.floor(scale * matrix(rows["v"], width)), np.floor(scale * matrix(queries["v"], width))
-            if max(1, width) * np.abs(c).max(initial=0) * np.abs(q).max(initial=0) >= 2**53:
-                raise ValueError("scores of these vectors don't fit 53 bits")
             ids, postings = rows["vec_id"].to_numpy(), np.ascontiguousarray(c.T)
             top, low = c.max(axis=0), c.min(axis=0)
-            for own, x in zip(queries["vec_id"].to_pylist(), q):
-                found, scores = max_score(x, ids, postings, top, low, own, k)
-                out["query_id"] += [own] * len(found)
-                out["vec_id"] += found.tolist()
-                out["score"] += scores.astype(np.int64).tolist()
+            large = _largest(c)
+            for own, x, most in zip(queries["vec_id"].to_pylist(), q, _largest(q).tolist()):
+                apart = max(1, width) * large * most >= 2**53  # pairs whose products doubles can't hold
+                if not apart.any():
+                    found, scores = max_score(x, ids, postings, top, low, own, k)
+                    best = [(int(s), i) for i, s in zip(found.tolist(), scores)]
+                else:
+                    near = np.flatnonzero(~apart)
+                    found, scores = max_score(x, ids[near], np.ascontiguousarray(postings[:, near]), c[near].max(axis=0, initial=0), c[near].min(axis=0, initial=0), own, k) if len(near) else ([], [])
+                    far = np.flatnonzero(apart & (ids != own))
+                    best = [(int(s), int(i)) for i, s in zip(found, scores)] + list(zip(exact_scores(x, c[far]), ids[far].tolist()))
+                    best = sorted(best, key=lambda r: (-r[0], r[1]))[:k]
+                if any(not -(2**63) <= s < 2**63 for s, _ in best):
+                    raise OverflowError(f"a score of query {own} doesn't fit 64 bits")
+                out["query_id"] += [own] * len(best)
+                out["vec_id"] += [i for _, i in best]
+                out["score"] += [s for s, _ in best]
         return pa.table({n: pa.array(x, pa.int64()) for n, x in out.items()})
 
     return search
@@ -116,7 +142,8 @@ def exact_top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, ke
     """(query_id, rank, vec_id, score): each query's k best rows by inner product of floor(scale * x).
 
     A missing trailing component is zero. Rows with the query's id are its own. Ties go to the smaller
-    id. Empty tables and tables without a query give no rows. Scores of 2**53 or more are an error."""
+    id. Empty tables and tables without a query give no rows. Scores are exact whatever the components' size;
+    a score that 64 bits can't hold is an error where it is among a query's k best of a shard."""
     found = in_cells(sound(df, key, vector), every, _max_score_cell(k, scale), "query_id bigint, vec_id bigint, score bigint")
     return merged(found, k, F.col("score").desc())
 

@@ -306,3 +306,11 @@ def test_numbers_of_words(monkeypatch):
         settled = dict(zip(words, ids)) | {"the": [ranks[b"the"]], "y" * 600: bpe.merge_long(b"y" * 600, ranks)}
         assert got == [[-1 - i for i in settled[w]] if w in settled else [numbers.fresh.index(w)] for w in some]
     assert numbers.fresh == ["xqxqzj", "qqzzxk"]
+
+
+def test_substrings_keep_every_key(spark):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, passage), (-(2**62), passage), (0, passage), (None, passage), (0, "other"), (None, "other"), (5, None), (None, None)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in got), key=repr) == sorted(((i, n, n if n > 1 else 0) for i, t in rows if (n := len((t or "").split())) >= 0), key=repr)
+    assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
