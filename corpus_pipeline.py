@@ -39,17 +39,19 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that repeat from the texts; documents that are left without words go. A document
-    that loses nothing keeps its text as it is; others keep their words joined by one space."""
+    that loses nothing keeps its text as it is (null too); others keep their words joined by one space. Rows
+    with null or equal ids are documents of their own. An empty table gives no rows."""
     docs = docs.select(*COLUMNS)
-    done = substrings.remove_repeats(docs).select(F.coalesce("doc_id", F.lit(-(2**62))).alias("k_"), F.col("h").alias("h_"), "n_removed", "kept")
+    done = substrings.remove_repeats(docs).select(F.coalesce("doc_id", F.lit(0)).alias("k_"), F.col("h").alias("h_"), "n_removed", "kept")
     done = done.filter("n_removed > 0").dropDuplicates(["k_", "h_"])
-    keyed = docs.withColumn("k_", F.coalesce("doc_id", F.lit(-(2**62)))).withColumn("h_", F.xxhash64("text"))
+    keyed = docs.withColumn("k_", F.coalesce("doc_id", F.lit(0))).withColumn("h_", substrings.row_hash("doc_id", "text"))
     out = keyed.join(done, ["k_", "h_"], "left").filter("n_removed is null or kept != ''")
     text = F.when(F.col("n_removed").isNotNull(), F.col("kept")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into windows of 1,024 tokens; a null text is empty. An empty table gives no rows."""
     import public_tokenizers as P
 
     return packing.pack(docs, P.path("byte_bpe_50k.json"))
