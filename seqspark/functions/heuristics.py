@@ -12,6 +12,7 @@ from . import alphabet as A
 
 @dataclass(frozen=True)
 class BonusWeights:
+    # Default results depend on them as they are.
     surface: float = 0.25
     flexibility: float = 0.20
     polar: float = 0.10

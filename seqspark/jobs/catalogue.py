@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import heuristics as H
+from ..functions import sql
 from ..operators import motif_index as M
 from ..operators import profiles as P
 from ..operators import scan as O
 from ..operators.windows import header_fields, windows
+from ..sources import fasta
 from . import tables as T
 
 QUERIES: dict = {}
@@ -436,3 +438,35 @@ _PLACED = ", ".join(f"c{j}" for j in range(1, len(T.QUERY) - 1))
 def rescued_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Designs whose own profiles score the query with neighbour rescue: many profiles in one plan."""
     return _designs(spark, sf_dir, "full")
+
+
+_TILES = f"""r AS ({T.sql_records()}), w AS (SELECT record_ord, win FROM (SELECT record_ord, unnest(regexp_extract_all(sequence, '.{{9}}')) AS win FROM r) WHERE regexp_full_match(win, '[{A.ALPHABET}]+'))"""
+_FAR = f"[{', '.join(str(A.distances()[a, b]) for a in A.STANDARD for b in A.STANDARD)}][(instr('{A.STANDARD}', win[1]) - 1) * 20 + instr('{A.STANDARD}', win[9])]"
+
+
+@query(
+    f"""WITH {_TILES}, s AS ({T.sql_rescue(T.NINE, 'w', 'record_ord, win')}), m AS ({T.sql_with_metrics(9, 'record_ord, win')})
+    SELECT a.record_ord, n, bonus, rigid, rescued, far FROM
+        (SELECT record_ord, count(*) AS n, round(avg({T.sql_bonus()}), 6) AS bonus, round(min({T.sql_rigid(T.NINE)}), 6) AS rigid, CAST(sum({_FAR}) AS BIGINT) AS far FROM m GROUP BY record_ord) a
+        JOIN (SELECT record_ord, round(min(score), 6) AS rescued FROM s GROUP BY record_ord) b ON b.record_ord = a.record_ord"""
+)
+def sql_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and heuristics of the tiles of nine letters of each record, all in SQL."""
+    sql.register(spark)
+    energies = "array(" + ", ".join("array(" + ", ".join(f"{e}D" for e in p.energies) + ")" for p in T.profile(T.NINE)) + ")"
+    return spark.sql(
+        f"""WITH tiles AS (SELECT record_ord, explode(regexp_extract_all(sequence, '.{{{{9}}}}', 0)) AS tile FROM {{records}})
+        SELECT record_ord, count(*) AS n, round(avg(sequence_bonus(tile)), 6) AS bonus, round(min(rigid_score(tile, {energies})), 6) AS rigid,
+            round(min(rescue_score(tile, '{T.NINE}', {energies})), 6) AS rescued, sum(grantham_distance(substr(tile, 1, 1), substr(tile, 9, 1))) AS far
+        FROM tiles WHERE is_sequence(tile) GROUP BY record_ord""",
+        records=T.records(spark, sf_dir),
+    )
+
+
+@query(f"WITH r AS ({T.sql_records()}) SELECT header, CAST(length(sequence) AS BIGINT) AS letters, md5(sequence) AS digest FROM r")
+def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records, written as FASTA files and read back by the data source."""
+    fasta.register(spark)
+    folder = T.written_fasta(T.records(spark, sf_dir))
+    read = spark.read.format("fasta").option("glob", "part-*").load(folder)
+    return read.select("header", F.length("sequence").cast("long").alias("letters"), F.md5(F.col("sequence").cast("binary")).alias("digest"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,20 @@ def records(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Dat
     return records_of(docs, keep)
 
 
+def written_fasta(found: DataFrame) -> str:
+    """Writes records as FASTA files and returns their folder: below spark.checkpoint.dir, which all executors
+    share, or where that isn't set (local tests) a temporary one."""
+    spark = found.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-fasta-")
+    folder = f"{shared.rstrip('/')}/fasta-{uuid.uuid4().hex}"
+    found.select(F.concat(F.lit(">"), "header", F.lit("\n"), "sequence")).write.text(folder)
+    return folder
+
+
 def kmer(vec_id: int, size: int) -> str:
     a, b = _AFFINE[size]
     code = (vec_id * a + b) % 20**size

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
@@ -77,23 +81,49 @@ def one_letter(three: Column) -> Column:
     return F.try_element_at(codes, F.upper(three))
 
 
-def read_energy_tables(spark: SparkSession, root: str) -> DataFrame:
-    """(stem, matrix array<array<double>>): rows and columns in the alphabet's order; of repeated cells the
-    last holds. A line without five fields, an unknown residue or a missing cell is an error."""
+MODES = ("FAILFAST", "DROPMALFORMED")
+
+
+def _checked(mode: str) -> str:
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    return mode
+
+
+def _cells(spark: SparkSession, root: str) -> DataFrame:
+    """(stem, line_no, i, j, e, reason) of the lines of energy tables; reason: what is wrong with a line."""
     f = F.split(F.trim("line"), r"\s+")
     cells = _lines(spark, root, "*.etab").filter(F.trim("line") != "").select(
-        "stem", "line_no", F.assert_true(F.size(f) == 5, F.lit("an energy line needs 5 fields")).alias("ok"),
-        A.index_of(one_letter(F.get(f, 2))).alias("i"), A.index_of(one_letter(F.get(f, 3))).alias("j"), F.get(f, 4).cast("double").alias("e"),
-    ).filter("ok is null")
+        "stem", "line_no", F.size(f).alias("fields"), A.index_of(one_letter(F.get(f, 2))).alias("i"), A.index_of(one_letter(F.get(f, 3))).alias("j"), F.get(f, 4).try_cast("double").alias("e")
+    )
+    reason = F.when(F.col("fields") != 5, "an energy line needs 5 fields").when(F.col("i").isNull() | F.col("j").isNull(), "an unknown residue").when(F.col("e").isNull(), "an energy that is no number")
+    return cells.withColumn("reason", reason).drop("fields")
+
+
+def _table_problems(cells: DataFrame) -> DataFrame:
+    """(stem, reason) of the energy tables that can't be read."""
+    each = cells.groupBy("stem", "i", "j").agg(F.min("reason").alias("reason"))
+    whole = each.groupBy("stem").agg(F.min("reason").alias("reason"), F.count_if(F.col("reason").isNull()).alias("n"))
+    return whole.select("stem", F.coalesce("reason", F.when(F.col("n") < 400, "an energy table needs 400 cells")).alias("reason")).filter("reason is not null")
+
+
+def read_energy_tables(spark: SparkSession, root: str, mode: str = "FAILFAST") -> DataFrame:
+    """(stem, matrix array<array<double>>): rows and columns in the alphabet's order; of repeated cells the
+    last holds. A line without five fields, an unknown residue, an energy that is no number or a missing cell
+    is an error; with DROPMALFORMED such tables are left out (see ``rejected_motifs``)."""
+    cells = _cells(spark, root)
+    if _checked(mode) == "DROPMALFORMED":
+        cells = cells.join(_table_problems(cells), "stem", "left_anti")
+    else:
+        cells = cells.withColumn("ok", F.when(F.col("reason").isNotNull(), F.raise_error(F.col("reason")))).filter("ok is null").drop("ok")
     last = cells.groupBy("stem", "i", "j").agg(F.max_by("e", "line_no").alias("e"))
     rows = last.groupBy("stem", "i").agg(F.array_sort(F.collect_list(F.struct("j", "e"))).alias("row"), F.count("*").alias("n"))
     whole = rows.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("i", F.transform("row", lambda x: x["e"]).alias("row")))).alias("rows"), F.sum("n").alias("n"))
     return whole.select("stem", F.transform("rows", lambda x: x["row"]).alias("matrix"), F.assert_true(F.col("n") == 400, F.lit("an energy table needs 400 cells")).alias("ok")).filter("ok is null").drop("ok")
 
 
-def read_fragments(spark: SparkSession, root: str, size: str) -> DataFrame:
-    """(stem, chain, seq, ca array<array<double>>) of chains with the right length: one row per chain. Of
-    repeated residue numbers the first holds. A file with an unknown residue is left out."""
+def _chains(spark: SparkSession, root: str) -> DataFrame:
+    """(stem, chain, r, reason) of the chains of fragments: r has their residues in order."""
     line = F.col("line")
     atoms = _lines(spark, root, "*.pdb").filter(line.startswith("ATOM") & (F.trim(F.substring(line, 13, 4)) == "CA"))
     cut = atoms.select(
@@ -101,8 +131,14 @@ def read_fragments(spark: SparkSession, root: str, size: str) -> DataFrame:
         F.array(*[F.trim(F.substring(line, s, 8)).try_cast("double") for s in (31, 39, 47)]).alias("xyz"),
     )
     first = cut.groupBy("stem", "chain", "place").agg(F.min(F.struct("line_no", "aa", "xyz")).alias("r"))
-    chains = first.groupBy("stem", "chain").agg(F.array_sort(F.collect_list("r")).alias("r"), F.bool_and(F.col("r.aa").isNotNull() & ~F.exists("r.xyz", lambda x: x.isNull())).alias("ok"))
-    good = chains.withColumn("ok", F.min(F.col("ok").cast("int")).over(Window.partitionBy("stem"))).filter("ok = 1")
+    reason = F.when(F.col("r.aa").isNull(), "an unknown residue").when(F.exists("r.xyz", lambda x: x.isNull()), "a coordinate that is no number")
+    return first.groupBy("stem", "chain").agg(F.array_sort(F.collect_list("r")).alias("r"), F.min(reason).alias("reason"))
+
+
+def read_fragments(spark: SparkSession, root: str, size: str) -> DataFrame:
+    """(stem, chain, seq, ca array<array<double>>) of chains with the right length: one row per chain. Of
+    repeated residue numbers the first holds. A file with an unknown residue is left out, in every mode."""
+    good = _chains(spark, root).withColumn("bad", F.max("reason").over(Window.partitionBy("stem"))).filter("bad is null")
     out = good.select("stem", "chain", F.array_join(F.transform("r", lambda x: x["aa"]), "").alias("seq"), F.transform("r", lambda x: x["xyz"]).alias("ca"))
     return out.filter((F.length("seq") == SIZES[size]) & (F.size("ca") == SIZES[size]))
 
@@ -115,18 +151,43 @@ def geometry_signature(ca: Column) -> Column:
     return F.array_join(pairs, " ")
 
 
-def read_motif_rows(spark: SparkSession, fragments: str, energies: str, size: str) -> DataFrame:
-    """(seq, geom, row): for each chain of a motif the energies of its centre. The row of a 1x1 motif is
-    that of its residue; of longer ones that of the second residue. A fragment without energies is an error."""
-    frags = read_fragments(spark, fragments, size)
-    tables = read_energy_tables(spark, energies)
-    alone = frags.join(tables, "stem", "left_anti").first()
-    if alone is not None:
-        raise FileNotFoundError(f"no energy table for motif {alone.stem}")
-    centre = A.index_of(F.substring("seq", 1 if size == "1x1" else 2, 1))
+#: The residue (from 1) whose energies stand for a chain: the second for longer motifs, or with true_center the middle one.
+CENTRES = {"compat": {"1x1": 1, "3x3": 2, "5x5": 2}, "true_center": {"1x1": 1, "3x3": 2, "5x5": 3}}
+
+
+def read_motif_rows(spark: SparkSession, fragments: str, energies: str, size: str, mode: str = "FAILFAST", center_5x5: str = "compat") -> DataFrame:
+    """(seq, geom, row): for each chain of a motif the energies of its centre (see CENTRES). A name that isn't
+    of three parts, or a fragment without (sound) energies, is an error; with DROPMALFORMED it is left out."""
+    if center_5x5 not in CENTRES:
+        raise ValueError(f"unknown centre {center_5x5!r}")
+    frags, tables = read_fragments(spark, fragments, size), read_energy_tables(spark, energies, mode)
+    named = F.size(F.split("stem", "_")) == 3
+    if mode == "DROPMALFORMED":
+        frags = frags.filter(named)
+    else:
+        odd = frags.filter(~named).first()
+        if odd is not None:
+            raise ValueError(f"motif {odd.stem} isn't named of three parts")
+        alone = frags.join(tables, "stem", "left_anti").first()
+        if alone is not None:
+            raise FileNotFoundError(f"no energy table for motif {alone.stem}")
+    centre = A.index_of(F.substring("seq", CENTRES[center_5x5][size], 1))
     return frags.join(tables, "stem").select("seq", geometry_signature(F.col("ca")).alias("geom"), F.get("matrix", centre).alias("row"))
 
 
+def rejected_motifs(spark: SparkSession, fragments: str, energies: str) -> DataFrame:
+    """(stem, kind, reason) of the motif files that reading leaves out: fragments with an unknown residue, and
+    what DROPMALFORMED drops besides; one row for each file, with one of its reasons."""
+    chains, cells = _chains(spark, fragments), _cells(spark, energies)
+    unread = chains.groupBy("stem").agg(F.min("reason").alias("reason")).filter("reason is not null").select("stem", F.lit("fragment").alias("kind"), "reason")
+    tables = _table_problems(cells)
+    bad = tables.select("stem", F.lit("table").alias("kind"), "reason")
+    sound = chains.select("stem").distinct().join(unread, "stem", "left_anti")
+    odd = sound.filter(F.size(F.split("stem", "_")) != 3).select("stem", F.lit("fragment").alias("kind"), F.lit("a name that isn't of three parts").alias("reason"))
+    alone = sound.filter(F.size(F.split("stem", "_")) == 3).join(cells.select("stem").distinct(), "stem", "left_anti").select("stem", F.lit("fragment").alias("kind"), F.lit("no energy table").alias("reason"))
+    return unread.unionByName(bad).unionByName(odd).unionByName(alone)
+
+
 def read_matrix_tsv(spark: SparkSession, path: str, directed: DataFrame) -> DataFrame:
     """An index of one-letter k-mers with the means of a matrix file (a blank first header cell, the 20
     residues in any order, 20 rows); deviations are 0, counts those of the directed index."""
@@ -140,36 +201,63 @@ def read_matrix_tsv(spark: SparkSession, path: str, directed: DataFrame) -> Data
     return rows.join(directed.select("seq", "count", "buckets"), "seq").withColumn("std", F.array_repeat(F.lit(0.0), 20))
 
 
+_COMMITS = "number long, folder string, version int, root string, rows long"
+
+
 def store_index(index: DataFrame, path: str, root: str) -> None:
-    """Writes an index (with a motif_size column), its version and the root of its motifs."""
-    index.withColumns({"version": F.lit(INDEX_VERSION), "root": F.lit(root)}).write.mode("overwrite").partitionBy("motif_size").parquet(path)
+    """Publishes an index (with a motif_size column): its rows go to a folder of their own, and once all are
+    there a commit names it, with its version and the root of its motifs. Readers take the last commit, so a
+    write that breaks off leaves the index before it as it was."""
+    spark, folder = index.sparkSession, f"rows-{uuid.uuid4().hex}"
+    index.write.partitionBy("motif_size").parquet(f"{path}/{folder}")
+    rows = spark.read.parquet(f"{path}/{folder}").count()
+    last = _commit(spark, path)
+    entry = [((last.number if last else 0) + 1, folder, INDEX_VERSION, root, rows)]
+    spark.createDataFrame(entry, _COMMITS).coalesce(1).write.mode("append").json(f"{path}/commits")
+
+
+def _commit(spark: SparkSession, path: str) -> Row | None:
+    """The last commit; writers at the same time may give the same number, then the greater folder counts."""
+    try:
+        return spark.read.schema(_COMMITS).json(f"{path}/commits").orderBy(F.desc("number"), F.desc("folder")).first()
+    except AnalysisException:
+        return None
+
+
+def expire_index(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Deletes the rows of all but the last ``keep`` commits, and rows that no commit names: not while an index is written."""
+    kept = {r.folder for r in spark.read.schema(_COMMITS).json(f"{path}/commits").orderBy(F.desc("number"), F.desc("folder")).limit(max(1, keep)).collect()}
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(at):
+        if status.getPath().getName().startswith("rows-") and status.getPath().getName() not in kept:
+            fs.delete(status.getPath(), True)
 
 
 def index_path(folder: str, root: str) -> str:
-    import hashlib
-
     return f"{folder}/sequence_index_v{INDEX_VERSION}_{hashlib.sha256(root.encode()).hexdigest()[:12]}"
 
 
 def load_index(spark: SparkSession, path: str, root: str, size: str | None = None) -> DataFrame:
-    stored = spark.read.parquet(path)
-    head = stored.select("version", "root").first()
-    if head is None or head.version != INDEX_VERSION:
+    """The last index that was published at a path; another version or root is an error."""
+    head = _commit(spark, path)
+    if head is None:
+        raise FileNotFoundError(f"no index at {path}")
+    if head.version != INDEX_VERSION:
         raise ValueError(f"the stored index has another version than {INDEX_VERSION}")
     if head.root != root:
         raise ValueError(f"the stored index is of {head.root}")
-    out = stored.withColumns({"std": F.coalesce("std", F.array_repeat(F.lit(0.0), 20)), "buckets": F.coalesce("buckets", F.lit(1))}).drop("version", "root")
+    stored = spark.read.parquet(f"{path}/{head.folder}")
+    out = stored.withColumns({"std": F.coalesce("std", F.array_repeat(F.lit(0.0), 20)), "buckets": F.coalesce("buckets", F.lit(1))})
     return out.filter(F.col("motif_size") == size) if size else out
 
 
 def load_or_build_index(spark: SparkSession, path: str, root: str, build, rebuild: bool = False) -> DataFrame:
     """The stored index; build() makes it where there is none, or anew."""
-    from pyspark.errors import AnalysisException
-
     if not rebuild:
         try:
             return load_index(spark, path, root)
-        except AnalysisException:
+        except FileNotFoundError:
             pass
     store_index(build(), path, root)
     return load_index(spark, path, root)
