@@ -264,7 +264,8 @@ def _indexes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def _profile_rows(spark: SparkSession, sf_dir: str, strategy: str, query: str = T.QUERY) -> DataFrame:
-    return P.build(P.queries_of(spark, [query]), *_indexes(spark, sf_dir), strategy=strategy)
+    asked = P.queries_of(spark, [query])
+    return P.build(asked, *P.indexes_for(asked, *(T.motif_rows(spark, sf_dir, s) for s in (1, 3, 5)), strategy), strategy=strategy)
 
 
 def _profile(name: str, strategy: str):
@@ -282,7 +283,8 @@ def _profile_1x1(mode: str):
     @query(f"WITH {T.sql_profile(P.STRATEGIES[3], one=mode)} SELECT position, idx, round(energy, 10) AS energy, round(std, 10) AS std, mode FROM p", f"profile_{mode}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = M.index_arrays(M.reciprocal_index(M.index_long(T.motif_rows(spark, sf_dir, 1)), mode))
-        rows = P.build(P.queries_of(spark, [T.QUERY]), one, *_indexes(spark, sf_dir)[1:], strategy=P.STRATEGIES[3])
+        asked = P.queries_of(spark, [T.QUERY])
+        rows = P.build(asked, one, *P.indexes_for(asked, *(T.motif_rows(spark, sf_dir, s) for s in (1, 3, 5)))[1:], strategy=P.STRATEGIES[3])
         rows = rows.select("position", "mode", F.posexplode(F.arrays_zip("energies", "stds")).alias("idx", "e"))
         return rows.select("position", F.col("idx").cast("long").alias("idx"), F.round("e.energies", 10).alias("energy"), F.round("e.stds", 10).alias("std"), "mode")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions.scoring import Position, Profile
+from . import motif_index as M
 
 STRATEGIES = ("hierarchical_5x5_3x3_1x1", "hierarchical_5x5degen1_3x3_1x1", "shrinkage_5x5_3x3_1x1", "blend_3x3_1x1")
 DEGENERATE_WEIGHT, NEAR = 0.25, 50
@@ -23,6 +24,27 @@ def positions(queries: DataFrame) -> DataFrame:
     return q.select("query", "position", "n", F.substring("query", F.col("position"), F.lit(1)).alias("residue"), around(1).alias("k3"), around(2).alias("k5"))
 
 
+def near_kmers(kmers: DataFrame, near: int = NEAR) -> DataFrame:
+    """(seq) of all 5-mers with the centre of one of these (k5) and flanks within so much Grantham distance: 2,401
+    for each at most, whatever the index holds."""
+    pairs = kmers.sparkSession.createDataFrame([(a, b) for (a, b), d in A.distances().items() if d <= near], "a string, b string")
+    out = kmers.select(F.col("k5").alias("seq"))
+    for i in (1, 2, 4, 5):
+        head, tail = F.substring("seq", 1, i - 1), F.expr(f"substring(seq, {i + 1})")
+        out = out.join(F.broadcast(pairs), F.substring("seq", i, 1) == F.col("a")).select(F.concat(head, "b", tail).alias("seq")).distinct()
+    return out
+
+
+def indexes_for(queries: DataFrame, rows_1x1: DataFrame, rows_3x3: DataFrame, rows_5x5: DataFrame, strategy: str = STRATEGIES[0]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three indexes (arrays) of the k-mers alone that profiles of these queries look up. Motif rows (see
+    motif_index.index_long) meet these k-mers before they are taken apart and shuffled, so that a few
+    queries read the rows of a few dozen k-mers, not three whole indexes."""
+    p = positions(queries)
+    five = p.filter("k5 is not null").select("k5").distinct()
+    wanted = (p.select(F.col("residue").alias("seq")), p.select(F.col("k3").alias("seq")), near_kmers(five) if strategy == STRATEGIES[1] else five.select(F.col("k5").alias("seq")))
+    return tuple(M.build_index(rows.join(seqs.filter("seq is not null").distinct(), "seq", "left_semi")) for rows, seqs in zip((rows_1x1, rows_3x3, rows_5x5), wanted))
+
+
 def degenerate_pool(kmers: DataFrame, index_5x5: DataFrame, near: int = NEAR) -> DataFrame:
     """(k5, count, buckets, mean, std): for each 5-mer the index's 5-mers with its centre and four
     flanks within so much Grantham distance, pooled by count.

@@ -124,15 +124,16 @@ def rerank(
 
 
 def reciprocal_3x3(pairs: DataFrame, index_3x3: DataFrame, metric: str = "sum", require_full: bool = False) -> DataFrame:
-    """Adds reciprocal_total, used, reciprocal_mean (NaN without a position) and terms to rows with
-    ``query`` and ``window`` of one length: for each inner place whose two triplets the index (arrays)
+    """Adds reciprocal_total, used, reciprocal_mean (NaN without a position) and terms (the six lowest) to rows
+    with ``query`` and ``window`` of one length: for each inner place whose two triplets the index (arrays)
     holds, the energy of the target's centre in the query's triplet and the reverse, each eased by
-    neighbours that suit. Triplets meet the index in two equi-joins."""
+    neighbours that suit. Each pair of texts is scored once, whatever the rows that have it, and all of these
+    rows stay; rows with a null have no position. Triplets meet the index in two equi-joins."""
     if metric not in ("sum", "mean"):
         raise ValueError(f"unknown metric {metric!r}")
     keys = pairs.columns
     inner = F.when(F.length("query") >= 3, F.sequence(F.lit(2), F.length("query") - 1)).otherwise(F.array().cast("array<int>"))
-    checked = pairs.withColumn("row_", F.assert_true(F.length("query") == F.length("window"), F.lit("query and window differ in length"))).filter("row_ is null").drop("row_")
+    checked = pairs.select("query", "window").distinct().filter("query is not null and window is not null").withColumn("row_", F.assert_true(F.length("query") == F.length("window"), F.lit("query and window differ in length"))).filter("row_ is null").drop("row_")
     places = checked.withColumn("place", F.explode(inner)).withColumns({"q3": F.substring("query", F.col("place") - 1, F.lit(3)), "t3": F.substring("window", F.col("place") - 1, F.lit(3))})
     ix = index_3x3.select("seq", "mean")
     joined = places.join(ix.select(F.col("seq").alias("q3"), F.col("mean").alias("qm")), "q3", "left").join(ix.select(F.col("seq").alias("t3"), F.col("mean").alias("tm")), "t3", "left")
@@ -151,17 +152,18 @@ def reciprocal_3x3(pairs: DataFrame, index_3x3: DataFrame, metric: str = "sum",
     scored = joined.filter(both).withColumns({"forward": eased("q3", "t3", "qm"), "reverse": eased("t3", "q3", "tm")})
     scored = scored.withColumn("combined", (F.col("forward") + F.col("reverse")) / (2 if metric == "mean" else 1))
     term = F.struct("combined", "place", "q3", "t3", "forward", "reverse")
-    sums = scored.groupBy(*keys).agg(F.sum("combined").alias("reciprocal_total"), F.count("*").alias("used"), F.array_sort(F.collect_list(term)).alias("terms"))
-    sums = sums.withColumnsRenamed({k: f"{k}_" for k in keys})
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
-    out = pairs.dropDuplicates().join(sums, same, "left").select(*keys, F.coalesce("reciprocal_total", F.lit(0.0)).alias("reciprocal_total"), F.coalesce("used", F.lit(0)).cast("long").alias("used"), "terms")
+    sums = scored.groupBy(F.col("query").alias("query_"), F.col("window").alias("window_")).agg(F.sum("combined").alias("reciprocal_total"), F.count("*").alias("used"), F.array_sort(F.collect_list(term)).alias("terms"))
+    same = F.col("query").eqNullSafe(F.col("query_")) & F.col("window").eqNullSafe(F.col("window_"))
+    out = pairs.join(sums, same, "left").select(*keys, F.coalesce("reciprocal_total", F.lit(0.0)).alias("reciprocal_total"), F.coalesce("used", F.lit(0)).cast("long").alias("used"), "terms")
     return out.withColumn("reciprocal_mean", F.when(F.col("used") > 0, F.col("reciprocal_total") / F.col("used")).otherwise(F.lit(float("nan")))).withColumn("terms", F.slice("terms", 1, 6))
 
 
-def rescore(hits: DataFrame, query: str, index_3x3: DataFrame, metric: str = "sum") -> DataFrame:
-    """First-pass hits with first_rank, reciprocal scores and their rank by (reciprocal_total, first_rank).
-    Hits are a top k, so ranking them in one place is bounded."""
-    first = hits.withColumn("first_rank", F.row_number().over(Window.orderBy(*ORDER))).withColumn("query", F.lit(query))
+def rescore(hits: DataFrame, query: str, index_3x3: DataFrame, metric: str = "sum", most: int = 100_000) -> DataFrame:
+    """First-pass hits with first_rank, reciprocal scores and their rank by (reciprocal_total, first_rank). Hits
+    are a top k: more than ``most`` are an error, so that the ranks' one task is bounded."""
+    few = hits.orderBy(*ORDER).limit(most + 1)
+    first = few.withColumn("first_rank", F.row_number().over(Window.orderBy(*ORDER))).withColumn("query", F.lit(query))
+    first = first.withColumn("ok_", F.assert_true(F.col("first_rank") <= most, F.lit(f"more than {most} hits to rescore"))).filter("ok_ is null").drop("ok_")
     scored = reciprocal_3x3(first, index_3x3, metric)
     return scored.withColumn("reciprocal_rank", F.row_number().over(Window.orderBy("reciprocal_total", "first_rank")))
 

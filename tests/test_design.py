@@ -90,3 +90,36 @@ def test_reciprocal_designs(spark, rescue):  # L2, H6, C11
     assert got == sorted(got, key=key)
     with pytest.raises(ValueError):
         O.reciprocal_design(candidates, query, ix, rescue="some")
+
+
+def test_reciprocal_scores_of_repeated_rows(spark):  # F9, D11
+    rnd = random.Random(2)
+    ix = indexes(spark, rnd, ["ARA", "KKK", "RAK"])[1]
+    pairs = spark.createDataFrame([("ARA", "KKK", 1), ("ARA", "KKK", 1), ("ARA", "KKK", 1), ("ARA", "ARA", 2), ("AR", "KK", 3), (None, None, 4), (None, None, 4)], "query string, window string, n int")
+    got = O.reciprocal_3x3(pairs, ix).collect()
+    assert sorted(r.n for r in got) == [1, 1, 1, 2, 3, 4, 4]
+    assert len({r.reciprocal_total for r in got if r.n == 1}) == 1 and {r.used for r in got if r.n == 1} == {1} and {r.used for r in got if r.n > 2} == {0}
+    hits = spark.createDataFrame([(i, "h", 1, 3, w, float(i)) for i, w in enumerate(("KKK", "ARA", "KKK"))], "record_ord long, header string, start long, end long, window string, score double")
+    assert [r.first_rank for r in O.rescore(hits, "ARA", ix).orderBy("first_rank").collect()] == [1, 2, 3]
+    with pytest.raises(Exception, match="more than 2 hits"):
+        O.rescore(hits, "ARA", ix, most=2).collect()
+
+
+@pytest.mark.parametrize("strategy", P.STRATEGIES)
+def test_profiles_from_the_kmers_they_need(spark, strategy):  # C2, C3, D1, E1-E5
+    rnd = random.Random(strategy)
+    made = lambda seqs: spark.createDataFrame([(s, str(rnd.randint(0, 2)), energies(rnd)) for s in seqs for _ in range(rnd.randint(1, 4))], "seq string, geom string, row array<double>")
+    queries = spark.createDataFrame([("ADEKRLV",), ("AD",), ("K",), ("LLVIMLA",)], "query string")
+    near = ["LLVIM", "MLVLL", "IIVMI", "LLKIM", "ADEKR", "EDEKK", "WDEKR"]
+    rows = (made(A.ALPHABET), made(["ADE", "EKR", "LVI", "WWW"]), made([*near, "WWWWW", "PPPPP"]))
+    some, whole = P.indexes_for(queries, *rows, strategy), tuple(O.P.M.build_index(r) for r in rows)
+    assert some[2].filter("seq in ('WWWWW', 'PPPPP')").count() == 0 and some[1].filter("seq = 'WWW'").count() == 0
+    shown = lambda r: (r.query, r.position, r.mode, [round(x, 9) + 0.0 for x in [*(r.energies or []), *(r.stds or [])]])
+    built = [sorted(shown(r) for r in P.build(queries, *ix, strategy=strategy).collect()) for ix in (some, whole)]
+    assert built[0] == built[1]
+
+
+def test_rescue_flags(spark):  # E7
+    ix = indexes(spark, random.Random(1), [])
+    rows = P.build(spark.createDataFrame([("MDERKFWYP",)], "query string"), *ix, strategy=P.STRATEGIES[3]).orderBy("position").collect()
+    assert "".join(r.residue for r in rows if r.charge) == "DERK" and "".join(r.residue for r in rows if r.aromatic) == "FWY"
