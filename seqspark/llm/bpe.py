@@ -46,8 +46,9 @@ LONGEST = 512
 KEPT_WORDS, _SOME_WORDS = 300_000, 20_000
 #: Words whose ids it knows, from the vocabulary or the common words, that a task remembers before it looks anew.
 KEPT_SETTLED = 150_000
-#: Words that are folded once for all tasks: a bound on what is broadcast, some 30 MB.
-COMMON_WORDS = 1_000_000
+#: Words that are folded once for all tasks, and their bytes: bounds on what is broadcast. Ids take four bytes
+#: for a byte of a word at most, so that is 80 MB at most, and some 30 MB for ordinary words.
+COMMON_WORDS, COMMON_BYTES = 1_000_000, 16 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -279,7 +280,7 @@ def _distinct(pattern: str, ranks):
                 fresh = set(chain.from_iterable(map(cut_at_spaces, plain))) - runs
                 words = set(runs_of("\0".join(fresh)))
                 words.update(*(find(t) for t in texts if pattern != SPACED or "\0" in t))
-                words = [w for w in words - seen if len(w) <= LONGEST and w.encode() not in ranks.value]
+                words = [w for w in words - seen if len(b := w.encode()) <= LONGEST and b not in ranks.value]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
                 runs |= fresh
                 seen.update(words)
@@ -290,15 +291,15 @@ def _distinct(pattern: str, ranks):
 
 
 def common_words(texts: DataFrame, ranks: dict[bytes, int], shared, pattern: str, most: int) -> Folded:
-    """Ids of the words that most tasks meet, ``most`` words at most: folded once for all tasks. Words are
-    counted over all texts; the least count that keeps to the bound is found by a histogram of few rows."""
+    """Ids of the words that most tasks meet, ``most`` words and COMMON_BYTES at most: folded once for all tasks. Words
+    are counted over all texts; the least count that keeps to the bounds is found by a histogram of few rows."""
     counts = texts.mapInArrow(_distinct(pattern, shared), "word string").groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
     counts = written(counts.withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "bpe-words")
-    held, least = 0, None
-    for level, n in sorted(map(tuple, counts.groupBy("level").agg(F.count("*")).collect()), reverse=True):
-        if held + n > most:
+    held, size, least = 0, 0, None
+    for level, n, b in sorted(map(tuple, counts.groupBy("level").agg(F.count("*"), F.sum(F.octet_length("word"))).collect()), reverse=True):
+        if held + n > most or size + b > COMMON_BYTES:
             break
-        held, least = held + n, level
+        held, size, least = held + n, size + b, level
     if least is None:
         return _NO_WORDS
     found = counts.filter(F.col("level") >= least).repartition(math.ceil(held / _SOME_WORDS)).select("word", merge_column(F.col("word"), ranks).alias("ids")).toArrow()

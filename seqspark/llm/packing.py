@@ -185,13 +185,15 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 0, key: str = "doc_id
     A null text is empty (its document is the end id alone); null sources form a queue of their own;
     repeated rows and keys are documents of their own, a null key stays null; other columns don't take
     part. An empty table gives no pieces. ``targets`` maps sources to shares of tokens (all sources that
-    the table holds, None for null ones); without it the shares are the table's own and all queues end together."""
+    the table holds, None for null ones; a share must be above zero); without it the shares are the table's own and all queues end together."""
     queue = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), queue.alias("queue"))
     kind = id_type(tokenizer_path)
     ids = written(docs.mapInArrow(_tokenised(tokenizer_path, end_id), "doc_id bigint, queue string, part int, start bigint, n bigint, ids binary"), "packing-ids")
     by_part = ids.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     sums = by_part.groupBy("queue").agg(F.sum("n").alias("total"))
+    if targets and not all(v > 0 for v in targets.values()):
+        raise ValueError("a target share must be above zero: its queue would never end")
     if targets:
         shares = df.sparkSession.createDataFrame([("null" if k is None else f"={k}", float(v)) for k, v in targets.items()], "queue string, weight double")
         sums = sums.join(shares, "queue", "left")

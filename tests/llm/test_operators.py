@@ -314,3 +314,58 @@ def test_substrings_keep_every_key(spark):
     got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in got), key=repr) == sorted(((i, n, n if n > 1 else 0) for i, t in rows if (n := len((t or "").split())) >= 0), key=repr)
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_files_in_curve_order_are_skipped_by_any_dimension(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(3)
+    rows = [(i, "x" * int(rnd.lognormvariate(6, 1)), rnd.choice(["de", "en", "es", "fr"]), f"source-{min(int(rnd.expovariate(0.1)), 39):02d}", None, 1, "a", "b") for i in range(8000)]
+    rows += [(None, None, None, None, None, None, None, None), (1, "", "", "", 0, 0, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long"))
+    sharding.write_in_curve_order(df, str(tmp_path / "out"), 16)
+    files = [f for f in sorted((tmp_path / "out").glob("*.parquet")) if pq.read_metadata(f).num_rows]
+    assert len(files) == 16 and spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+    def met(column, lo, hi):
+        n = 0
+        for f in files:
+            m = pq.read_metadata(f)
+            at = [j for j in range(m.num_columns) if m.row_group(0).column(j).path_in_schema == column][0]
+            n += any((s := m.row_group(g).column(at).statistics) is not None and s.has_min_max and s.min <= hi and s.max >= lo for g in range(m.num_row_groups))
+        return n
+
+    sizes = sorted(len(r[1] or "") for r in rows)
+    assert np.mean([met("lang", x, x) for x in ("de", "en", "es", "fr")]) <= 8
+    assert np.mean([met("source", x, x) for x in (f"source-{i:02d}" for i in range(40))]) <= 8
+    assert np.mean([met("n_chars", sizes[i * 800], sizes[i * 800 + 700]) for i in range(10)]) <= 8
+    for bad in (spark.createDataFrame([], SCHEMA), df.limit(1).withColumn("lang", F.lit(None).cast("string"))):
+        assert sharding.shards(bad).count() == bad.count()
+
+
+def test_targets_are_above_zero(spark, texts):
+    with pytest.raises(ValueError, match="above zero"):
+        packing.pack(table(spark, texts), P.path("byte_bpe_50k.json"), targets={"s0": 0.0, "s1": 1.0})
+
+
+def test_byte_bpe_sends_few_bytes_to_all_tasks(spark, monkeypatch):
+    import tiktoken
+
+    path, ranks = P.path("byte_bpe_multi_50k.tiktoken"), bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    some = [" ".join(f"{'漢字' * (k % 60)}{k}" for k in range(300))] * 6 + [None, ""]
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for most in (0, 3000):
+        monkeypatch.setattr(bpe, "COMMON_BYTES", most)
+        df = table(spark, some).repartition(6)
+        for r in bpe.encode(df, path, P.PATTERN).collect():
+            assert np.frombuffer(r.ids, "<u4").tolist() == want.encode_ordinary(some[r.doc_id] or "")
+
+
+def test_pages_with_many_lines_to_delete(spark, monkeypatch):
+    body = lambda i: f"<div>menu</div><div>news</div><p>text {i} of its own</p><div>foot line</div>"
+    df = spark.createDataFrame([(i, f"http://h.org/{i:03d}", body(i)) for i in range(20)], "page_id long, url string, html string")
+    got = []
+    for few in (1 << 22, 0):
+        monkeypatch.setattr(pages, "FEW", few)
+        got.append(sorted(map(tuple, pages.main_texts(df).collect())))
+    assert got[0] == got[1] and all(t == f"text {i} of its own" for i, _, t in got[0])
