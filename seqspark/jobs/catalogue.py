@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import alphabet as A
 from ..functions import heuristics as H
 from ..functions import sql
+from ..operators import blocks as B
 from ..operators import motif_index as M
 from ..operators import profiles as P
 from ..operators import scan as O
@@ -52,8 +53,7 @@ def fasta_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {T.sql_windows(3)} SELECT win AS kmer, count(*) AS n, count(DISTINCT record_ord) AS records FROM w GROUP BY win")
 def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_record = windows(T.records(spark, sf_dir), 3).groupBy(F.col("window").alias("kmer"), "record_ord").agg(F.count("*").alias("n"))
-    return per_record.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("records"))
+    return B.kmer_counts(T.records(spark, sf_dir), 3)
 
 
 @query(f"WITH {T.sql_windows(9)}, s AS (SELECT *, {T.sql_rigid(T.NINE)} AS score FROM w) " + _sql_hits("SELECT * FROM s", 25))

@@ -338,3 +338,40 @@ def bonus_hits(records: DataFrame, length: int, top_n: int | None = None, thresh
         yield from best.last()
 
     return _run(records, keep, flank > 0, run, "bonus double", None)
+
+
+def kmer_counts(records: DataFrame, size: int) -> DataFrame:
+    """(kmer, n, records): how often each k-mer of residues stands, and in how many records (each row is one).
+    Tasks count by number of k-mer, so that only their sums are shuffled; 14 letters at most."""
+    if not 1 <= size <= 14:
+        raise ValueError("k-mers have 1 to 14 letters")
+
+    def merged(row: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((code, row))
+        row, code, n = row[order], code[order], n[order]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)])
+        return row[new], code[new], np.add.reduceat(n, new) if len(new) else n
+
+    def summed(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        kinds, place = np.unique(code, return_inverse=True)
+        digits = kinds[:, None] // 20 ** np.arange(size - 1, -1, -1) % 20
+        names = [x.tobytes().decode() for x in _LETTERS[digits]]
+        columns = [pa.array(names, pa.string()), pa.array(np.bincount(place, n, len(kinds)).astype(np.int64)), pa.array(np.bincount(place, minlength=len(kinds)))]
+        return pa.RecordBatch.from_arrays(columns, names=["kmer", "n", "records"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = code = n = np.zeros(0, np.int64)  # of the last record, which the next block may go on with
+            for block in blocks(batch, size, 0):
+                number = np.zeros(block.m, np.int64)
+                for i in range(size):
+                    number = number * 20 + block.safe[i : i + block.m]
+                found = block.row[np.searchsorted(block.base, block.at, side="right") - 1]
+                row, code, n = merged(np.append(row, found), np.append(code, number[block.at]), np.append(n, np.ones(len(found), np.int64)))
+                done = row < block.row[-1]
+                yield summed(code[done], n[done])
+                row, code, n = row[~done], code[~done], n[~done]
+            yield summed(code, n)
+
+    counted = records.select("sequence").mapInArrow(run, "kmer string, n bigint, records bigint")
+    return counted.groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scoring import Profile
-from ..operators.scan import score_windows
+from ..operators.blocks import scan_hits
 from ..sources.files import fasta_chunks, fasta_records
 
 
@@ -23,7 +23,7 @@ def scan_stream(records: DataFrame, profile: Profile, threshold: float, path: st
 
     def write(batch: DataFrame, number: int) -> None:
         found = fasta_records(batch).withColumn("record_ord", F.xxhash64("file", "block", "n"))
-        hits = score_windows(found.select("record_ord", "header", "sequence"), profile, threshold=threshold, **options)
+        hits = scan_hits(found.select("record_ord", "header", "sequence"), profile, None, threshold=threshold, **options)
         hits.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

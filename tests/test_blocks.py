@@ -146,3 +146,15 @@ def test_chunk_report_takes_statistics_from_the_hits_own_pass(spark, tmp_path):
     assert shown == sorted(shown)
     by = {r.lang: r for r in O.scan_stats(recs, profile, 1.0, -2.0, by=("lang",), rescue="full").collect()}
     assert set(by) == {"x", "y", "z"} and by["y"].windows_scanned == 0 and sum(r.threshold_passed for r in by.values()) == want["threshold_passed"]
+
+
+@pytest.mark.parametrize("size", [1, 3, 14])
+def test_kmer_counts(spark, monkeypatch, size):  # B9
+    monkeypatch.setattr(B, "BLOCK", 40)  # long records go on over several blocks
+    recs = records(spark, random.Random(size))
+    per = windows(recs, size).groupBy(F.col("window").alias("kmer"), "record_ord").agg(F.count("*").alias("n"))
+    want = per.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("records")).collect()
+    assert sorted(B.kmer_counts(recs, size).collect()) == sorted(want) and want
+    assert B.kmer_counts(recs.limit(0), size).count() == 0
+    with pytest.raises(ValueError):
+        B.kmer_counts(recs, 15)
