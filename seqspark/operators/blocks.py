@@ -72,7 +72,7 @@ class Block:
         """The windows as rows of scan.windows."""
         part = np.searchsorted(self.base, at, side="right") - 1
         start = self.place[part] + at - self.base[part] + 1
-        columns = batch.take(pa.array(self.row[part])).columns[:-1]
+        columns = batch.select(batch.schema.names[:-1]).take(pa.array(self.row[part])).columns  # not the sequences
         letters = lambda a, b: _LETTERS[self.safe[a:b]].tobytes().decode()
         texts = [letters(a, a + self.length) for a in at.tolist()]
         out = [*columns, pa.array(start), pa.array(start + self.length - 1), pa.array(texts, pa.string())]

@@ -89,7 +89,7 @@ def window_ranks(records: DataFrame, profile: Profile, targets: list[tuple[str,
                 first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 least[row[first]] = np.minimum(least[row[first]], np.minimum.reduceat(found, first))
             some = np.flatnonzero(least < np.inf)
-            given = batch.take(pa.array(some))
+            given = batch.select(batch.schema.names[:-1]).take(pa.array(some))
             yield full(pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(some), _RECORD, np.int32)), "header": given.column(1), "record_ord": given.column(0), "f": pa.array(least[some])}), batch.schema)
         if whole.any():
             yield full(_rows(_WINDOWS, whole, equal), batch.schema)
