@@ -92,11 +92,13 @@ def roots(found: DataFrame) -> DataFrame:
     return at.select("word", "root")
 
 
-def spelling_variants(df: DataFrame, one_in: int = 97, least: int = 5, times: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def spelling_variants(df: DataFrame, least: int = 5, times: int = 3, one_in: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, form, root, n, n_near, form_n) of the words of at least ``least`` letters that stand ``times``
-    times or more. One in ``one_in`` runs of letters loses a letter first. A null text has no words, a null id
-    counts as empty in the choice of runs, each row counts on its own; empty tables give no rows."""
-    word = misspelt(runs(df, least, key, text), one_in).filter(F.char_length("word") >= least)
+    times or more. With ``one_in``, one in so many runs of letters loses a letter first. A null text has no words,
+    a null id counts as empty in the choice of runs, each row counts on its own; empty tables give no rows."""
+    word = runs(df, least, key, text)
+    if one_in:
+        word = misspelt(word, one_in).filter(F.char_length("word") >= least)
     words = written(word.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= times), "words")
     found = written(forms(words, near_pairs(words)), "forms")
     out = words.join(found, "word", "left").join(roots(found), "word", "left")
@@ -104,4 +106,4 @@ def spelling_variants(df: DataFrame, one_in: int = 97, least: int = 5, times: in
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling_variants(documents(spark, sf_dir))
+    return spelling_variants(documents(spark, sf_dir), one_in=97)

@@ -53,3 +53,23 @@ def test_searches_of_odd_tables(spark):
         assert search(spark.createDataFrame([(1, [1.0]), (2, [2.0])], schema)).count() == 0  # no query
         got = search(spark.createDataFrame([(100, [1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (100, [1.0])], schema)).collect()
         assert [(r.query_id, r.vec_id) for r in got] == [(100, 1)] * 4
+
+
+def test_recall_on_the_given_table(spark):
+    import os
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the given tables aren't here")
+    df = spark.read.parquet(path)
+    ids, m = zip(*((r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()))
+    ids, m = np.array(ids), np.array(m, np.float64)
+    near = collections.defaultdict(set)
+    for r in vectors.nearest(df).collect():
+        near[r.query_id].add(r.vec_id)
+    recall = []
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = ((m - m[q]) ** 2).sum(axis=1)
+        want = [ids[i] for i in np.lexsort((ids, d)) if i != q][:10]
+        recall.append(len(near[ids[q]] & set(want)) / 10)
+    assert np.mean(recall) >= 0.9
