@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,37 +25,51 @@ def fasta_chunks(reader, path: str | list[str]) -> DataFrame:
     return chunks.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
+def _numbered_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of a task's chunks, counted from 0 in each block: a task reads whole blocks, in order."""
+    split, at, n = re.compile(r"[\n\r]+[ \t]*>").split, None, 0
+    for batch in batches:
+        rows = []
+        for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+            first = (file, block) != at
+            if first:
+                at, n = (file, block), 0
+            # What a file begins with may be no record; other chunks begin behind a header's sign.
+            for part in split(("\n" if first and block == 0 else "\n>") + value)[1:]:
+                header, *lines = re.split(r"[\r\n]+", part)
+                rows.append((file, block, n, header.rstrip(" "), "".join(x.strip(" ") for x in lines).upper()))
+                n += 1
+        columns = zip(*rows) if rows else [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["file", "block", "n", "header", "sequence"])
+
+
 def fasta_records(chunks: DataFrame) -> DataFrame:
-    """(file, block, n, header, sequence) of chunks in the order of reading; n counts the block's records
-    from 0. A chunk holds more than one record where blanks precede a header's sign. Rows meet by block,
-    which is at most a split of a file and the record that crosses its end."""
-    here = Window.partitionBy("file", "block").orderBy("chunk")
-    numbered = chunks.withColumn("chunk", F.monotonically_increasing_id())
-    first = (F.col("block") == 0) & (F.row_number().over(here) == 1)  # what the file begins with may be no record
-    lead = numbered.withColumn("lead", F.when(first, "\n").otherwise("\n>"))
-    parts = lead.withColumn("parts", F.split(F.concat("lead", "value"), r"[\n\r]+[ \t]*>"))
-    before = F.coalesce(F.sum(F.size("parts") - 1).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = parts.withColumn("before", before)  # apart from the explode, else exploded rows would count
-    records = counted.select("file", "block", "before", F.posexplode("parts").alias("n", "part")).filter("n > 0")
-    lines = F.transform(F.split("part", r"[\r\n]+"), lambda x: F.trim(x))
-    body = F.upper(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), ""))
-    header = F.rtrim(F.get(F.split("part", r"[\r\n]+"), 0))
-    return records.select("file", "block", (F.col("before") + F.col("n") - 1).alias("n"), header.alias("header"), body.alias("sequence"))
+    """(file, block, n, header, sequence) of ``fasta_chunks`` as they are read; n counts a block's records from 0,
+    inside the task that reads it. A chunk holds more than one record where blanks precede a header's sign."""
+    return chunks.select("file", "block", "value").mapInArrow(_numbered_records, "file string, block bigint, n bigint, header string, sequence string")
+
+
+#: Splits of files whose counts are sent to all tasks; of more, the counts are joined by shuffles.
+FEW_SPLITS = 1 << 18
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(record_ord, header, sequence, file) of every record, by file name and place in the file.
 
     Lines are stripped, blank lines skipped, sequences joined and put in upper case; text before the first
-    header goes; a header without a body has an empty sequence; files without a record give no rows. Blocks
-    are counted (a row for each split of a file), so that records are numbered without a sort of them all."""
+    header goes; a header without a body has an empty sequence; files without a record give no rows. Numbers
+    have no gaps, so records are counted by split first (a row for each); the texts themselves aren't shuffled.
+    The ``fasta`` data source reads files once, with numbers that have gaps."""
     chunks = fasta_chunks(spark.read.option("pathGlobFilter", glob) if glob else spark.read, path)
-    if not chunks.inputFiles():
+    if not (files := chunks.inputFiles()):
         raise FileNotFoundError(f"no FASTA files at {path}")
     records = fasta_records(chunks)
     counts = records.groupBy("file", "block").agg(F.count("*").alias("m"))
     earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("file", "block", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("base"))
+    if chunks.rdd.getNumPartitions() + len(files) <= FEW_SPLITS:
+        base = F.broadcast(base)
     ranked = records.join(base, ["file", "block"])
     return ranked.select((F.col("base") + F.col("n")).alias("record_ord"), "header", "sequence", "file")
 
