@@ -335,10 +335,11 @@ def test_files_in_curve_order_are_skipped_by_any_dimension(spark, tmp_path):
             n += any((s := m.row_group(g).column(at).statistics) is not None and s.has_min_max and s.min <= hi and s.max >= lo for g in range(m.num_row_groups))
         return n
 
+    # About half of the files, or one more: rows are cut evenly, so runs reach a little over a cube's edges.
     sizes = sorted(len(r[1] or "") for r in rows)
-    assert np.mean([met("lang", x, x) for x in ("de", "en", "es", "fr")]) <= 8
-    assert np.mean([met("source", x, x) for x in (f"source-{i:02d}" for i in range(40))]) <= 8
-    assert np.mean([met("n_chars", sizes[i * 800], sizes[i * 800 + 700]) for i in range(10)]) <= 8
+    assert np.mean([met("lang", x, x) for x in ("de", "en", "es", "fr")]) <= 9
+    assert np.mean([met("source", x, x) for x in (f"source-{i:02d}" for i in range(40))]) <= 9
+    assert np.mean([met("n_chars", sizes[i * 800], sizes[i * 800 + 700]) for i in range(10)]) <= 9
     for bad in (spark.createDataFrame([], SCHEMA), df.limit(1).withColumn("lang", F.lit(None).cast("string"))):
         assert sharding.shards(bad).count() == bad.count()
 
