@@ -30,7 +30,7 @@ def written_fasta(found: DataFrame) -> str:
     """Writes records as FASTA files and returns their folder: below spark.checkpoint.dir, which all executors
     share, or where that isn't set (local tests) a temporary one."""
     spark = found.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
