@@ -9,6 +9,8 @@ share one at least. Signatures meet in an equi-join, which verifies the edit dis
 Scale: occurrences are counted with map-side sums, so frequent words don't gather; the join's rows are
 short and a signature that many words share is a skewed join, which Spark splits; only verified pairs leave
 it. Roots are found by pointer doubling: a form has at least twice the word's count, so chains are short.
+Joins are merges: by the size of its file Spark would take the table of words, and its rows by signature, of
+which a word has 15, for small enough to broadcast, and gather them on the driver.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def near_pairs(words: DataFrame, number: int = 6) -> DataFrame:
     a, b = signed.alias("a"), signed.alias("b")
     alike = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= 2
     near = alike & (F.col("a.word") < F.col("b.word")) & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & near)
+    pairs = a.join(b.hint("merge"), (F.col("a.sig") == F.col("b.sig")) & near)
     return pairs.select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n")).distinct()
 
 
@@ -88,7 +90,7 @@ def roots(found: DataFrame) -> DataFrame:
     at = written(found.filter("form is not null").select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
     while at.filter("moved").limit(1).count():
         on = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        at = written(at.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        at = written(at.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
     return at.select("word", "root")
 
 
@@ -101,7 +103,7 @@ def spelling_variants(df: DataFrame, least: int = 5, times: int = 3, one_in: int
         word = misspelt(word, one_in).filter(F.char_length("word") >= least)
     words = written(word.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= times), "words")
     found = written(forms(words, near_pairs(words)), "forms")
-    out = words.join(found, "word", "left").join(roots(found), "word", "left")
+    out = words.join(found.hint("merge"), "word", "left").join(roots(found).hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 

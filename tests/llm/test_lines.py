@@ -106,3 +106,11 @@ def test_spelling_variants(spark, seed, number):
 def test_spelling_variants_of_no_words(spark):
     assert spelling.spelling_variants(table(spark, [])).count() == 0
     assert [tuple(r) for r in spelling.spelling_variants(table(spark, [(1, "lonely lonely Lonely")])).collect()] == [("lonely", None, "lonely", 3, 0, None)]
+
+
+def test_spelling_variants_broadcast_no_words(spark):
+    """A word has 15 rows by signature, which Spark's sizes don't count: the driver would gather them all."""
+    words = spark.createDataFrame([("lonely", 3), ("lonly", 3)], "word string, n long")
+    plan = spelling.near_pairs(words)._jdf.queryExecution().toString()
+    plan += spelling.spelling_variants(table(spark, [(1, "lonely lonely Lonely lonelys")]))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
