@@ -4,9 +4,15 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+from test_blocks import profile_of, records
 
 from seqspark.functions import alphabet as A
+from seqspark.functions import sql
 from seqspark.jobs import catalogue as C
+from seqspark.operators import blocks as B
+from seqspark.operators import scan as O
+from seqspark.operators.windows import windows
 
 
 @pytest.fixture
@@ -31,3 +37,33 @@ def from_sql(name, made, columns):
 def test_query_equals_its_sql(spark, made, name):
     got = C.QUERIES[name](spark, made)
     assert sorted(map(tuple, got.collect())) == sorted(from_sql(name, made, got.columns))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_functions_of_arrays_of_windows(spark):
+    names = [*sql.register(spark), *sql.register_arrays(spark)]
+    assert names[-3:] == ["sequence_bonuses", "rigid_scores", "rescue_scores"]
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice(A.ALPHABET * 3 + "DERKFPX") for _ in range(n))
+    tables = [[p.energies for p in profile_of(rnd, r)] for r in ("REKFD", "REKFD", "FED")]
+    rows = [(i, [text(rnd.choice([3, 5, 5])) for _ in range(rnd.randint(0, 9))], "REKFD" if i % 5 else "FED", tables[i % 3] if i % 7 else None) for i in range(60)] + [(60, None, "REKFD", tables[0]), (61, [None, "", "AAAAA"], None, tables[0])]
+    df = spark.createDataFrame(rows, "i int, w array<string>, residues string, energies array<array<double>>")
+    constant = "array(" + ", ".join("array(" + ", ".join(f"{e}D" for e in row) + ")" for row in tables[0]) + ")"
+    for energies in ("energies", constant):
+        got = spark.sql(f"SELECT i, size(w) AS n, sequence_bonuses(w) AS b, rigid_scores(w, {energies}) AS s, rescue_scores(w, residues, {energies}) AS r FROM {{df}}", df=df).collect()
+        one = spark.sql(f"SELECT i, at, if(is_sequence(x), sequence_bonus(x), NULL) AS b, rigid_score(x, {energies}) AS s, rescue_score(x, residues, {energies}) AS r FROM (SELECT *, posexplode(w) AS (at, x) FROM {{df}})", df=df)
+        want = {(r.i, r.at): r for r in one.collect()}
+        for g in got:
+            assert (g.b is None) == (g.s is None) == (g.r is None) == (g.n is None or g.n < 0)
+            for k in range(len(g.b or [])):
+                w = want[g.i, k]
+                assert (g.s[k], g.r[k]) == (w.s, w.r) and (g.b[k] is None if w.b is None else g.b[k] == pytest.approx(w.b))
+        assert sum(w.r is not None for w in want.values()) > 20
+
+
+def test_tiles_are_not_folded_one_by_one(spark, made):
+    got = C.sql_tiles(spark, made)
+    assert "aggregate(" not in plan_of(got) and sorted(map(tuple, got.collect())) == sorted(from_sql("sql_tiles", made, got.columns))
