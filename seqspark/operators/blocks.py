@@ -340,6 +340,47 @@ def bonus_hits(records: DataFrame, length: int, top_n: int | None = None, thresh
     return _run(records, keep, flank > 0, run, "bonus double", None)
 
 
+def _record_rows(records: DataFrame, length: int, schema: str, measure: Callable[[Block, np.ndarray, int], list[np.ndarray]]) -> DataFrame:
+    """(record_ord, *schema): a row for each record with windows in a block. measure gets the block, the number of
+    the record of each window (from 0, rising) and how many records these are."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, length, 0):
+                if len(block.at):
+                    rows, record = np.unique(block.row[np.searchsorted(block.base, block.at, side="right") - 1], return_inverse=True)
+                    columns = [pa.array(x) for x in measure(block, record, len(rows))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], names=["record_ord", *names])
+
+    source = records.select("record_ord", "sequence")
+    return source.mapInArrow(run, f"record_ord {source.schema['record_ord'].dataType.simpleString()}, {schema}")
+
+
+def window_totals(records: DataFrame, length: int) -> DataFrame:
+    """(record_ord, n, starts, least) of the records with windows: how many they have, the sum of their starts and
+    the first by letters. Tasks add up records, so that no window is shuffled or sorted."""
+    rank = np.argsort(np.argsort(_LETTERS))
+
+    def measure(block: Block, record: np.ndarray, many: int) -> list[np.ndarray]:
+        part = np.searchsorted(block.base, block.at, side="right") - 1
+        starts = np.zeros(many, np.int64)
+        np.add.at(starts, record, block.place[part] + block.at - block.base[part] + 1)
+        at, own = block.at, record
+        for lo in range(0, length, 13):  # so many letters are a number; windows that tie go on to the next
+            number = np.zeros(len(at), np.int64)
+            for i in range(lo, min(lo + 13, length)):
+                number = number * 20 + rank[block.safe[at + i]]
+            least = np.full(many, np.iinfo(np.int64).max)
+            np.minimum.at(least, own, number)
+            at, own = at[number == least[own]], own[number == least[own]]
+        at = at[np.unique(own, return_index=True)[1]]
+        return [np.bincount(record, minlength=many), starts, np.array([x.tobytes().decode() for x in _LETTERS[block.matrix(at)]], object)]
+
+    found = _record_rows(records, length, "n bigint, starts bigint, least string", measure)
+    return found.groupBy("record_ord").agg(F.sum("n").alias("n"), F.sum("starts").alias("starts"), F.min("least").alias("least"))
+
+
 def kmer_counts(records: DataFrame, size: int) -> DataFrame:
     """(kmer, n, records): how often each k-mer of residues stands, and in how many records (each row is one).
     Tasks count by number of k-mer, so that only their sums are shuffled; 14 letters at most."""

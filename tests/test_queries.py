@@ -67,3 +67,13 @@ def test_functions_of_arrays_of_windows(spark):
 def test_tiles_are_not_folded_one_by_one(spark, made):
     got = C.sql_tiles(spark, made)
     assert "aggregate(" not in plan_of(got) and sorted(map(tuple, got.collect())) == sorted(from_sql("sql_tiles", made, got.columns))
+
+
+@pytest.mark.parametrize("length", [1, 9, 30])
+def test_window_totals(spark, monkeypatch, made, length):
+    monkeypatch.setattr(B, "BLOCK", 40)  # long records go on over several blocks
+    recs = records(spark, random.Random(length)).unionByName(spark.createDataFrame([(99, "a", "A" * 500 + "C" * 20)], "record_ord long, header string, sequence string").withColumn("lang", F.lit("x")))
+    want = windows(recs, length).groupBy("record_ord").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.min("window").alias("least"))
+    got = B.window_totals(recs, length)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
+    assert "Generate" not in plan_of(C.fasta_windows(spark, made))  # no row for a window, which sums would sort
