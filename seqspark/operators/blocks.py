@@ -381,6 +381,17 @@ def window_totals(records: DataFrame, length: int) -> DataFrame:
     return found.groupBy("record_ord").agg(F.sum("n").alias("n"), F.sum("starts").alias("starts"), F.min("least").alias("least"))
 
 
+def metric_means(records: DataFrame, length: int) -> DataFrame:
+    """(record_ord, *metrics): the means of the heuristic metrics over each record's windows."""
+
+    def measure(block: Block, record: np.ndarray, many: int) -> list[np.ndarray]:
+        values = sliding_metrics(block.safe, length, block.m)
+        return [np.bincount(record, minlength=many), *(np.bincount(record, values[m][block.at], many) for m in H.METRICS)]  # added in order
+
+    found = _record_rows(records, length, "n bigint, " + ", ".join(f"{m} double" for m in H.METRICS), measure)
+    return found.groupBy("record_ord").agg(*[(F.sum(m) / F.sum("n")).alias(m) for m in H.METRICS])
+
+
 def kmer_counts(records: DataFrame, size: int) -> DataFrame:
     """(kmer, n, records): how often each k-mer of residues stands, and in how many records (each row is one).
     Tasks count by number of k-mer, so that only their sums are shuffled; 14 letters at most."""

@@ -77,3 +77,12 @@ def test_window_totals(spark, monkeypatch, made, length):
     got = B.window_totals(recs, length)
     assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
     assert "Generate" not in plan_of(C.fasta_windows(spark, made))  # no row for a window, which sums would sort
+
+
+def test_metric_means(spark, monkeypatch, made):
+    monkeypatch.setattr(B, "BLOCK", 40)
+    recs = records(spark, random.Random(6))
+    want = O.add_metrics(windows(recs, 9), 9).groupBy("record_ord").agg(*[F.avg(m).alias(m) for m in B.H.METRICS])
+    for g, w in zip(sorted(B.metric_means(recs, 9).collect()), sorted(want.collect()), strict=True):
+        assert g.record_ord == w.record_ord and tuple(g) == pytest.approx(tuple(w))
+    assert "Generate" not in plan_of(C.heuristic_metrics(spark, made))
