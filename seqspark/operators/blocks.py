@@ -392,6 +392,24 @@ def metric_means(records: DataFrame, length: int) -> DataFrame:
     return found.groupBy("record_ord").agg(*[(F.sum(m) / F.sum("n")).alias(m) for m in H.METRICS])
 
 
+def bonuses(block: Block, weights: H.BonusWeights = H.BonusWeights()) -> np.ndarray:
+    """The bonus of each window, as metrics.add_bonus gives it."""
+    return np.round(H.bonus(sliding_metrics(block.safe, block.length, block.m), weights, float, np.maximum), 9)[block.at]
+
+
+def bonus_ranges(records: DataFrame, length: int) -> DataFrame:
+    """(record_ord, low, mean, high) of the bonus over each record's windows."""
+
+    def measure(block: Block, record: np.ndarray, many: int) -> list[np.ndarray]:
+        bonus, low, high = bonuses(block), np.full(many, np.inf), np.full(many, -np.inf)
+        np.minimum.at(low, record, bonus)
+        np.maximum.at(high, record, bonus)
+        return [np.bincount(record, minlength=many), low, np.bincount(record, bonus, many), high]
+
+    found = _record_rows(records, length, "n bigint, low double, total double, high double", measure)
+    return found.groupBy("record_ord").agg(F.min("low").alias("low"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("high").alias("high"))
+
+
 def kmer_counts(records: DataFrame, size: int) -> DataFrame:
     """(kmer, n, records): how often each k-mer of residues stands, and in how many records (each row is one).
     Tasks count by number of k-mer, so that only their sums are shuffled; 14 letters at most."""

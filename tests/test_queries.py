@@ -86,3 +86,12 @@ def test_metric_means(spark, monkeypatch, made):
     for g, w in zip(sorted(B.metric_means(recs, 9).collect()), sorted(want.collect()), strict=True):
         assert g.record_ord == w.record_ord and tuple(g) == pytest.approx(tuple(w))
     assert "Generate" not in plan_of(C.heuristic_metrics(spark, made))
+
+
+def test_bonus_ranges(spark, monkeypatch, made):
+    monkeypatch.setattr(B, "BLOCK", 40)
+    recs = records(spark, random.Random(7))
+    want = O.add_bonus(windows(recs, 9), 9).groupBy("record_ord").agg(F.min("bonus").alias("low"), F.avg("bonus").alias("mean"), F.max("bonus").alias("high"))
+    for g, w in zip(sorted(B.bonus_ranges(recs, 9).collect()), sorted(want.collect()), strict=True):
+        assert (g.record_ord, g.low, g.high) == (w.record_ord, w.low, w.high) and g.mean == pytest.approx(w.mean)
+    assert "Generate" not in plan_of(C.heuristic_bonus(spark, made))
