@@ -410,6 +410,22 @@ def bonus_ranges(records: DataFrame, length: int) -> DataFrame:
     return found.groupBy("record_ord").agg(F.min("low").alias("low"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("high").alias("high"))
 
 
+def bonus_counts(records: DataFrame, length: int, thresholds: list[float]) -> DataFrame:
+    """(n, t0, t1, ...): one row, how many windows there are and how many reach each bonus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(thresholds) + 1, np.int64)
+        for batch in batches:
+            for block in blocks(batch, length, 0):
+                bonus = bonuses(block)
+                counts += [len(bonus), *(np.count_nonzero(bonus >= t) for t in thresholds)]
+        yield pa.RecordBatch.from_arrays([pa.array([c]) for c in counts], names=names)
+
+    names = ["n", *(f"t{i}" for i in range(len(thresholds)))]
+    counted = records.select("sequence").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+
+
 def kmer_counts(records: DataFrame, size: int) -> DataFrame:
     """(kmer, n, records): how often each k-mer of residues stands, and in how many records (each row is one).
     Tasks count by number of k-mer, so that only their sums are shuffled; 14 letters at most."""

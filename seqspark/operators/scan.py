@@ -15,7 +15,7 @@ from .metrics import add_bonus, add_metrics
 from .ranks import window_ranks
 from .windows import windows
 
-__all__ = ["window_ranks"]  # offered here as well
+__all__ = ["add_bonus", "window_ranks"]  # offered here as well
 ORDER = ("score", "record_ord", "start")
 ALIGNMENTS = ("rigid", "trim_query_one_target_gap")
 
@@ -91,8 +91,7 @@ def with_bonus(w: DataFrame, length: int, weights: H.BonusWeights = H.BonusWeigh
 def heuristic_report(records: DataFrame, length: int, thresholds: list[float], top_n: int | None = None) -> DataFrame:
     """(threshold, passed, percent): how many windows reach each bonus; all thresholds in one pass."""
     some = sorted(set(thresholds))
-    b = add_bonus(windows(records, length).select("window"), length).select(F.col("bonus").alias("b"))
-    one = b.agg(F.count("*").alias("n"), *[F.count_if(F.col("b") >= t).alias(f"t{i}") for i, t in enumerate(some)])
+    one = B.bonus_counts(records, length, some)
     rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("passed")) for i, t in enumerate(some)])
     out = one.select("n", F.inline(rows)).select("threshold", "passed", (100.0 * F.col("passed") / F.col("n")).alias("percent"))
     if top_n is None:

@@ -95,3 +95,13 @@ def test_bonus_ranges(spark, monkeypatch, made):
     for g, w in zip(sorted(B.bonus_ranges(recs, 9).collect()), sorted(want.collect()), strict=True):
         assert (g.record_ord, g.low, g.high) == (w.record_ord, w.low, w.high) and g.mean == pytest.approx(w.mean)
     assert "Generate" not in plan_of(C.heuristic_bonus(spark, made))
+
+
+def test_bonus_counts(spark, monkeypatch, made):
+    monkeypatch.setattr(B, "BLOCK", 40)
+    recs = records(spark, random.Random(8))
+    found = [r.bonus for r in O.add_bonus(windows(recs, 9), 9).collect()]
+    levels = [-1.0, 0.4, sorted(found)[len(found) // 2], 9.0]
+    assert tuple(B.bonus_counts(recs, 9, levels).first()) == (len(found), *(sum(b >= t for b in found) for t in levels))
+    assert tuple(B.bonus_counts(recs.limit(0), 9, levels).first()) == (0,) * 5
+    assert "Generate" not in plan_of(O.heuristic_report(C.T.records(spark, made), 9, levels)).replace("inline", "").split("== Optimized")[0].split("MapInArrow")[-1]
