@@ -55,19 +55,31 @@ def curve(cells: list[Column], bits: int) -> Column:
     return index(*cells)
 
 
-#: Rows that the bounds of cells are drawn from: they decide how well files are skipped, not what any result is.
-DRAWN = 1 << 12
+def value_bounds(df: DataFrame, column: str, bits: int) -> list[tuple[object, int]]:
+    """The values at the quantiles i / 2**bits (0 < i < 2**bits) of all rows, null first, each with the number of
+    quantiles that it holds, in order. Rows are counted by value and values ranked by ranges, so no task sees all
+    of either; the driver gets the values at quantiles."""
+    values = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    order = F.col("v").asc_nulls_first()
+    ranged = written(values.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()), "hilbert-values")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    base = parts.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    within = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(base), "part").withColumn("first", F.col("base") + F.col("within"))
+    # The value with rows first to first + n - 1 holds quantile i if (total * i) >> bits is one of these.
+    up_to = lambda rank: F.expr(f"least((({rank}) * {1 << bits} + total - 1) div total, {1 << bits})")
+    held = placed.select("v", "first", (up_to("first + n") - F.greatest(up_to("first"), F.lit(1))).cast("int").alias("held")).filter("held > 0")
+    return [(r.v, r.held) for r in sorted(held.collect(), key=lambda r: r["first"])]  # 2**bits - 1 values at most
 
 
 def ordered_cells(df: DataFrame, columns: tuple[str, ...], bits: int) -> list[Column]:
     """A cell below 2**bits for each column, in the order of its values (null first), so that runs of cells are
-    ranges of values: the share of rows below the row's own, by the quantiles of DRAWN rows (fewer in a smaller
-    table). Frequent values have cells of their own."""
-    drawn = df.select(*columns).orderBy(F.rand(7)).limit(DRAWN).collect()
+    ranges of values: the share of rows below the row's own, by the quantiles of all rows. Frequent values have
+    cells of their own."""
 
     def cell(column: str) -> Column:
-        values = sorted((r[column] for r in drawn), key=lambda v: (v is not None, v))
-        bounds = [values[len(values) * i >> bits] for i in range(1, 1 << bits)] if values else []
+        bounds = [value for value, held in value_bounds(df, column, bits) for _ in range(held)]
         known = [F.lit(v) for v in bounds if v is not None]
         below = F.size(F.filter(F.array(*known), lambda bound: bound < F.col(column))) if known else F.lit(0)
         return F.when(F.col(column).isNull(), 0).otherwise(below + (len(bounds) - len(known)))

@@ -370,3 +370,17 @@ def test_pages_with_many_lines_to_delete(spark, monkeypatch):
         monkeypatch.setattr(pages, "FEW", few)
         got.append(sorted(map(tuple, pages.main_texts(df).collect())))
     assert got[0] == got[1] and all(t == f"text {i} of its own" for i, _, t in got[0])
+
+
+def test_bounds_of_cells_are_the_quantiles_of_all_rows(spark):
+    rnd = random.Random(4)
+    values = [None] * 300 + [7] * 2_000 + [rnd.randrange(10**6) for _ in range(7_000)]
+    df = spark.createDataFrame([(v, str(v) if v else None) for v in values], "size long, name string").repartition(5)
+    for column in ("size", "name"):
+        order = sorted((r[column] for r in df.collect()), key=lambda v: (v is not None, v))
+        for bits in (1, 6):
+            got = [v for v, held in sharding.value_bounds(df, column, bits) for _ in range(held)]
+            assert got == [order[len(order) * i >> bits] for i in range(1, 1 << bits)]
+    assert sharding.value_bounds(df.limit(0), "size", 6) == []
+    few = spark.createDataFrame([(3,), (1,), (2,)], "size long")
+    assert sharding.value_bounds(few, "size", 2) == [(1, 1), (2, 1), (3, 1)]
