@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, written
 from .hashing import text_buffer, text_slices
-from .tokens import SPACED, SPACED_RUNS, Runs, cut_at_spaces
+from .tokens import SPACED, SPACED_RUNS, Runs, all_cut_at_spaces, cut_at_spaces, joined
 
 _BITS = 18  # of an id, and of a rank
 _NONE = 1 << _BITS
@@ -214,12 +214,11 @@ _NO_WORDS = Folded(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 class _Numbers(Runs):
     """Texts -> numbers of words: from 0 for a word to be folded; the ids of others, each as -1 - id."""
 
-    kind, kept = np.dtype(np.int32), 4 << 20
+    kind = np.dtype(np.int32)
 
     def __init__(self, pattern: str, ranks: dict[bytes, int], folded: Folded | None = None):
         import regex
 
-        super().__init__()
         self.find, self.find_runs, self.spaced, self.ranks = regex.compile(pattern).findall, regex.compile(SPACED_RUNS).findall, pattern == SPACED, ranks
         self.folded, self.number, self.settled = folded or _NO_WORDS, {}, {}
         self.count, self.fresh = 0, []
@@ -252,11 +251,11 @@ class _Numbers(Runs):
         settled, number = self.settled.get, self.number.get
         return [settled(w) or number(w) or long[w] for w in words]
 
-    def runs(self, text: str) -> list[str]:
-        return cut_at_spaces(text)
+    def cut(self, texts: list[str]) -> pa.Array:
+        return all_cut_at_spaces(texts)
 
-    def learned(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words = self.find_runs("\0".join([*runs, ""]))
+    def learned(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = self.find_runs(joined(runs, "\0"))
         stops = [w == "\0" for w in words]
         coded = iter(self.numbers([w for w in words if w != "\0"]))
         out = [b"" if stop else next(coded) for stop in stops]

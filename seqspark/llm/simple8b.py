@@ -25,11 +25,22 @@ from pyspark.sql import functions as F
 
 from .common import documents, written
 from .hashing import text_slices
-from .tokens import WordEncoder, encoder
+from .tokens import MANY, WordEncoder, encoder
 
 #: Ids in a word of each selector from 1, most first, and the bits of each.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+_JUMPS = np.maximum(COUNTS, 1)  # an escape is one id
+
+
+def _width(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id; 61 for those that no word holds beside a selector."""
+    if not len(ids) or ids.max() < len(_WIDTHS):
+        return _WIDTHS[ids]
+    return np.where(ids >> np.uint64(60) > 0, 61, np.frexp(ids.astype(np.float64))[1]).astype(np.int8)  # a float may round up to the next power: one bit wider, still right
+
+
+_WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)
 
 
 def pack_block(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,23 +51,25 @@ def pack_block(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     gap = np.zeros(60, np.uint64)
     ids = np.concatenate([np.asarray(y, np.uint64) for x in docs for y in (x, gap)] or [gap])
     stops = np.cumsum(sizes + 60) - 60
-    width = np.where(ids >> np.uint64(60) > 0, 61, np.frexp(ids.astype(np.float64))[1]).astype(np.int8)  # a float may round up to the next power: one bit wider, still right
+    width = _width(ids)
     # The widest id within the next c, for the counts in ascending order: each from the one before.
-    best = np.zeros(len(ids), np.int64)
+    best = np.zeros(len(ids), np.int8)
     reach, widest = 1, width
     for s in range(14, 0, -1):
         while reach < COUNTS[s]:
             step = min(reach, COUNTS[s] - reach)
-            widest, reach = np.maximum(widest, np.append(widest[step:], np.zeros(step, np.int8))), reach + step
-        best[widest <= BITS[s]] = s
-    jump = (np.arange(len(ids)) + np.where(best == 0, 1, COUNTS[best])).tolist()
+            wider = widest.copy()
+            np.maximum(widest[:-step], widest[step:], out=wider[:-step])
+            widest, reach = wider, reach + step
+        np.copyto(best, s, where=widest <= BITS[s])
+    jump = (np.arange(len(ids)) + _JUMPS[best]).tolist()
     starts = []
     for i, stop in zip((stops - sizes).tolist(), stops.tolist()):
         while i < stop:
             starts.append(i)
             i = jump[i]
     at = np.array(starts, np.int64)
-    sel, doc = best[at], np.searchsorted(stops, at, side="right")
+    sel, doc = best[at].astype(np.int64), np.searchsorted(stops, at, side="right")
     words = sel.astype(np.uint64) << np.uint64(60)
     escaped = np.bincount(doc[sel == 0], minlength=len(docs))
     for s in np.unique(sel):
@@ -128,7 +141,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
 
         n = 0
         for whole in batches:
-            for batch in text_slices(whole, 1):
+            for batch in text_slices(whole, 1, MANY):
                 for key, data in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1))):
                     keys.append(key)
                     docs.append(np.frombuffer(data + end, encode.kind))

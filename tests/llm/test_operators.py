@@ -384,3 +384,17 @@ def test_bounds_of_cells_are_the_quantiles_of_all_rows(spark):
     assert sharding.value_bounds(df.limit(0), "size", 6) == []
     few = spark.createDataFrame([(3,), (1,), (2,)], "size long")
     assert sharding.value_bounds(few, "size", 2) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_encoders_learn_distinct_runs_from_arrow(texts, monkeypatch):
+    for make, name in ((tokens.ByteEncoder, "byte_bpe_50k.json"), (tokens.WordEncoder, "word_bpe_49k.json")):
+        own, whole, met = make(P.path(name)), Tokenizer.from_file(P.path(name)), []
+        learned = own.learned
+        monkeypatch.setattr(own, "learned", lambda runs: met.append(runs) or learned(runs))  # noqa: B023
+        before = set(vars(own))
+        for some in ([*texts, "zz\x1fy z", "one \x1c\n one", None], ["word word"] * 50, [], [None, ""]):
+            column = pa.array([*some, "left out"], pa.string())[: len(some)]
+            got = [np.frombuffer(x, own.kind).tolist() for x in own.ids(column)]
+            assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert all(isinstance(runs, pa.Array) and len(runs) == len(runs.unique()) for runs in met)
+        assert set(vars(own)) == before  # what it has met isn't kept
