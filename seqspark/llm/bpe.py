@@ -1,22 +1,19 @@
 """Operator 1: byte-level BPE encoding and decoding.
 
-Encoding:
+Encoding is one ``mapInArrow``. A task cuts some MB of text into runs, of which Arrow tells the distinct ones;
+their words are cut by the tokenizer's pattern, and each distinct word is folded once: numpy merges the leftmost
+pair of the lowest rank of all words at a time, until no word has a pair. Ids are gathered in the documents' order.
 
-1. ``mapInArrow`` splits all texts with the tokenizer's pattern and sends each distinct word of a task; they
-   are counted. The words that most tasks meet, a million at most, are folded and sent to all tasks.
-2. ``mapInArrow`` splits the texts again. A task sends each of its other distinct words once, and then
-   its texts as lists of word numbers.
-3. Spark higher-order functions fold the merges over the bytes of each distinct word: the state is an array
-   of pieces with the ranks of adjacent pairs; each step merges the leftmost pair of the lowest rank. Ranks
-   come from a literal map (two literal arrays).
-4. ``mapInArrow`` puts the ids of the words back in the documents' order.
+With ``common``, words are counted first over all texts (tasks send their distinct words), and those that most
+tasks meet are folded once and sent to all tasks. To look a word up costs about what it costs to fold it, so
+the default is to leave that pass out.
 
 Decoding concatenates the binary pieces of the ids.
 
-Scale: only distinct words of tasks are shuffled, to be counted; all else is row-local, so it grows with the
-bytes of text and a lost task redoes its own split only. A task holds some MB of texts and a bounded number of distinct words. The literal map holds the
-vocabulary, whose size doesn't depend on the data. The fold of a word of n bytes takes up to n steps of n
-array entries, which is nothing for words; one unbroken run of over 512 bytes is merged with a heap instead.
+Scale: all is row-local, so it grows with the bytes of text and a lost task redoes its own split only. A task
+holds some MB of texts and a bounded number of distinct words. The vocabulary's size doesn't depend on the data.
+The fold of a word of n bytes takes up to n steps of n places, which is nothing for words; one unbroken run of
+over 128 bytes is merged with a heap instead.
 """
 
 from __future__ import annotations
@@ -30,25 +27,25 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, written
 from .hashing import text_buffer, text_slices
-from .tokens import SPACED, SPACED_RUNS, Runs, all_cut_at_spaces, cut_at_spaces, joined
+from .tokens import MANY, SPACED, SPACED_RUNS, Runs, all_cut_at_spaces, cut_at_spaces, joined
 
 _BITS = 18  # of an id, and of a rank
 _NONE = 1 << _BITS
 _SPREAD = 2_654_435_761
-#: Bytes of a word that Spark folds; longer ones are merged with a heap, in n log n steps.
-LONGEST = 512
+#: Bytes of a word that is folded with others; longer ones are merged with a heap, in n log n steps.
+LONGEST = 128
 #: Distinct words that a task remembers before it starts anew, and common ones that a task folds.
 KEPT_WORDS, _SOME_WORDS = 300_000, 20_000
 #: Words whose ids it knows, from the vocabulary or the common words, that a task remembers before it looks anew.
 KEPT_SETTLED = 150_000
-#: Words that are folded once for all tasks, and their bytes: bounds on what is broadcast. Ids take four bytes
-#: for a byte of a word at most, so that is 80 MB at most, and some 30 MB for ordinary words.
-COMMON_WORDS, COMMON_BYTES = 1_000_000, 16 << 20
+#: Bytes of the words that are folded once for all tasks: a bound on what is broadcast. Ids take four bytes
+#: for a byte of a word at most, so that is 80 MB at most, and some 30 MB for a million ordinary words.
+COMMON_BYTES = 16 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -75,9 +72,8 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
 
 
 class RankMap:
-    """A literal map for Spark: a pair of ids -> rank, in two lookups. (Spark's MapType looks keys up one after
-    the other.) Each left id has a place in a table of slots, where its right ids are added to it; the places
-    are such that no slot is used twice."""
+    """A pair of ids -> rank in two lookups, for arrays of pairs. Each left id has a place in a table of slots,
+    where its right ids are added to it; the places are such that no slot is used twice."""
 
     def __init__(self, pairs: dict[int, int], ids: int):
         keys = np.array(sorted(pairs), np.int64)
@@ -104,52 +100,50 @@ class RankMap:
             free[at + r] = False
         self.slots = np.append(slots, np.full(64, slots[-1]))
 
-    @staticmethod
-    def _literal(values: np.ndarray) -> Column:
-        return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pairs that don't merge have the rank 2**18."""
+        found = self.slots[self.places[left] + right] ^ (left << _BITS)  # the rank where the slot is this left id's; another's differs in the upper bits
+        return np.minimum(found, _NONE)
 
-    def entry(self):
-        """A function of two id columns: rank << 18 | left id; pairs that don't merge have the rank 2**18."""
-        places, slots = self._literal(self.places), self._literal(self.slots)
 
-        def of(left: Column, right: Column) -> Column:
-            found = F.get(slots, (F.get(places, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, _BITS))
-            # the rank where the slot is this left id's; another's differs in the upper bits
-            return F.shiftleft(F.least(found, F.lit(_NONE).cast("long")), _BITS).bitwiseOR(left)
+class Merges:
+    """The merges of a vocabulary, for many words at once."""
 
-        return of
+    def __init__(self, ranks: dict[bytes, int]):
+        self.mark = max(ranks.values()) + 1  # stands behind each word and merges with nothing
+        self.rank = RankMap(pair_ranks(ranks), self.mark)
+        self.base = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
+    def __call__(self, words: pa.Array) -> pa.Array:
+        """The ids of each word: list<int32>."""
+        some = [self._merged(x.column(0)) for x in text_slices(pa.RecordBatch.from_arrays([words], names=["word"]), 0)]
+        return pa.concat_arrays([*some, pa.array([], pa.list_(pa.int32()))])
 
-def let(value: Column, of) -> Column:
-    """of(value), with the value computed once: lambdas evaluate what they name, each time they name it."""
-    return F.get(F.transform(F.array(value), of), 0)
-
-
-def merge_column(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids of one word's bytes: array<int>. The state of the fold is one array, an entry for each piece,
-    with marks at both ends that merge with nothing; its least entry is the leftmost pair of the lowest rank."""
-    mark = max(ranks.values()) + 1
-    entry = RankMap(pair_ranks(ranks), mark).entry()
-    base = F.split(F.lit(",".join(str(ranks[bytes([i])]) for i in range(256))), ",").cast("array<bigint>")
-    end = F.lit(mark).cast("long")
-    chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    bytes_ = F.transform(chars, lambda c: F.get(base, F.ascii(c)))
-    id_of = lambda x: x.bitwiseAND(F.lit(_NONE - 1))
-
-    def merged(s: Column, low: Column, at: Column) -> Column:
-        new = F.shiftright(low, _BITS)
-        pair = F.array(entry(id_of(F.get(s, at - 2)), new), entry(new, id_of(F.get(s, at + 1))))
-        return F.concat(F.slice(s, F.lit(1), at - 2), pair, F.slice(s, at + 2, F.size(s)))
-
-    def step(s: Column, _) -> Column:
-        found = lambda low: let(F.array_position(s, low).cast("int"), lambda at: merged(s, low, at))
-        return let(F.array_min(s), lambda low: F.when(low >= F.lit(_NONE << _BITS), s).otherwise(found(low)))
-
-    def fold(ids: Column) -> Column:
-        start = F.concat(F.zip_with(F.concat(F.array(end), ids), F.concat(ids, F.array(end)), entry), F.array(F.lit((_NONE << _BITS) + mark)))
-        return F.aggregate(ids, start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: id_of(x).cast("int")))
-
-    return let(bytes_, fold)
+    def _merged(self, words: pa.Array) -> pa.Array:
+        """In each step the leftmost pair of the lowest rank of every word becomes one piece; words without a pair leave."""
+        data, ends = text_buffer(words)
+        who, length = np.arange(len(words)), np.diff(ends) + 1
+        ids = np.full(len(data) + len(words), self.mark, np.int64)
+        ids[np.arange(len(data)) + np.repeat(who, length - 1)] = self.base[data]
+        rank = np.append(self.rank(ids[:-1], ids[1:]), _NONE)
+        done = [(who[:0], length[:0], ids[:0])]
+        while len(who):
+            low = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), np.cumsum(length) - length)
+            going = low < _NONE << 32
+            keep = np.repeat(going, length)
+            over = ids[~keep]
+            done.append((who[~going], length[~going] - 1, over[over != self.mark]))
+            new, at = low[going] >> 32, low[going] & (1 << 32) - 1
+            ids[at] = new
+            rank[at], rank[at - 1] = self.rank(new, ids[at + 2]), self.rank(ids[at - 1], new)  # before the first piece: a mark, or the last one
+            keep[at + 1] = False
+            who, length, ids, rank = who[going], length[going] - 1, ids[keep], rank[keep]
+        who, n, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(who)
+        first, n = (np.cumsum(n) - n)[order], n[order]
+        ends = np.append(0, np.cumsum(n))
+        flat = ids[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -279,7 +273,7 @@ def _distinct(pattern: str, ranks):
                 fresh = set(chain.from_iterable(map(cut_at_spaces, plain))) - runs
                 words = set(runs_of("\0".join(fresh)))
                 words.update(*(find(t) for t in texts if pattern != SPACED or "\0" in t))
-                words = [w for w in words - seen if len(b := w.encode()) <= LONGEST and b not in ranks.value]
+                words = [w for w in words - seen if len(b := w.encode()) <= LONGEST and b not in ranks.value[0]]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
                 runs |= fresh
                 seen.update(words)
@@ -289,7 +283,7 @@ def _distinct(pattern: str, ranks):
     return run
 
 
-def common_words(texts: DataFrame, ranks: dict[bytes, int], shared, pattern: str, most: int) -> Folded:
+def common_words(texts: DataFrame, shared, pattern: str, most: int) -> Folded:
     """Ids of the words that most tasks meet, ``most`` words and COMMON_BYTES at most: folded once for all tasks. Words
     are counted over all texts; the least count that keeps to the bounds is found by a histogram of few rows."""
     counts = texts.mapInArrow(_distinct(pattern, shared), "word string").groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
@@ -301,89 +295,60 @@ def common_words(texts: DataFrame, ranks: dict[bytes, int], shared, pattern: str
         held, size, least = held + n, size + b, level
     if least is None:
         return _NO_WORDS
-    found = counts.filter(F.col("level") >= least).repartition(math.ceil(held / _SOME_WORDS)).select("word", merge_column(F.col("word"), ranks).alias("ids")).toArrow()
-    return Folded(found["word"].combine_chunks(), found["ids"].combine_chunks())
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), shared.value[1](batch.column(0))], names=["word", "ids"])
 
-_ROW = pa.schema([("word", pa.string()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("numbers", pa.binary()), ("last", pa.bool_())])
-_ROW_DDL = "word string, keys array<bigint>, sizes array<bigint>, numbers binary, last boolean"
+    words = counts.filter(F.col("level") >= least).repartition(math.ceil(held / _SOME_WORDS)).select("word")
+    found = words.mapInArrow(fold, "word string, ids array<int>").toArrow()
+    return Folded(found["word"].combine_chunks(), found["ids"].combine_chunks())
 
 
-def _splitter(pattern: str, ranks, folded):
-    """Rows of a task: a row for each word to be folded, then one for some texts as numbers of the words so
-    far; behind the last flag, words are numbered anew."""
+def _encoded(pattern: str, shared, folded, pieces):
+    """(key, ids) of a task's texts, and with pieces the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Numbers(pattern, ranks.value, folded.value)
+        ranks, merges = shared.value
+        common = folded.value if folded else None
+        words, flat, count = _Numbers(pattern, ranks, common), np.zeros(0, np.int32), np.zeros(0, np.int64)
         for whole in batches:
-            for batch in text_slices(whole, 1):
-                coded = seen.ids(batch.column(1))
-                full, n = seen.count >= KEPT_WORDS, len(seen.fresh)
-                row = [batch.column(0).to_pylist(), [len(x) // 4 for x in coded], b"".join(coded), full]
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen.fresh, pa.string()), *(pa.nulls(n, f.type) for f in list(_ROW)[1:])], schema=_ROW)
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip([None, *row], _ROW)], schema=_ROW)
-                seen.fresh = []
-                if full:
-                    seen = _Numbers(pattern, ranks.value, folded.value)
+            for batch in text_slices(whole, 1, MANY):
+                coded = words.ids(batch.column(1))
+                fresh = merges(pa.array(words.fresh, pa.string()))
+                flat, count = np.append(flat, fresh.flatten().to_numpy()), np.append(count, np.diff(fresh.offsets.to_numpy()))
+                words.fresh = []
+                numbers = np.frombuffer(b"".join(coded), np.int32)  # of words that were folded, or -1 - id
+                own = numbers >= 0
+                n = np.ones(len(numbers), np.int64)
+                n[own] = count[numbers[own]]
+                ends = np.append(0, np.cumsum(n))
+                first = np.arange(len(flat), len(flat) + len(numbers))
+                first[own] = (np.cumsum(count) - count)[numbers[own]]
+                ids = np.append(flat, -1 - numbers)[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+                data, cuts = ids.astype("<u4").tobytes(), 4 * ends[np.append(0, np.cumsum([len(x) // 4 for x in coded]))]
+                each = [data[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+                row = {"key": batch.column(0), "ids": pa.array(each, pa.binary())}
+                if pieces:
+                    row["decoded"] = pa.array([concatenated(x, pieces.value) for x in each], pa.binary())
+                yield pa.RecordBatch.from_pydict(row)
+                if words.count >= KEPT_WORDS:
+                    words, flat, count = _Numbers(pattern, ranks, common), flat[:0], count[:0]
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch], pieces: dict[int, bytes] | None) -> Iterator[pa.RecordBatch]:
-    """(key, ids), and with pieces the bytes that the ids stand for."""
-    flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for batch in batches:
-        lo = 0
-        for hi in [*np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]:
-            words = batch.column(0).slice(lo, hi - lo)
-            flat.append(words.flatten().to_numpy(zero_copy_only=False))
-            count.append(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            lo = hi + 1
-            if hi == batch.num_rows:
-                break
-            keys, sizes = batch.column(1)[hi].as_py(), np.array(batch.column(2)[hi].as_py(), np.int64)
-            numbers = np.frombuffer(batch.column(3)[hi].as_buffer(), np.int32)
-            flat, count = [np.concatenate(flat)], [np.concatenate(count)]
-            fresh = np.flatnonzero(numbers >= 0)
-            n = np.ones(len(numbers), np.int64)
-            n[fresh] = count[0][numbers[fresh]]
-            ends = np.cumsum(n)
-            ids = np.repeat(-1 - numbers, n)
-            first, many = (np.cumsum(count[0]) - count[0])[numbers[fresh]], n[fresh]
-            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            ids[np.repeat(ends[fresh] - many, many) + within] = flat[0][np.repeat(first, many) + within]
-            data, cuts = ids.astype("<u4").tobytes(), 4 * np.append(0, ends)[np.append(0, np.cumsum(sizes))]
-            each = [data[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
-            row = {"key": pa.array(keys, pa.int64()), "ids": pa.array(each, pa.binary())}
-            if pieces:
-                row["decoded"] = pa.array([concatenated(x, pieces) for x in each], pa.binary())
-            yield pa.RecordBatch.from_pydict(row)
-            if batch.column(4)[hi].as_py():
-                flat, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-
-
-_PLAN_STRING = 1 << 16
-
-
-def _bytes_of(size: str) -> int:
-    return int(size) if size.isdigit() else 1 << 31
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", common: int = COMMON_WORDS, decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", common: int = 0, decoded: bool = False) -> DataFrame:
     """(key, ids): ids as little-endian unsigned 32-bit integers in one binary. A null text counts as
     empty and gives no ids; a null key stays null; repeated rows give a row each; other columns don't
-    take part. An empty table gives no rows. ``common`` bounds the words that are folded once for all tasks;
-    ``decoded`` adds the bytes that ``decode`` gives for the ids, without another pass."""
+    take part. An empty table gives no rows. ``common`` words at most are folded once for all tasks, in a
+    pass of their own; ``decoded`` adds the bytes that ``decode`` gives for the ids, without another pass."""
     ranks, sc = load_ranks(ranks_path), df.sparkSession.sparkContext
-    if _bytes_of(df.sparkSession.conf.get("spark.sql.maxPlanStringLength")) > _PLAN_STRING:  # plans print the literal map whole, and the driver keeps what they print
-        df.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(_PLAN_STRING))
-    shared = sc.broadcast(ranks)
-    folded = sc.broadcast(common_words(df.select(text), ranks, shared, pattern, common))
-    rows = df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(_splitter(pattern, shared, folded), _ROW_DDL)
-    ids = rows.select(merge_column(F.col("word"), ranks).alias("ids"), "keys", "sizes", "numbers", "last")
-    pieces = sc.broadcast({v: k for k, v in ranks.items()} if decoded else None)
-    return ids.mapInArrow(lambda batches: _joined(batches, pieces.value), "key bigint, ids binary" + ", decoded binary" * decoded).withColumnRenamed("key", key)
+    shared = sc.broadcast((ranks, Merges(ranks)))
+    folded = sc.broadcast(common_words(df.select(text), shared, pattern, common)) if common else None
+    pieces = sc.broadcast({v: k for k, v in ranks.items()}) if decoded else None
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text))
+    return rows.mapInArrow(_encoded(pattern, shared, folded, pieces), "key bigint, ids binary" + ", decoded binary" * decoded).withColumnRenamed("key", key)
 
 
 def concatenated(ids: bytes, pieces: dict[int, bytes]) -> bytes:

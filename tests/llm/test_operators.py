@@ -398,3 +398,26 @@ def test_encoders_learn_distinct_runs_from_arrow(texts, monkeypatch):
             assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in some]
         assert all(isinstance(runs, pa.Array) and len(runs) == len(runs.unique()) for runs in met)
         assert set(vars(own)) == before  # what it has met isn't kept
+
+
+def test_words_are_merged_together_without_a_pass_of_their_own(spark, texts, monkeypatch):
+    import tiktoken
+
+    path, rnd = P.path("byte_bpe_multi_50k.tiktoken"), random.Random(8)
+    ranks = bpe.load_ranks(path)
+    pieces = [b.decode(errors="ignore") for b in rnd.sample(list(ranks), 2000)]
+    some = [*pieces, *("".join(rnd.sample(pieces, 2)) for _ in range(2000)), "", "a", "", "é" * 60, "ab" * 64, "漢字" * 20]
+    merges = bpe.Merges(ranks)
+    assert merges(pa.array(some)).to_pylist() == [bpe.merge_long(w.encode(), ranks) for w in some]
+    assert merges(pa.array([], pa.string())).to_pylist() == []
+    monkeypatch.setattr(hashing, "_SOME", 64)
+    assert merges(pa.array(some[:300])).to_pylist() == [bpe.merge_long(w.encode(), ranks) for w in some[:300]]
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for common in (0, 50):
+        got = bpe.encode(table(spark, texts).repartition(3), path, P.PATTERN, common=common, decoded=True)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one worker a task
+        rows = got.collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            t = texts[r.doc_id] or ""
+            assert np.frombuffer(r.ids, "<u4").tolist() == want.encode_ordinary(t) and bytes(r.decoded) == t.encode()
