@@ -25,6 +25,7 @@ from .metrics import sliding_metrics
 
 #: Letters of a block; longer records are cut into several, with what their windows need of the next.
 BLOCK = 1 << 17
+_PLACES = 1 << 14  # that a bound is found for at once
 _FAR, _SLACK = 1e18, 1e-6  # no energy there; what roundings may differ by
 _LETTERS = np.frombuffer(A.ALPHABET.encode(), np.uint8)
 
@@ -136,49 +137,78 @@ class Bound:
 
     def __init__(self, table: np.ndarray, profile: Profile, rescue: bool, context: dict[str, np.ndarray], flank: int, max_gaps: int | None, least: int | None, weight: float):
         n = len(profile)
-        self.table, self.profile, self.rescue, self.flank, self.weight = table, profile, rescue, flank, weight
+        self.profile, self.flank, self.weight = profile, flank, weight
         self.gaps, self.least = bool(max_gaps), (n if max_gaps is None else max(1, n - 1) if least is None else least)
         size = n + 2 * flank
         self.starts = [(qs, ts) for qs in range(n - self.least + 1) for ts in range(size - self.least + 1)] if max_gaps is not None else [(0, 0)]
+        suits = [self._suits(p) if rescue and p.residue in A.RESCUERS else None for p in profile]
+        self.direct = [np.append(t, _FAR) for t in table]
+        self.suited = [None if x is None else np.append(np.where(x, t, _FAR), _FAR) for x, t in zip(suits, table)]
         self.floor = {r: float(np.nanmin(t)) for r, t in context.items() if not np.isnan(t).all()} if rescue else {}
 
     def __call__(self, block: Block) -> np.ndarray:
-        """For the windows at block.at."""
-        n, edge = len(self.profile), len(block.edge)
-        count, last = len(block.codes) - 2 * edge, n + self.flank - 1
-        best, away = np.full(count, _FAR), np.full(count, _FAR)
-        energies = [np.where(block.codes < 0, _FAR, t[block.safe]) for t in self.table]
-        suited = [np.where(self._suits(p)[block.safe], e, _FAR) if self.rescue and p.residue in A.RESCUERS else None for p, e in zip(self.profile, energies)]
-
-        def near(row: np.ndarray, *places: int) -> np.ndarray:
-            found = [row[edge + o : edge + o + count] for o in places if -self.flank <= o <= last]
-            return np.minimum.reduce(found) if len(found) > 1 else found[0] if found else away
+        """For the windows at block.at; some thousand places at a time, whose rows stay in the caches."""
+        edge = len(block.edge)
+        best = np.empty(len(block.codes) - 2 * edge)
+        for lo in range(0, len(best), _PLACES):
+            part = best[lo : lo + _PLACES]
+            part[:] = self._least(block.codes[lo : lo + len(part) + 2 * edge], edge)
+        return best[block.at - edge]
 
+    def _least(self, codes: np.ndarray, edge: int) -> np.ndarray:
+        """For each place but the edges. What a position can take depends on its place in the region by which of
+        the letters beside it are in the region alone, so starts share it: rows of all places, read at a shift."""
+        n, count, last = len(self.profile), len(codes) - 2 * edge, len(self.profile) + self.flank - 1
+        width, known = count + self.flank + last, {}
+        energies = [t[codes] for t in self.direct]  # a code of -1 is the last entry
+        suited = [None if t is None else t[codes] for t in self.suited]
+
+        def near(row: np.ndarray, inside: tuple[bool, ...], *places: int) -> np.ndarray:
+            found = [row[edge - self.flank + p : edge - self.flank + p + width] for p in places if inside[p + 1]]
+            return np.minimum(*found) if len(found) > 1 else found[0] if found else np.full(width, _FAR)
+
+        def taken(i: int, inside: tuple[bool, ...]) -> np.ndarray:
+            """The least that a position takes where these of the letters from the one before are in the region."""
+            one = near(energies[i], inside, *((0, 1) if self.gaps else (0,)))
+            if suited[i] is None:
+                return one
+            left, right = (near(suited[i], inside, *p) for p in (((-1, 0), (1, 2)) if self.gaps else ((-1,), (1,))))
+            first = np.minimum(left, right)
+            one = np.minimum(one, first)
+            if self.profile[i].charged:
+                if (floor := self.floor.get(self.profile[i].residue)) is not None:
+                    one = np.minimum(one, min(floor, A.SECOND_DONOR_CAP * floor))
+                    first = np.minimum(first, floor)
+                    left = right = np.minimum(np.minimum(left, right), floor)
+                second = np.maximum(left, right)
+                one = np.where(second < 0, np.minimum(one, first + A.SECOND_DONOR_WEIGHT * second), one)
+            return one
+
+        def at(i: int, o: int, *beside: int) -> np.ndarray:
+            """What position i takes at place o of the region, eased by the letters beside the alignment."""
+            inside = tuple(-self.flank <= o + p <= last for p in (-1, 0, 1, 2))
+            if (i, inside) not in known:
+                known[i, inside] = taken(i, inside)
+            one = known[i, inside]
+            if beside and self.weight:
+                if (i, inside, beside) not in known:
+                    known[i, inside, beside] = one + self.weight * np.minimum(0.0, near(energies[i], inside, *beside) - one)
+                one = known[i, inside, beside]
+            return one[o + self.flank : o + self.flank + count]
+
+        best = np.full(count, _FAR)
         for qs, ts in self.starts:
             before = None
             for i in range(qs, n):
                 o, k = ts + i - qs - self.flank, i + 1 - qs
                 if o > last:
                     break
-                one = near(energies[i], o, *([o + 1] if self.gaps else []))
-                if suited[i] is not None:
-                    left, right = (near(suited[i], o - 1, o), near(suited[i], o + 1, o + 2)) if self.gaps else (near(suited[i], o - 1), near(suited[i], o + 1))
-                    first = np.minimum(left, right)
-                    one = np.minimum(one, first)
-                    if self.profile[i].charged:
-                        if (floor := self.floor.get(self.profile[i].residue)) is not None:
-                            one = np.minimum(one, min(floor, A.SECOND_DONOR_CAP * floor))
-                            first = np.minimum(first, floor)
-                            left = right = np.minimum(np.minimum(left, right), floor)
-                        second = np.maximum(left, right)
-                        one = np.where(second < 0, np.minimum(one, first + A.SECOND_DONOR_WEIGHT * second), one)
-                eased = lambda *at: one + self.weight * np.minimum(0.0, near(energies[i], *at) - one) if self.weight else one  # noqa: B023, E731
-                behind = eased(*((o + 1, o + 2) if self.gaps else (o + 1,)))
-                ahead = eased(*((o - 1, o) if self.gaps else (o - 1,))) if before is None else None
+                ahead = at(i, o, *((-1, 0) if self.gaps else (-1,))) if before is None else None
                 if k >= self.least:
-                    best = np.minimum(best, np.minimum(ahead, behind) if before is None else before + behind)
-                before = ahead if before is None else before + one
-        return best[block.at - edge]
+                    behind = at(i, o, *((1, 2) if self.gaps else (1,)))
+                    np.minimum(best, np.minimum(ahead, behind) if before is None else before + behind, out=best)
+                before = ahead if before is None else before + at(i, o)
+        return best
 
     @staticmethod
     def _suits(p) -> np.ndarray:

@@ -158,3 +158,26 @@ def test_kmer_counts(spark, monkeypatch, size):  # B9
     assert B.kmer_counts(recs.limit(0), size).count() == 0
     with pytest.raises(ValueError):
         B.kmer_counts(recs, 15)
+
+
+def test_bounds_share_their_rows_and_keep_few():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd, codes = random.Random(6), {c: i for i, c in enumerate(A.ALPHABET)}
+    profile = profile_of(rnd, "REKFD")
+    table = np.array([p.scores("raw", 1.0) for p in profile])
+    text = "".join(rnd.choice(A.ALPHABET * 9 + "X") for _ in range(100_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text])], names=["record_ord", "sequence"])
+    (block,) = B.blocks(batch, 5, 1)
+    block.at = block.at[block.sides(block.at)[2]]
+    tracemalloc.start()
+    low = B.Bound(table, profile, True, {}, 1, 1, None, 0.5)(block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # not rows of all places, which are 0.8 MB each
+    some = [i for i in rnd.sample(range(len(block.at)), 3000) if block.base[0] < block.at[i] < block.end[0] - 6]
+    regions = np.array([[codes[c] for c in text[a - 1 : a + 6]] for a in (block.at[some] - block.base[0]).tolist()])
+    score, _ = L.align(regions, table, profile, L.plan(5, 7), "full")
+    assert (low[some] <= score + 1e-9).all()
