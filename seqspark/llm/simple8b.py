@@ -9,12 +9,12 @@ without a scan; all words of one selector are decoded at once.
 
 Scale: one range shuffle of the texts by document id orders the files; encoding, block making and
 decoding stream within tasks, and a block is bounded (``block_ids`` ids, or one document). Only the
-totals of partitions meet in one place. Long documents are rows like others.
+totals of partitions meet in one place and are sent to all tasks, so blocks are read where their files
+are, a row group of some MB at a time. Long documents are rows like others.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +27,8 @@ from .common import documents, written
 from .hashing import text_slices
 from .tokens import MANY, WordEncoder, encoder
 
+#: Of a row group: what the writer gathers, and what Spark's reader takes at once. A hundred blocks at least.
+_GROUP_BYTES = 8 << 20
 #: Ids in a word of each selector from 1, most first, and the bits of each.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -159,7 +161,8 @@ def _blocks(path: str, end_id: int, block_ids: int):
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):  # a block at a time: a batch may hold a whole file
+            [r] = batch.slice(i, 1).to_pylist()
             sizes = np.array(r["sizes"], np.int64)
             ids = unpack_words(np.frombuffer(r["words"], "<u8"), np.array(r["first_words"], np.int64), sizes, np.frombuffer(r["escapes"], "<u8"), np.array(r["first_escapes"], np.int64))
             ends = np.cumsum(sizes)
@@ -177,7 +180,8 @@ def write_ids(df: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "d
     keys by a hash of the text); returns the table of blocks. A null text is empty: its end id alone."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    return written(docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(tokenizer_path, end_id, block_ids), _BLOCK_DDL), "simple8b")
+    blocks = docs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(tokenizer_path, end_id, block_ids), _BLOCK_DDL)
+    return written(blocks, "simple8b", **{"parquet.block.size": _GROUP_BYTES})
 
 
 def read_ids(blocks: DataFrame) -> DataFrame:
@@ -186,16 +190,11 @@ def read_ids(blocks: DataFrame) -> DataFrame:
     per_part = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     base = per_part.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return blocks.join(base, "part").select(*_BLOCK.names, "base").mapInArrow(_read, "doc_id bigint, start bigint, ids binary")
+    return blocks.join(F.broadcast(base), "part").select(*_BLOCK.names, "base").mapInArrow(_read, "doc_id bigint, start bigint, ids binary")
 
 
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     back = read_ids(write_ids(documents(spark, sf_dir), P.path("word_bpe_49k.json")))
-
-    @F.pandas_udf("bigint")
-    def crc(col):
-        return col.map(zlib.crc32)
-
-    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

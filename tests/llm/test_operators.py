@@ -4,11 +4,13 @@ tables with nulls, empty texts, repeated rows and extra columns."""
 import collections
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -421,3 +423,38 @@ def test_words_are_merged_together_without_a_pass_of_their_own(spark, texts, mon
         for r in rows:
             t = texts[r.doc_id] or ""
             assert np.frombuffer(r.ids, "<u4").tolist() == want.encode_ordinary(t) and bytes(r.decoded) == t.encode()
+
+
+def test_blocks_of_ids_are_read_one_by_one_without_a_shuffle(spark, texts, monkeypatch, tmp_path):
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")  # no block is shuffled, however large the files
+    try:
+        got = simple8b.op3_simple8b(spark, str(tmp_path))
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan  # one worker a task
+        rows = sorted(got.collect())
+    finally:
+        spark.conf.set(conf, kept)
+    whole, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    for r, t in zip(rows, texts, strict=True):
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+    ids = np.full(1 << 15, 2**59, np.uint64)  # a word each
+    words, n, escapes, _ = simple8b.pack_block([ids])
+    row = {"part": 0, "block": 0, "start": 0, "n_ids": len(ids), "doc_ids": [1], "sizes": [len(ids)], "first_words": [0], "first_escapes": [0], "words": words.tobytes(), "escapes": escapes.tobytes(), "base": 0}
+    batch = pa.RecordBatch.from_pylist([row] * 64, schema=simple8b._BLOCK.append(pa.field("base", pa.int64())))
+    tracemalloc.start()
+    assert sum(x.num_rows for x in simple8b._read(iter([batch]))) == 64
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == [1 << 15] and most < 32 * len(row["words"])
+
+    monkeypatch.setattr(simple8b, "_GROUP_BYTES", 1024)
+    made = simple8b.write_ids(spark.range(400).selectExpr("id AS doc_id", "'one two' AS text").coalesce(1), P.path("word_bpe_49k.json"), block_ids=1)
+    groups = [m.row_group(i).num_rows for f in made.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for i in range(m.num_row_groups)]
+    assert sum(groups) == 400 == simple8b.read_ids(made).count() and max(groups) <= 100
